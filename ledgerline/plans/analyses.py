@@ -151,7 +151,9 @@ def seller_sales_rollup_by_order(sellers: DataFrame, items: DataFrame, min_reven
         .agg(
             F.sum("order_seller_price").alias("_total"),
             F.count("order_id").alias("uq_orders_count"),
-            F.stddev_samp(_c("order_seller_price") / _c("items_count")).alias("_sd"),
+            # per-order mean price; the reference divides a float sum, so
+            # double precision is the faithful (and cheap) type here
+            F.stddev_samp(_c("order_seller_price").cast("double") / _c("items_count")).alias("_sd"),
         )
     )
     return _q1_out(agg, min_revenue)
@@ -176,9 +178,17 @@ def category_payment_sets(
         flag(PAY).alias("is_pay_aggregated"),
         F.sum(_c("payment_value") * _c("_w")).alias("_total"),
         F.count_distinct("order_id").alias("uq_orders_count"),
+    ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders_count") > F.lit(min_orders)))
+    # The median runs in its own aggregate over the same sets: next to a
+    # DISTINCT aggregate Spark would keep one percentile buffer per
+    # (group, order) instead of one per group.
+    med = rows.groupingSets(CAT_PAY_SETS, CAT, PAY).agg(
+        flag(CAT).alias("is_cat_aggaregated"),
+        flag(PAY).alias("is_pay_aggregated"),
         median_expr("payment_value", "_w").alias("_median"),
     )
-    out = agg.filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders_count") > F.lit(min_orders))).select(
+    keys = [CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated"]
+    out = null_safe_join(agg, med, keys, "left").select(
         CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated",
         money_out("_total").alias("total"),
         "uq_orders_count",

@@ -89,9 +89,17 @@ def _analyses() -> dict[str, Entry]:
     }
 
 
+def _operators() -> dict[str, Entry]:
+    from ledgerline.plans import operator_queries as oq
+
+    sqls = sql.operator_sql()
+    return {name: Entry(fn, sqls.get(name)) for name, fn in oq.BUILDERS.items()}
+
+
 def registry() -> dict[str, Entry]:
     reg: dict[str, Entry] = {}
     reg.update(_analyses())
+    reg.update(_operators())
     return reg
 
 

@@ -71,6 +71,15 @@ t_orders_raw AS (
          strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp,
          CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS order_approved_at
   FROM orders),
+t_items_loaded AS (
+  SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
+         l_suppkey AS seller_id, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, l_shipdate AS loaded_at
+  FROM lineitem),
+t_products_clean AS (
+  SELECT product_id,
+         CASE WHEN trim(product_category_name) <> '' THEN product_category_name END AS product_category_name
+  FROM t_products_raw),
+t_segments AS (SELECT c_custkey AS customer_id, c_mktsegment AS segment FROM customer),
 t_orders_bad AS (
   SELECT order_id, customer_id, order_status,
          CASE WHEN order_id % {tb.BAD_TEXT_EVERY} = 0 THEN '{tb.BAD_TEXT}'
@@ -355,3 +364,283 @@ top_category AS (
   JOIN t_products p ON p.product_id = i.product_id
   GROUP BY sm.seller_id, p.product_category_name
   ORDER BY sm.seller_id, SUM(i.price) DESC NULLS FIRST, p.product_category_name NULLS FIRST)""")
+
+
+# ---------------------------------------------------------------------------
+# Operator-level queries
+# ---------------------------------------------------------------------------
+
+def _ops_sql() -> dict[str, str]:
+    from ledgerline.plans import operator_queries as oq
+    from ledgerline.plans.catalog import Q4_HIGH, Q4_VIP, X_MIN_ORDERS, X_MIN_TOTAL
+    from ledgerline.sources.schemas import FOREIGN_KEYS
+
+    q: dict[str, str] = {}
+    w = with_fixtures
+    q["d1_text_to_ts"] = w("""
+SELECT order_id, customer_id, order_status,
+       CAST(order_purchase_timestamp AS TIMESTAMP) AS order_purchase_timestamp,
+       CAST(order_approved_at AS TIMESTAMP) AS order_approved_at
+FROM t_orders_raw""")
+    q["d1_quarantine"] = w(" UNION ALL ".join(
+        f"""SELECT order_id, '{c}' AS column_name, {c} AS raw_value FROM t_orders_bad
+            WHERE {c} IS NOT NULL AND TRY_CAST({c} AS TIMESTAMP) IS NULL"""
+        for c in ("order_purchase_timestamp", "order_approved_at")))
+    # a copy is removed when a later copy with the same key exists
+    q["d5_dedupe_items"] = w("""
+SELECT order_id, order_item_id, product_id, seller_id, CAST(price AS DOUBLE) AS price, loaded_at
+FROM t_items_loaded a
+WHERE a.order_id IS NULL OR a.order_item_id IS NULL OR NOT EXISTS (
+  SELECT 1 FROM t_items_loaded b
+  WHERE b.order_id = a.order_id AND b.order_item_id = a.order_item_id
+    AND (b.loaded_at > a.loaded_at
+         OR (b.loaded_at = a.loaded_at AND b.product_id > a.product_id)
+         OR (b.loaded_at = a.loaded_at AND b.product_id = a.product_id AND b.seller_id > a.seller_id)
+         OR (b.loaded_at = a.loaded_at AND b.product_id = a.product_id AND b.seller_id = a.seller_id
+             AND b.price > a.price)))""")
+    q["d5_dedupe_reviews"] = w("""
+SELECT review_id, order_id FROM t_reviews a
+WHERE a.review_id IS NULL OR NOT EXISTS (
+  SELECT 1 FROM t_reviews b WHERE b.review_id = a.review_id AND b.order_id > a.order_id)""")
+    q["d10_blank_to_null"] = w("SELECT product_id, product_category_name FROM t_products_clean")
+    q["d12_insert_absent"] = w(f"""
+SELECT product_category_name, product_category_name_english FROM t_translation
+UNION ALL
+SELECT n.product_category_name, n.product_category_name_english
+FROM (SELECT DISTINCT product_category_name,
+             lower(replace(product_category_name, 'Brand#', '{oq.NEW_TRANSLATION_PREFIX}')) AS product_category_name_english
+      FROM t_products_clean WHERE product_category_name IS NOT NULL) n
+WHERE n.product_category_name NOT IN (SELECT product_category_name FROM t_translation)""")
+
+    raw_cols = {
+        "orders": ("t_orders_bad", ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at"]),
+        "order_items": ("t_items", ["order_id", "order_item_id", "product_id", "seller_id", "price"]),
+        "payments": ("t_payments", ["order_id", "payment_sequential", "payment_type", "payment_value"]),
+        "reviews": ("t_reviews", ["review_id", "order_id"]),
+        "customers": ("t_customers", ["customer_id", "customer_unique_id"]),
+        "sellers": ("t_sellers", ["seller_id", "seller_city", "seller_state"]),
+        "products": ("t_products_clean", ["product_id", "product_category_name"]),
+        "translation": ("t_translation", ["product_category_name", "product_category_name_english"]),
+    }
+    pk = {"orders": ["order_id"], "order_items": ["order_id", "order_item_id"],
+          "payments": ["order_id", "payment_sequential"], "reviews": ["review_id"],
+          "customers": ["customer_id"], "sellers": ["seller_id"], "products": ["product_id"]}
+    parts = []
+    for name in ("orders", "order_items", "payments", "reviews", "customers", "sellers", "products"):
+        tbl, cols = raw_cols[name]
+        for c in cols:
+            parts.append(f"SELECT '{name}' AS table_name, 'null_values' AS check_name, '{c}' AS column_name, "
+                         f"COUNT(*) FILTER (WHERE {c} IS NULL) AS n_bad FROM {tbl}")
+    for name in ("orders", "order_items", "payments", "reviews", "customers", "sellers", "products"):
+        tbl, _ = raw_cols[name]
+        keys = pk[name]
+        nulls = " OR ".join(f"{k} IS NULL" for k in keys)
+        parts.append(f"SELECT '{name}', 'key_violations', '{','.join(keys)}', COUNT(*) FROM "
+                     f"(SELECT {', '.join(keys)} FROM {tbl} GROUP BY {', '.join(keys)} HAVING COUNT(*) > 1 OR {nulls}) v")
+    for child, fk, parent, ppk, _ in FOREIGN_KEYS:
+        ct, pt = raw_cols[child][0], raw_cols[parent][0]
+        parts.append(f"SELECT '{child}', 'orphans', '{fk}', COUNT(*) FROM {ct} c WHERE c.{fk} IS NOT NULL "
+                     f"AND NOT EXISTS (SELECT 1 FROM {pt} p WHERE p.{ppk} = c.{fk})")
+    for c in ("order_purchase_timestamp", "order_approved_at"):
+        parts.append(f"SELECT 'orders', 'unparsable_timestamp', '{c}', COUNT(*) FROM t_orders_bad "
+                     f"WHERE {c} IS NOT NULL AND TRY_CAST({c} AS TIMESTAMP) IS NULL")
+    q["d13_profile"] = w("\nUNION ALL\n".join(parts))
+
+    single = []
+    for name in oq.SINGLE_KEY_TABLES:
+        tbl = raw_cols[name][0]
+        (k,) = pk.get(name, ["product_category_name"])
+        single.append(f"""SELECT '{name}' AS table_name, CAST({k} AS VARCHAR) AS key_value, COUNT(*) AS n_rows,
+       CASE WHEN {k} IS NULL THEN 'null_key' ELSE 'duplicate' END AS problem
+FROM {tbl} GROUP BY {k} HAVING COUNT(*) > 1 OR {k} IS NULL""")
+    q["d2_pk_single"] = w("\nUNION ALL\n".join(single))
+    comp = []
+    for name in oq.COMPOSITE_KEY_TABLES:
+        tbl = raw_cols[name][0]
+        k1, k2 = pk[name]
+        comp.append(f"""SELECT '{name}' AS table_name, CAST({k1} AS BIGINT) AS key_1, CAST({k2} AS BIGINT) AS key_2,
+       COUNT(*) AS n_rows, CASE WHEN {k1} IS NULL OR {k2} IS NULL THEN 'null_key' ELSE 'duplicate' END AS problem
+FROM {tbl} GROUP BY {k1}, {k2} HAVING COUNT(*) > 1 OR {k1} IS NULL OR {k2} IS NULL""")
+    q["d3_pk_composite"] = w("\nUNION ALL\n".join(comp))
+    rel = []
+    for child, fk, parent, ppk, _ in FOREIGN_KEYS:
+        ct, pt = raw_cols[child][0], raw_cols[parent][0]
+        ct = "t_orders" if ct == "t_orders_bad" else ct
+        rel.append(f"""SELECT '{child}.{fk} -> {parent}.{ppk}' AS relation, COUNT(*) AS orphan_rows,
+       COUNT(DISTINCT c.{fk}) AS missing_keys
+FROM {ct} c LEFT JOIN {pt} p ON p.{ppk} = c.{fk}
+WHERE c.{fk} IS NOT NULL AND p.{ppk} IS NULL""")
+    q["d4_fk_orphans"] = w("\nUNION ALL\n".join(rel))
+    q["d6_cascade"] = w(f"""
+SELECT i.order_id, i.order_item_id, i.product_id, i.seller_id, CAST(i.price AS DOUBLE) AS price
+FROM t_items i
+WHERE i.order_id IS NULL
+   OR i.order_id IN (SELECT order_id FROM t_orders WHERE order_status <> '{oq.DELETED_ORDER_STATUS}')""")
+    q["d7_restrict"] = w(f"""
+SELECT c.customer_id, COUNT(*) AS blocking_rows
+FROM (SELECT DISTINCT customer_id FROM t_segments WHERE segment = '{oq.RESTRICTED_SEGMENT}') c
+JOIN t_orders o ON o.customer_id = c.customer_id
+GROUP BY c.customer_id""")
+    deleted = ", ".join(f"'{x}'" for x in oq.DELETED_TRANSLATIONS)
+    q["d8_set_null"] = w(f"""
+SELECT p.product_id,
+       CASE WHEN p.product_category_name IN (SELECT product_category_name FROM t_translation
+                                             WHERE product_category_name IN ({deleted}))
+            THEN NULL ELSE p.product_category_name END AS product_category_name
+FROM t_products p""")
+    q["d9_rename"] = w(f"""
+SELECT o.order_id, COALESCE(m.new_key, o.customer_id) AS customer_id, o.order_status,
+       o.order_purchase_timestamp, o.order_approved_at
+FROM t_orders o
+LEFT JOIN (SELECT customer_id AS old_key, customer_id + {oq.RENAME_OFFSET} AS new_key
+           FROM t_segments WHERE segment = '{oq.RENAMED_SEGMENT}') m ON o.customer_id = m.old_key""")
+    q["d11_missing_reference"] = w("""
+SELECT DISTINCT p.product_category_name
+FROM t_products_clean p LEFT JOIN t_translation t ON p.product_category_name = t.product_category_name
+WHERE p.product_category_name IS NOT NULL AND t.product_category_name IS NULL""")
+
+    q["j2_fanout"] = w("""
+SELECT i.order_id, i.order_item_id, i.product_id, pay.payment_sequential,
+       CAST(i.price AS DOUBLE) AS price, CAST(pay.payment_value AS DOUBLE) AS payment_value
+FROM t_items i JOIN t_payments pay ON i.order_id = pay.order_id""")
+    q["j3_join_preaggregated"] = w("""
+SELECT u.seller_id, u.order_id, s.seller_city, s.seller_state,
+       CAST(u.order_seller_price AS DOUBLE) AS order_seller_price, u.items_count
+FROM (SELECT seller_id, order_id, SUM(price) AS order_seller_price, COUNT(*) AS items_count
+      FROM t_items GROUP BY seller_id, order_id) u
+JOIN t_sellers s ON s.seller_id = u.seller_id""")
+    q["j4_left"] = w("""
+SELECT o.order_id, COUNT(i.order_id) AS n_items, CAST(COALESCE(SUM(i.price), 0) AS DOUBLE) AS order_amount
+FROM t_orders o LEFT JOIN t_items i ON o.order_id = i.order_id
+GROUP BY o.order_id""")
+    q["j5_anti"] = w("""
+SELECT p.product_id, p.product_category_name
+FROM t_products_clean p LEFT JOIN t_translation t ON p.product_category_name = t.product_category_name
+WHERE p.product_category_name IS NOT NULL AND t.product_category_name IS NULL""")
+    q["j6_lateral_top1"] = w("""
+SELECT s.seller_id, tc.product_category_name, CAST(tc.category_revenue AS DOUBLE) AS category_revenue
+FROM (SELECT DISTINCT seller_id FROM t_items) s
+JOIN LATERAL (
+  SELECT p.product_category_name, SUM(i.price) AS category_revenue
+  FROM t_items i LEFT JOIN t_products p ON i.product_id = p.product_id
+  WHERE i.seller_id = s.seller_id
+  GROUP BY p.product_category_name
+  ORDER BY SUM(i.price) DESC NULLS FIRST, p.product_category_name NULLS FIRST
+  LIMIT 1) tc ON TRUE""")
+    q["p12_tuple_semi"] = w(f"""
+SELECT product_category_name, payment_type, order_id, CAST(payment_value AS DOUBLE) AS payment_value
+FROM order_level
+WHERE (product_category_name, payment_type) IN (
+  SELECT product_category_name, payment_type FROM order_level
+  GROUP BY payment_type, product_category_name
+  HAVING SUM(payment_value) > {X_MIN_TOTAL} AND COUNT(DISTINCT order_id) > {X_MIN_ORDERS})""", ORDER_LEVEL_CTE)
+
+    q["a2_multi_key"] = w("""
+SELECT seller_id, order_id, CAST(SUM(price) AS DOUBLE) AS order_seller_price, COUNT(*) AS items_count
+FROM t_items GROUP BY seller_id, order_id""")
+    q["a3_rollup"] = w("""
+SELECT s.seller_state, s.seller_city,
+       CAST(GROUPING(s.seller_state) AS INTEGER) AS g_state, CAST(GROUPING(s.seller_city) AS INTEGER) AS g_city,
+       CAST(SUM(i.price) AS DOUBLE) AS revenue, COUNT(*) AS n_items
+FROM t_items i JOIN t_sellers s ON s.seller_id = i.seller_id
+GROUP BY ROLLUP (s.seller_state, s.seller_city)""")
+    q["a4_grouping_sets"] = w("""
+SELECT product_category_name, payment_type,
+       CAST(GROUPING(product_category_name) AS INTEGER) AS grouping_category,
+       CAST(GROUPING(payment_type) AS INTEGER) AS grouping_payment,
+       CAST(SUM(payment_value) AS DOUBLE) AS total_payment, COUNT(*) AS n_rows
+FROM order_level
+GROUP BY GROUPING SETS ((product_category_name, payment_type), (product_category_name), (payment_type))""",
+                            ORDER_LEVEL_CTE)
+    q["a5_hierarchy_sets"] = w("""
+SELECT s.seller_state, s.seller_city, CAST(GROUPING(s.seller_city) AS INTEGER) AS is_state_summary,
+       CAST(SUM(i.price) AS DOUBLE) AS revenue, COUNT(DISTINCT i.order_id) AS uq_orders
+FROM t_items i JOIN t_sellers s ON s.seller_id = i.seller_id
+GROUP BY GROUPING SETS ((s.seller_state, s.seller_city), (s.seller_state))""")
+    q["a10_two_distincts"] = w("""
+SELECT s.seller_state, COUNT(DISTINCT s.seller_id) AS sellers_count, COUNT(DISTINCT i.order_id) AS orders_count
+FROM t_items i JOIN t_sellers s ON s.seller_id = i.seller_id
+GROUP BY s.seller_state""")
+    q["a13_stddev_variance_cv"] = w(f"""
+SELECT seller_id, {r2('AVG(price)')} AS avg_price, {r2('STDDEV_SAMP(price)')} AS price_stddev,
+       {r2('VAR_SAMP(price)')} AS price_variance, {r2('STDDEV_SAMP(price) / AVG(price) * 100')} AS cv
+FROM t_items GROUP BY seller_id""")
+    q["a16_median"] = w(f"""
+SELECT p.product_category_name,
+       {r2('PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY CAST(i.price AS DOUBLE))')} AS median_price
+FROM t_items i JOIN t_products p ON i.product_id = p.product_id
+GROUP BY p.product_category_name""")
+    q["a17_median_finest"] = q2_sets_by_order(-1, -1)
+    q["a19_distinct"] = w("SELECT DISTINCT product_category_name FROM t_products")
+
+    q["w1_row_number"] = w(f"""
+SELECT customer_unique_id, order_id, order_purchase_timestamp FROM (
+  SELECT c.customer_unique_id, o.order_id, o.order_purchase_timestamp,
+         ROW_NUMBER() OVER (PARTITION BY c.customer_unique_id
+                            ORDER BY o.order_purchase_timestamp DESC NULLS FIRST, o.order_id) AS rn
+  FROM t_customers c JOIN t_orders o ON c.customer_id = o.customer_id
+  WHERE o.order_status = '{tb.DELIVERED_STATUS}') r
+WHERE rn = 1""")
+    q["w2_first_value"] = w("""
+SELECT DISTINCT i.order_id,
+       FIRST_VALUE(COALESCE(p.product_category_name, 'Uncategorized')) OVER (
+           PARTITION BY i.order_id
+           ORDER BY i.price DESC NULLS FIRST, COALESCE(p.product_category_name, 'Uncategorized')) AS top_category
+FROM t_items i LEFT JOIN t_products p ON i.product_id = p.product_id""")
+    q["w3_partition_sum"] = w("""
+SELECT order_id, order_item_id, product_id, CAST(price AS DOUBLE) AS price,
+       CAST(SUM(price) OVER (PARTITION BY order_id) AS DOUBLE) AS order_amount
+FROM t_items""")
+    q["w4_first_per_key"] = w("""
+SELECT DISTINCT ON (seller_id) order_id, order_item_id, product_id, seller_id, CAST(price AS DOUBLE) AS price
+FROM t_items
+ORDER BY seller_id, price DESC NULLS FIRST, order_id, order_item_id, product_id""")
+    q["o5_top_by_sum"] = w("""
+SELECT DISTINCT ON (payment_type) payment_type, product_category_name,
+       CAST(SUM(payment_value) AS DOUBLE) AS total_payment
+FROM order_level
+GROUP BY payment_type, product_category_name
+ORDER BY payment_type, SUM(payment_value) DESC NULLS FIRST, product_category_name NULLS FIRST""", ORDER_LEVEL_CTE)
+    q["u1_union_all"] = w("""
+SELECT product_category_name, payment_type, CAST(SUM(payment_value) AS DOUBLE) AS total_payment,
+       COUNT(*) AS unique_orders, 0 AS grouping_category, 0 AS grouping_payment
+FROM order_level GROUP BY product_category_name, payment_type
+UNION ALL
+SELECT product_category_name, CAST(NULL AS VARCHAR), CAST(SUM(payment_value) AS DOUBLE), COUNT(DISTINCT order_id), 0, 1
+FROM order_level GROUP BY product_category_name
+UNION ALL
+SELECT CAST(NULL AS VARCHAR), payment_type, CAST(SUM(payment_value) AS DOUBLE), COUNT(DISTINCT order_id), 1, 0
+FROM order_level GROUP BY payment_type""", ORDER_LEVEL_CTE)
+
+    q["f1_round_half_up"] = w(f"""
+SELECT seller_id, {r2('AVG(price)')} AS avg_price,
+       {r2('SUM(price) / COUNT(DISTINCT order_id)')} AS avg_order_value
+FROM t_items GROUP BY seller_id""")
+    q["f5_coalesce"] = w("""
+SELECT o.order_id, CAST(COALESCE(f.order_amount, 0) AS DOUBLE) AS order_amount,
+       COALESCE(f.top_category, 'Uncategorized') AS top_category
+FROM t_orders o
+LEFT JOIN (
+  SELECT DISTINCT i.order_id,
+         SUM(i.price) OVER (PARTITION BY i.order_id) AS order_amount,
+         FIRST_VALUE(COALESCE(p.product_category_name, 'Uncategorized')) OVER (
+             PARTITION BY i.order_id
+             ORDER BY i.price DESC NULLS FIRST, COALESCE(p.product_category_name, 'Uncategorized')) AS top_category
+  FROM t_items i LEFT JOIN t_products p ON i.product_id = p.product_id) f ON f.order_id = o.order_id""")
+    q["f6_segments"] = w(f"""
+SELECT c.customer_unique_id, {r2('COALESCE(SUM(i.price), 0)')} AS lifetime_value,
+       CASE WHEN COALESCE(SUM(i.price), 0) > {Q4_VIP} THEN 'VIP'
+            WHEN COALESCE(SUM(i.price), 0) >= {Q4_HIGH} THEN 'High Value'
+            ELSE 'Standard' END AS customer_segment
+FROM t_customers c JOIN t_orders o ON c.customer_id = o.customer_id
+LEFT JOIN t_items i ON o.order_id = i.order_id
+GROUP BY c.customer_unique_id""")
+    q["s3_values"] = w("""
+SELECT t.product_category_name_english, COUNT(*) AS n_products
+FROM t_products p LEFT JOIN t_translation t ON p.product_category_name = t.product_category_name
+GROUP BY t.product_category_name_english""")
+    return q
+
+
+def operator_sql() -> dict[str, str]:
+    return _ops_sql()

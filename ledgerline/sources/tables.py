@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.scalars import MONEY
 from ledgerline.sources.schemas import RAW
@@ -37,6 +38,40 @@ BAD_TEXT_EVERY, BAD_TEXT = 997, "not a date"
 EMPTY_TEXT_EVERY = 991
 
 
+# Declared schemas of the driver's parquet files: reading with a schema
+# skips the footer-inference job Spark would otherwise run per read.
+_I, _L, _D, _S, _TS = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType(), T.TimestampNTZType()
+DRIVER_SCHEMAS = {
+    "region": [("r_regionkey", _I), ("r_name", _S)],
+    "nation": [("n_nationkey", _I), ("n_name", _S), ("n_regionkey", _I)],
+    "customer": [("c_custkey", _L), ("c_name", _S), ("c_nationkey", _I), ("c_acctbal", _D), ("c_mktsegment", _S)],
+    "supplier": [("s_suppkey", _L), ("s_name", _S), ("s_nationkey", _I), ("s_acctbal", _D)],
+    "part": [("p_partkey", _L), ("p_name", _S), ("p_brand", _S), ("p_type", _S), ("p_size", _I),
+             ("p_retailprice", _D)],
+    "orders": [("o_orderkey", _L), ("o_custkey", _L), ("o_orderstatus", _S), ("o_totalprice", _D),
+               ("o_orderdate", _TS), ("o_orderpriority", _S)],
+    "lineitem": [("l_orderkey", _L), ("l_partkey", _L), ("l_suppkey", _L), ("l_linenumber", _I),
+                 ("l_quantity", _D), ("l_extendedprice", _D), ("l_discount", _D), ("l_tax", _D),
+                 ("l_returnflag", _S), ("l_linestatus", _S), ("l_shipdate", _TS)],
+    "events": [("event_id", _L), ("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D), ("props", _S)],
+}
+
+# A dimension is broadcast only when a bounded count proves it has at most
+# this many rows (narrow rows: well under 100 MB of hash table); above the
+# bound the join stays a shuffle join.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
+
+    The check is a ``limit(max_rows + 1).count()``: it stops reading once
+    the bound is passed, so it stays cheap on a huge table.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 @dataclass(frozen=True)
 class Tables:
     orders: DataFrame
@@ -53,7 +88,8 @@ class Tables:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    schema = T.StructType([T.StructField(n, t, True) for n, t in DRIVER_SCHEMAS[name]])
+    return spark.read.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def translation_rows() -> list[tuple[str, str]]:
@@ -82,6 +118,29 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_items_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with the column that tells which stored copy came later.
+
+    Parquet has no physical row address; the ship date stands in for the
+    load time and (product, seller, price) complete a total order.
+    """
+    li = _read(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("order_item_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_suppkey").alias("seller_id"),
+        F.col("l_extendedprice").cast(MONEY).alias("price"),
+        F.col("l_shipdate").alias("loaded_at"),
+    )
+
+
+def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer_id with its market segment (used to pick rows to act on)."""
+    c = _read(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+
+
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payment per (order, return flag): several payments per order."""
     li = _read(spark, sf_dir, "lineitem")
@@ -176,22 +235,47 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def commerce_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The analysis-ready tables (typed timestamps, NULL category)."""
-    return Tables(
-        orders=orders(spark, sf_dir),
-        order_items=order_items(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        reviews=reviews(spark, sf_dir),
-        customers=customers(spark, sf_dir),
-        sellers=sellers(spark, sf_dir),
-        products=products(spark, sf_dir),
-        translation=translation(spark),
-    )
+_CACHE: dict[tuple[int, str, bool], Tables] = {}
+
+
+def commerce_tables(spark: SparkSession, sf_dir: str, size_checked: bool = True) -> Tables:
+    """The analysis-ready tables (typed timestamps, NULL category).
+
+    Built once per (session, folder): the DataFrames are lazy plans, so
+    reusing them shares no data between queries. With ``size_checked`` the
+    two dimensions (sellers, products) carry a broadcast hint when a bounded
+    count shows they are small; the fact tables never do.
+    """
+    key = (id(spark), sf_dir, size_checked)
+    if key not in _CACHE:
+        s, p = sellers(spark, sf_dir), products(spark, sf_dir)
+        if size_checked:
+            s, p = bounded_broadcast(s), bounded_broadcast(p)
+        _CACHE[key] = Tables(
+            orders=orders(spark, sf_dir),
+            order_items=order_items(spark, sf_dir),
+            payments=payments(spark, sf_dir),
+            reviews=reviews(spark, sf_dir),
+            customers=customers(spark, sf_dir),
+            sellers=s,
+            products=p,
+            translation=translation(spark),
+        )
+    return _CACHE[key]
 
 
 def raw_tables(spark: SparkSession, sf_dir: str, defects: bool = False) -> Tables:
     """The raw layer: text timestamps, blank categories, duplicates kept."""
+    key = (id(spark), sf_dir, defects, "raw")
+    if key not in _RAW_CACHE:
+        _RAW_CACHE[key] = _raw_tables(spark, sf_dir, defects)
+    return _RAW_CACHE[key]
+
+
+_RAW_CACHE: dict[tuple, Tables] = {}
+
+
+def _raw_tables(spark: SparkSession, sf_dir: str, defects: bool) -> Tables:
     return Tables(
         orders=raw_orders(spark, sf_dir, defects=defects),
         order_items=order_items(spark, sf_dir),
