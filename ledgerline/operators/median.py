@@ -14,9 +14,16 @@ from pyspark.sql import functions as F
 
 
 def median_expr(value: str, weight: str | None = None) -> Column:
+    """Median of ``value`` (optionally each row counted ``weight`` times).
+
+    The value is ordered and interpolated in double precision, like the
+    reference's PERCENTILE_CONT over a float column; double keys also hash
+    much faster than decimals in the percentile's value map.
+    """
+    v = F.col(value).cast("double")
     if weight is None:
-        return F.percentile(F.col(value), F.lit(0.5))
-    return F.percentile(F.col(value), F.lit(0.5), F.col(weight))
+        return F.percentile(v, F.lit(0.5))
+    return F.percentile(v, F.lit(0.5), F.col(weight))
 
 
 def median_by(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median") -> DataFrame:

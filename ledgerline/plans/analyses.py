@@ -19,6 +19,9 @@ Scale notes, shared by all of them:
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +55,23 @@ def item_sellers(items: DataFrame, sellers: DataFrame) -> DataFrame:
     )
 
 
+def item_categories(items: DataFrame, products: DataFrame) -> DataFrame:
+    """Items per (order, category), hash-partitioned by ``order_id``.
+
+    The one shuffle of the item side by order_id serves this count, the join
+    with payments and every later COUNT(DISTINCT order_id): a grouping on
+    (keys, order_id) is already satisfied by an order_id partitioning, so
+    the distinct phase needs no exchange of its own.
+    """
+    return (
+        items.select("order_id", "product_id")
+        .join(products.select("product_id", CAT), "product_id")
+        .repartition("order_id")
+        .groupBy("order_id", CAT)
+        .agg(F.count(F.lit(1)).alias("_n_items"))
+    )
+
+
 def order_level(items: DataFrame, payments: DataFrame, products: DataFrame) -> DataFrame:
     """Payment value per (category, payment type, order) over items x payments.
 
@@ -60,14 +80,8 @@ def order_level(items: DataFrame, payments: DataFrame, products: DataFrame) -> D
     are reduced to the order grain before the join: the fan-out is never
     materialised and the result is exactly the same.
     """
-    item_cats = (
-        items.select("order_id", "product_id")
-        .join(products.select("product_id", CAT), "product_id")
-        .groupBy("order_id", CAT)
-        .agg(F.count(F.lit(1)).alias("_n_items"))
-    )
     pay_sums = payments.groupBy("order_id", PAY).agg(F.sum("payment_value").alias("_pay"))
-    return item_cats.join(pay_sums, "order_id").select(
+    return item_categories(items, products).join(pay_sums, "order_id").select(
         CAT, PAY, "order_id", (_c("_pay") * _c("_n_items")).alias("payment_value")
     )
 
@@ -78,13 +92,34 @@ def weighted_payment_rows(items: DataFrame, payments: DataFrame, products: DataF
     One row per (order, category, payment) with ``_w`` = number of items of
     that category in the order: it stands for ``_w`` identical joined rows.
     """
-    item_cats = (
-        items.select("order_id", "product_id")
-        .join(products.select("product_id", CAT), "product_id")
-        .groupBy("order_id", CAT)
-        .agg(F.count(F.lit(1)).alias("_w"))
+    return item_categories(items, products).withColumnRenamed("_n_items", "_w").join(
+        payments.select("order_id", PAY, "payment_value"), "order_id"
     )
-    return item_cats.join(payments.select("order_id", PAY, "payment_value"), "order_id")
+
+
+def sets_as_union(
+    df: DataFrame, sets: list[list[str]], keys: list[str], aggs: Callable[[], list[Column]], flag_names: dict[str, str]
+) -> DataFrame:
+    """GROUPING SETS evaluated as one aggregate per set, unioned.
+
+    Same rows and GROUPING() flags as ``groupingSets`` (a key outside the
+    set is NULL and flagged 1). Expand would multiply the rows by the number
+    of sets and drop the input partitioning; each per-set aggregate keeps
+    the order_id partitioning, so its DISTINCT phase needs no exchange and
+    the shared input shuffle is reused by every set. ``aggs`` returns fresh
+    aggregate columns for each set.
+    """
+    dtypes = dict(df.dtypes)
+    parts = []
+    for group in sets:
+        agg = df.groupBy(*group).agg(*aggs())
+        measures = [c for c in agg.columns if c not in group]
+        parts.append(agg.select(
+            *[_c(k) if k in group else typed_null(dtypes[k]).alias(k) for k in keys],
+            *[F.lit(0 if k in group else 1).alias(name) for k, name in flag_names.items()],
+            *measures,
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def order_facts(items: DataFrame, products: DataFrame, label: str = LABEL_UNCATEGORIZED) -> DataFrame:
@@ -173,22 +208,17 @@ def category_payment_sets(
     """Q2L: total, distinct orders and median payment over the joined
     (item x payment) rows for (category, type), (category), (type)."""
     rows = weighted_payment_rows(items, payments, products)
-    agg = rows.groupingSets(CAT_PAY_SETS, CAT, PAY).agg(
-        flag(CAT).alias("is_cat_aggaregated"),
-        flag(PAY).alias("is_pay_aggregated"),
-        F.sum(_c("payment_value") * _c("_w")).alias("_total"),
-        F.count_distinct("order_id").alias("uq_orders_count"),
+    flags = {CAT: "is_cat_aggaregated", PAY: "is_pay_aggregated"}
+    totals = sets_as_union(
+        rows, CAT_PAY_SETS, [CAT, PAY],
+        lambda: [F.sum(_c("payment_value") * _c("_w")).alias("_total"), F.count_distinct("order_id").alias("uq_orders_count")],
+        flags,
     ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders_count") > F.lit(min_orders)))
-    # The median runs in its own aggregate over the same sets: next to a
-    # DISTINCT aggregate Spark would keep one percentile buffer per
-    # (group, order) instead of one per group.
-    med = rows.groupingSets(CAT_PAY_SETS, CAT, PAY).agg(
-        flag(CAT).alias("is_cat_aggaregated"),
-        flag(PAY).alias("is_pay_aggregated"),
-        median_expr("payment_value", "_w").alias("_median"),
-    )
-    keys = [CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated"]
-    out = null_safe_join(agg, med, keys, "left").select(
+    # The median is a separate aggregate: next to a DISTINCT, Spark would
+    # keep one percentile buffer per (group, order) instead of per group.
+    medians = sets_as_union(rows, CAT_PAY_SETS, [CAT, PAY], lambda: [median_expr("payment_value", "_w").alias("_median")], flags)
+    agg = null_safe_join(totals, medians, [CAT, PAY, *flags.values()], "left")
+    out = agg.select(
         CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated",
         money_out("_total").alias("total"),
         "uq_orders_count",
@@ -208,11 +238,10 @@ def category_payment_sets_by_order(
     joined NULL-safely (A17), so no subtotal group pays for a percentile.
     """
     ol = order_level(items, payments, products)
-    sets = ol.groupingSets(CAT_PAY_SETS, CAT, PAY).agg(
-        F.sum("payment_value").alias("_total"),
-        F.count_distinct("order_id").alias("uq_orders"),
-        flag(CAT).alias("grouping_category"),
-        flag(PAY).alias("grouping_payment"),
+    sets = sets_as_union(
+        ol, CAT_PAY_SETS, [CAT, PAY],
+        lambda: [F.sum("payment_value").alias("_total"), F.count_distinct("order_id").alias("uq_orders")],
+        {CAT: "grouping_category", PAY: "grouping_payment"},
     ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders") > F.lit(min_orders)))
     med = median_by(ol, [CAT, PAY], "payment_value", name="_median").select(
         CAT, PAY, F.lit(0).alias("grouping_category"), F.lit(0).alias("grouping_payment"), "_median"
@@ -299,29 +328,43 @@ def seller_price_dispersion(
     and CV of item prices over the payment-fanned rows.
 
     The reference joins payments only to multiply item rows (no payment
-    column is used). Payments are reduced to a count per order, joined 1:1
-    and each item row is repeated that many times inside its task.
+    column is used). Here each item row carries ``m`` = payments of its order
+    (a 1:1 join with a per-order count) and the statistics are weighted:
+    exact decimal sums of m, m*x and m*x^2 give the fanned count, sum and
+    sample variance without building the fan-out. Distinct sellers are
+    counted apart (a seller sits in one city), so the main aggregate has a
+    single DISTINCT, whose phase reuses the order_id partitioning.
     """
     pay_counts = payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
-    fanned = (
-        item_sellers(items, sellers)
-        .join(pay_counts, "order_id")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), _c("_m"))))
+    rows = item_sellers(items, sellers).join(pay_counts, "order_id").select(
+        "order_id", "seller_id", STATE, CITY, "_m", "price",
+        (_c("price") * _c("_m")).alias("_mx"),
+        (_c("price") * _c("price") * _c("_m")).alias("_mxx"),
     )
-    cv = F.stddev_samp("price") / F.avg("price") * F.lit(100)
-    agg = fanned.groupingSets(REGION_SETS, STATE, CITY).agg(
-        flag(CITY).alias("is_state_summary"),
-        F.count_distinct("seller_id").alias("sellers_count"),
-        F.count_distinct("order_id").alias("orders_count"),
-        F.sum("price").alias("_revenue"),
-        F.var_samp("price").alias("_variance"),
-        cv.alias("_cv"),
+    flags = {CITY: "is_state_summary"}
+    stats = sets_as_union(
+        rows, REGION_SETS, [STATE, CITY],
+        lambda: [
+            F.count_distinct("order_id").alias("orders_count"),
+            F.sum("_m").alias("_n"), F.sum("_mx").alias("_s1"), F.sum("_mxx").alias("_s2"),
+        ],
+        flags,
+    )
+    sellers_per = sets_as_union(
+        rows.select(STATE, CITY, "seller_id").distinct(), REGION_SETS, [STATE, CITY],
+        lambda: [F.count(F.lit(1)).alias("sellers_count")], flags,
     )
-    out = agg.filter(
-        (_c("_revenue") > F.lit(min_revenue)) & (_c("orders_count") > F.lit(min_orders)) & (_c("_cv") > F.lit(min_cv))
+    agg = null_safe_join(stats, sellers_per, [STATE, CITY, "is_state_summary"])
+    n = _c("_n").cast("double")
+    mean = _c("_s1").cast("double") / n
+    # sample variance from exact sums; one row has no sample variance
+    variance = F.when(_c("_n") > F.lit(1), (_c("_s2").cast("double") - _c("_s1").cast("double") * mean) / (n - F.lit(1.0)))
+    cv = F.sqrt(variance) / mean * F.lit(100)
+    out = agg.select("*", variance.alias("_variance"), cv.alias("_cv")).filter(
+        (_c("_s1") > F.lit(min_revenue)) & (_c("orders_count") > F.lit(min_orders)) & (_c("_cv") > F.lit(min_cv))
     ).select(
         CITY, STATE, "is_state_summary", "sellers_count", "orders_count",
-        money_out("_revenue").alias("total_revenue"),
+        money_out("_s1").alias("total_revenue"),
         round2("_variance").alias("price_variance"),
         round2("_cv").alias("cv"),
     )
