@@ -19,7 +19,9 @@ def read_raw_csv(spark: SparkSession, path: str, table: str, mode: str = "FAILFA
 
     ``mode`` is Spark's CSV parse mode: FAILFAST aborts on a malformed line,
     PERMISSIVE turns unparsable fields into NULL. Timestamps stay text here;
-    the cleaning step types them.
+    the cleaning step types them. An empty field reads as NULL (Spark's
+    default ``nullValue``), so an empty timestamp text in a dump is a NULL
+    timestamp, not a rejected one.
     """
     return spark.read.schema(RAW[table]).option("header", header).option("mode", mode).csv(path)
 
