@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import WIDE, flag, money_out, round2, segment_label, typed_null
 from ledgerline.operators.joins import null_safe_join, semi_by_tuple
-from ledgerline.operators.median import median_by, median_expr
+from ledgerline.operators.median import exact_median, median_by
 from ledgerline.operators.ranking import top_per_group
 
 CAT, PAY = "product_category_name", "payment_type"
@@ -97,29 +97,26 @@ def weighted_payment_rows(items: DataFrame, payments: DataFrame, products: DataF
     )
 
 
-def sets_as_union(
-    df: DataFrame, sets: list[list[str]], keys: list[str], aggs: Callable[[], list[Column]], flag_names: dict[str, str]
+def expand_sets(
+    df: DataFrame, sets: list[list[str]], keys: list[str], flag_names: dict[str, str], carry: list[str]
 ) -> DataFrame:
-    """GROUPING SETS evaluated as one aggregate per set, unioned.
-
-    Same rows and GROUPING() flags as ``groupingSets`` (a key outside the
-    set is NULL and flagged 1). Expand would multiply the rows by the number
-    of sets and drop the input partitioning; each per-set aggregate keeps
-    the order_id partitioning, so its DISTINCT phase needs no exchange and
-    the shared input shuffle is reused by every set. ``aggs`` returns fresh
-    aggregate columns for each set.
+    """One copy of each row per grouping set, made inside its task.
+
+    Keys outside the set are NULL and the GROUPING() flags are columns, so
+    any aggregate grouped by keys + flags is the GROUPING SETS result. Unlike
+    Spark's Expand, the generator keeps the input partitioning: rows that
+    are hash-partitioned by order_id stay so, and COUNT(DISTINCT order_id)
+    needs no shuffle for its distinct phase.
     """
     dtypes = dict(df.dtypes)
-    parts = []
-    for group in sets:
-        agg = df.groupBy(*group).agg(*aggs())
-        measures = [c for c in agg.columns if c not in group]
-        parts.append(agg.select(
-            *[_c(k) if k in group else typed_null(dtypes[k]).alias(k) for k in keys],
+    copies = F.array(*[
+        F.struct(
+            *[(_c(k) if k in group else typed_null(dtypes[k])).alias(k) for k in keys],
             *[F.lit(0 if k in group else 1).alias(name) for k, name in flag_names.items()],
-            *measures,
-        ))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        )
+        for group in sets
+    ])
+    return df.select(F.explode(copies).alias("_set"), *carry).select("_set.*", *carry)
 
 
 def order_facts(items: DataFrame, products: DataFrame, label: str = LABEL_UNCATEGORIZED) -> DataFrame:
@@ -209,15 +206,16 @@ def category_payment_sets(
     (item x payment) rows for (category, type), (category), (type)."""
     rows = weighted_payment_rows(items, payments, products)
     flags = {CAT: "is_cat_aggaregated", PAY: "is_pay_aggregated"}
-    totals = sets_as_union(
-        rows, CAT_PAY_SETS, [CAT, PAY],
-        lambda: [F.sum(_c("payment_value") * _c("_w")).alias("_total"), F.count_distinct("order_id").alias("uq_orders_count")],
-        flags,
+    keys = [CAT, PAY, *flags.values()]
+    expanded = expand_sets(rows, CAT_PAY_SETS, [CAT, PAY], flags, ["order_id", "payment_value", "_w"])
+    totals = expanded.groupBy(*keys).agg(
+        F.sum(_c("payment_value") * _c("_w")).alias("_total"), F.count_distinct("order_id").alias("uq_orders_count")
     ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders_count") > F.lit(min_orders)))
-    # The median is a separate aggregate: next to a DISTINCT, Spark would
-    # keep one percentile buffer per (group, order) instead of per group.
-    medians = sets_as_union(rows, CAT_PAY_SETS, [CAT, PAY], lambda: [median_expr("payment_value", "_w").alias("_median")], flags)
-    agg = null_safe_join(totals, medians, [CAT, PAY, *flags.values()], "left")
+    # The median is its own exact, range-bucketed computation (weighted by
+    # _w): a subtotal group never sits whole in one task, and no percentile
+    # buffer rides along the DISTINCT phase.
+    medians = exact_median(expanded, keys, "payment_value", "_w", name="_median")
+    agg = null_safe_join(totals, medians, keys, "left")
     out = agg.select(
         CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated",
         money_out("_total").alias("total"),
@@ -238,11 +236,13 @@ def category_payment_sets_by_order(
     joined NULL-safely (A17), so no subtotal group pays for a percentile.
     """
     ol = order_level(items, payments, products)
-    sets = sets_as_union(
-        ol, CAT_PAY_SETS, [CAT, PAY],
-        lambda: [F.sum("payment_value").alias("_total"), F.count_distinct("order_id").alias("uq_orders")],
-        {CAT: "grouping_category", PAY: "grouping_payment"},
-    ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders") > F.lit(min_orders)))
+    flags = {CAT: "grouping_category", PAY: "grouping_payment"}
+    sets = (
+        expand_sets(ol, CAT_PAY_SETS, [CAT, PAY], flags, ["order_id", "payment_value"])
+        .groupBy(CAT, PAY, *flags.values())
+        .agg(F.sum("payment_value").alias("_total"), F.count_distinct("order_id").alias("uq_orders"))
+        .filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders") > F.lit(min_orders)))
+    )
     med = median_by(ol, [CAT, PAY], "payment_value", name="_median").select(
         CAT, PAY, F.lit(0).alias("grouping_category"), F.lit(0).alias("grouping_payment"), "_median"
     )
@@ -342,19 +342,14 @@ def seller_price_dispersion(
         (_c("price") * _c("price") * _c("_m")).alias("_mxx"),
     )
     flags = {CITY: "is_state_summary"}
-    stats = sets_as_union(
-        rows, REGION_SETS, [STATE, CITY],
-        lambda: [
-            F.count_distinct("order_id").alias("orders_count"),
-            F.sum("_m").alias("_n"), F.sum("_mx").alias("_s1"), F.sum("_mxx").alias("_s2"),
-        ],
-        flags,
-    )
-    sellers_per = sets_as_union(
-        rows.select(STATE, CITY, "seller_id").distinct(), REGION_SETS, [STATE, CITY],
-        lambda: [F.count(F.lit(1)).alias("sellers_count")], flags,
+    keys = [STATE, CITY, "is_state_summary"]
+    expanded = expand_sets(rows, REGION_SETS, [STATE, CITY], flags, ["order_id", "seller_id", "_m", "_mx", "_mxx"])
+    stats = expanded.groupBy(*keys).agg(
+        F.count_distinct("order_id").alias("orders_count"),
+        F.sum("_m").alias("_n"), F.sum("_mx").alias("_s1"), F.sum("_mxx").alias("_s2"),
     )
-    agg = null_safe_join(stats, sellers_per, [STATE, CITY, "is_state_summary"])
+    sellers_per = expanded.select(*keys, "seller_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("sellers_count"))
+    agg = null_safe_join(stats, sellers_per, keys)
     n = _c("_n").cast("double")
     mean = _c("_s1").cast("double") / n
     # sample variance from exact sums; one row has no sample variance

@@ -14,7 +14,7 @@ from ledgerline.functions.scalars import MONEY, flag, money_out, round2, segment
 from ledgerline.operators import cleaning as cl
 from ledgerline.operators import integrity as ig
 from ledgerline.operators.joins import semi_by_tuple
-from ledgerline.operators.median import median_expr
+from ledgerline.operators.median import exact_median
 from ledgerline.operators.ranking import top_per_group
 from ledgerline.plans import analyses as an
 from ledgerline.plans.analyses import CAT, CITY, PAY, PERSON, STATE, TS
@@ -292,7 +292,7 @@ def a13_stddev_variance_cv(spark: SparkSession, d: str) -> DataFrame:
 def a16_median(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
     j = t.order_items.select("product_id", "price").join(t.products, "product_id")
-    return j.groupBy(CAT).agg(round2(median_expr("price")).alias("median_price"))
+    return exact_median(j, [CAT], "price", name="_m").select(CAT, round2("_m").alias("median_price"))
 
 
 def a17_median_finest(spark: SparkSession, d: str) -> DataFrame:
