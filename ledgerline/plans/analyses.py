@@ -282,6 +282,32 @@ def _union_out(detail: DataFrame, by_cat: DataFrame, by_pay: DataFrame) -> DataF
     return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc())
 
 
+def _grains(ol: DataFrame, sets: list[list[str]], min_total: float, min_orders: int) -> DataFrame:
+    """Several unioned grains of the order-level rows in one read, each with
+    its own HAVING. Detail rows are unique per (category, type, order), so
+    their COUNT(*) equals the distinct order count."""
+    flags = {CAT: "grouping_category", PAY: "grouping_payment"}
+    grains = (
+        expand_sets(ol, sets, [CAT, PAY], flags, ["order_id", "payment_value"])
+        .groupBy(CAT, PAY, *flags.values())
+        .agg(
+            F.sum("payment_value").alias("_total"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.count_distinct("order_id").alias("_uq"),
+        )
+        .filter((_c("_total") > F.lit(min_total)) & (_c("_uq") > F.lit(min_orders)))
+    )
+    detail = (_c("grouping_category") == 0) & (_c("grouping_payment") == 0)
+    out = grains.select(
+        CAT, PAY,
+        money_out("_total").alias("total_payment"),
+        F.when(detail, _c("_rows")).otherwise(_c("_uq")).cast("bigint").alias("unique_orders"),
+        _c("grouping_category").cast("int").alias("grouping_category"),
+        _c("grouping_payment").cast("int").alias("grouping_payment"),
+    )
+    return out
+
+
 def category_payment_union_filtered(
     items: DataFrame, payments: DataFrame, products: DataFrame,
     min_total: float = 100000, min_orders: int = 500,
@@ -291,11 +317,13 @@ def category_payment_union_filtered(
     ol = order_level(items, payments, products)
     stats = _grain(ol, [PAY, CAT], min_total, min_orders)
     passing = semi_by_tuple(ol, stats, [CAT, PAY])
-    return _union_out(
-        stats,
-        _grain(passing, [CAT], min_total, min_orders),
-        _grain(passing, [PAY], min_total, min_orders),
-    )
+    detail = stats.select(
+        CAT, PAY, money_out("_total").alias("total_payment"),
+        _c("unique_orders").cast("bigint").alias("unique_orders"),
+        F.lit(0).alias("grouping_category"), F.lit(0).alias("grouping_payment"))
+    subtotals = _grains(passing, [[CAT], [PAY]], min_total, min_orders)
+    out = detail.unionByName(subtotals)
+    return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc())
 
 
 def category_payment_union(
@@ -303,14 +331,10 @@ def category_payment_union(
     min_total: float = 100000, min_orders: int = 500,
 ) -> DataFrame:
     """Three unioned grains, each with its own HAVING (= Q2O without the
-    median). The order-level relation is read three times; Spark reuses its
-    shuffle instead of recomputing it."""
+    median), all from one read of the order-level rows."""
     ol = order_level(items, payments, products)
-    return _union_out(
-        _grain(ol, [PAY, CAT], min_total, min_orders, count_rows=True),
-        _grain(ol, [CAT], min_total, min_orders),
-        _grain(ol, [PAY], min_total, min_orders),
-    )
+    out = _grains(ol, CAT_PAY_SETS, min_total, min_orders)
+    return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc())
 
 
 # ---------------------------------------------------------------------------

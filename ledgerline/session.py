@@ -34,6 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
+        # local runs: small shuffles are CPU-bound here, so let AQE keep
+        # several partitions instead of merging everything under 1 MB
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
