@@ -37,11 +37,16 @@ def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
 
 
 def fk_summary(child: DataFrame, fk: str, parent: DataFrame, pk: str, relation: str) -> DataFrame:
-    """D4 summary: one row with orphan rows and distinct missing keys."""
-    o = orphans(child.select(fk), fk, parent, pk)
-    return o.agg(
-        F.count(F.lit(1)).alias("orphan_rows"),
-        F.count_distinct(fk).alias("missing_keys"),
+    """D4 summary: one row with orphan rows and distinct missing keys.
+
+    References are counted per key first (partial aggregation: a hot key
+    collapses map-side), so the anti join sees each distinct key once.
+    """
+    per_key = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("_rows"))
+    missing = per_key.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+    return missing.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint").alias("orphan_rows"),
+        F.count(F.lit(1)).alias("missing_keys"),
     ).select(F.lit(relation).alias("relation"), "orphan_rows", "missing_keys")
 
 

@@ -70,3 +70,21 @@ def test_pipeline_strict_and_lenient(spark, scratch):
     assert res2.tables["orders"].count() + res2.rejected_orders.count() == bad.orders.count()
     out = materialize_to(res2, scratch, "v1")
     assert out["reviews"].join(out["orders"], "order_id", "left_anti").count() == 0
+
+
+def test_bucketed_tables_join_without_exchange(spark, scratch):
+    from ledgerline.sources.tables import commerce_tables
+
+    t = commerce_tables(spark, SF001)
+    io.write_bucketed(t.order_items, "ll_items_b", os.path.join(scratch, "items_b"), "order_id", 8)
+    io.write_bucketed(t.orders, "ll_orders_b", os.path.join(scratch, "orders_b"), "order_id", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("ll_items_b").join(spark.table("ll_orders_b"), "order_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == t.order_items.join(t.orders, "order_id").count()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS ll_items_b")
+        spark.sql("DROP TABLE IF EXISTS ll_orders_b")
