@@ -1,3 +1,5 @@
+import contextlib
+import io
 import os
 import sys
 
@@ -30,3 +32,11 @@ def duck_sf01():
     from tools.check_oracle import duck
 
     return duck(SF01)
+
+
+def plan_text(df) -> str:
+    """The physical plan as printed by ``explain`` (public API)."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()

@@ -6,7 +6,7 @@ from ledgerline.operators import integrity as ig
 from ledgerline.plans import analyses as an
 from ledgerline.plans import operator_queries as oq
 from ledgerline.sources.tables import commerce_tables
-from tests.conftest import SF01
+from tests.conftest import SF01, plan_text
 
 
 def _t(spark):
@@ -75,6 +75,6 @@ def test_no_plan_has_a_nested_loop_or_global_window(spark):
     import __spark_entry__ as ent
 
     for name, build in ent.queries().items():
-        plan = build(spark, SF01)._jdf.queryExecution().executedPlan().toString()
+        plan = plan_text(build(spark, SF01))
         assert "BroadcastNestedLoopJoin" not in plan, name
         assert "CartesianProduct" not in plan, name

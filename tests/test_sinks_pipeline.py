@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline.plans.pipeline import clean_pipeline, materialize_to
 from ledgerline.sources import io
 from ledgerline.sources.tables import raw_tables
-from tests.conftest import SF001
+from tests.conftest import SF001, plan_text
 
 
 @pytest.fixture()
@@ -81,7 +81,7 @@ def test_bucketed_tables_join_without_exchange(spark, scratch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         j = spark.table("ll_items_b").join(spark.table("ll_orders_b"), "order_id")
-        plan = j._jdf.queryExecution().executedPlan().toString()
+        plan = plan_text(j)
         assert j.count() == t.order_items.join(t.orders, "order_id").count()
         assert "Exchange" not in plan
     finally:
