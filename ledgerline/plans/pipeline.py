@@ -103,10 +103,17 @@ def clean_pipeline(
     return CleanResult(tables, rejected, key_report, reference_report, missing, notes)
 
 
-def materialize_to(result: CleanResult, base: str, version: str) -> dict[str, DataFrame]:
-    """Write every clean table as a new version under ``base`` (use the
-    cluster's shared ``spark.checkpoint.dir`` or a table location) and
-    return DataFrames that read the written files."""
+def materialize_to(result: CleanResult, base: str | None, version: str) -> dict[str, DataFrame]:
+    """Write every clean table as a new version under ``base`` and return
+    DataFrames that read the written files (lineage cut at the files).
+
+    ``base`` defaults to a ``clean`` folder in the shared folder the cluster
+    names in ``spark.checkpoint.dir``; never a machine-local path.
+    """
+    if base is None:
+        from ledgerline.session import scratch_path
+
+        base = scratch_path(result.tables["orders"].sparkSession, "clean")
     out = {}
     for name, df in result.tables.items():
         path = write_version(df, version_path(base, name, version))

@@ -235,7 +235,13 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CACHE: dict[tuple[int, str, bool], Tables] = {}
+_CACHE: dict[tuple, Tables] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple:
+    """A stopped session's application id never comes back, so cached
+    plans of an old session are never handed to a new one."""
+    return (spark.sparkContext.applicationId, id(spark))
 
 
 def commerce_tables(spark: SparkSession, sf_dir: str, size_checked: bool = True) -> Tables:
@@ -246,7 +252,7 @@ def commerce_tables(spark: SparkSession, sf_dir: str, size_checked: bool = True)
     two dimensions (sellers, products) carry a broadcast hint when a bounded
     count shows they are small; the fact tables never do.
     """
-    key = (id(spark), sf_dir, size_checked)
+    key = (_session_key(spark), sf_dir, size_checked)
     if key not in _CACHE:
         s, p = sellers(spark, sf_dir), products(spark, sf_dir)
         if size_checked:
@@ -266,7 +272,7 @@ def commerce_tables(spark: SparkSession, sf_dir: str, size_checked: bool = True)
 
 def raw_tables(spark: SparkSession, sf_dir: str, defects: bool = False) -> Tables:
     """The raw layer: text timestamps, blank categories, duplicates kept."""
-    key = (id(spark), sf_dir, defects, "raw")
+    key = (_session_key(spark), sf_dir, defects, "raw")
     if key not in _RAW_CACHE:
         _RAW_CACHE[key] = _raw_tables(spark, sf_dir, defects)
     return _RAW_CACHE[key]
