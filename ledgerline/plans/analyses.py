@@ -162,12 +162,17 @@ def _q1_out(agg: DataFrame, min_revenue: float) -> DataFrame:
 def seller_sales_rollup(sellers: DataFrame, items: DataFrame, min_revenue: float = 50000) -> DataFrame:
     """Q1L: revenue, distinct orders, order value and price SD per city,
     state subtotal and grand total (ROLLUP), groups above ``min_revenue``."""
-    agg = item_sellers(items, sellers).rollup(STATE, CITY).agg(
-        F.sum("price").alias("_total"),
-        F.count_distinct("order_id").alias("uq_orders_count"),
-        F.stddev_samp("price").alias("_sd"),
+    rows = item_sellers(items, sellers)
+    # Sum and SD reduce map-side to one row per group and task; the DISTINCT
+    # runs in its own aggregate, so its (keys, order) shuffle carries narrow
+    # rows instead of the sum and SD buffers. Rejoined on keys + grouping id.
+    moments = rows.rollup(STATE, CITY).agg(
+        F.grouping_id().alias("_g"), F.sum("price").alias("_total"), F.stddev_samp("price").alias("_sd")
     )
-    return _q1_out(agg, min_revenue)
+    orders = rows.select(STATE, CITY, "order_id").rollup(STATE, CITY).agg(
+        F.grouping_id().alias("_g"), F.count_distinct("order_id").alias("uq_orders_count")
+    )
+    return _q1_out(null_safe_join(moments, orders, [STATE, CITY, "_g"]), min_revenue)
 
 
 def seller_sales_rollup_by_order(sellers: DataFrame, items: DataFrame, min_revenue: float = 50000) -> DataFrame:
@@ -368,12 +373,12 @@ def seller_price_dispersion(
     flags = {CITY: "is_state_summary"}
     keys = [STATE, CITY, "is_state_summary"]
     expanded = expand_sets(rows, REGION_SETS, [STATE, CITY], flags, ["order_id", "seller_id", "_m", "_mx", "_mxx"])
-    stats = expanded.groupBy(*keys).agg(
-        F.count_distinct("order_id").alias("orders_count"),
-        F.sum("_m").alias("_n"), F.sum("_mx").alias("_s1"), F.sum("_mxx").alias("_s2"),
-    )
+    # moments reduce map-side to one row per group; each DISTINCT count runs
+    # apart over narrow (keys, id) rows
+    moments = expanded.groupBy(*keys).agg(F.sum("_m").alias("_n"), F.sum("_mx").alias("_s1"), F.sum("_mxx").alias("_s2"))
+    orders = expanded.select(*keys, "order_id").groupBy(*keys).agg(F.count_distinct("order_id").alias("orders_count"))
     sellers_per = expanded.select(*keys, "seller_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("sellers_count"))
-    agg = null_safe_join(stats, sellers_per, keys)
+    agg = null_safe_join(null_safe_join(moments, orders, keys), sellers_per, keys)
     n = _c("_n").cast("double")
     mean = _c("_s1").cast("double") / n
     # sample variance from exact sums; one row has no sample variance
