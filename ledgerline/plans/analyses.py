@@ -14,6 +14,12 @@ Scale notes, shared by all of them:
   because money is decimal.
 * Top-1 searches use ``row_number`` + ``rn = 1`` (partial WindowGroupLimit
   before the shuffle) or a ``min_by`` aggregate; both pre-reduce hot keys.
+* The item side is hash-partitioned by order_id once; grouping sets over
+  order-grain rows are expanded inside each task (``expand_sets``), so every
+  COUNT(DISTINCT order_id) reuses that partitioning instead of shuffling
+  rows x sets.
+* Medians are exact and two-pass (``operators.median.exact_median``): no
+  task ever holds a whole group, however hot.
 * Ties the reference leaves open get a stated, total tie-break.
 """
 
@@ -139,10 +145,6 @@ def order_facts(items: DataFrame, products: DataFrame, label: str = LABEL_UNCATE
     )
 
 
-def _order_by_final(df: DataFrame, *cols: Column) -> DataFrame:
-    return df.orderBy(*cols)
-
-
 # ---------------------------------------------------------------------------
 # Q1: hierarchical seller sales
 # ---------------------------------------------------------------------------
