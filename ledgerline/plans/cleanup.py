@@ -1,4 +1,4 @@
-"""The cleanup pipeline as one function.
+"""The cleanup steps of the reference run as one function.
 
 Order of the reference: type the timestamps, then remove duplicates before
 each key, check keys and references, repair blank categories and the
@@ -44,7 +44,7 @@ def _load_order(df: DataFrame, keys: Sequence[str], explicit: Sequence[str] | No
     return [c for c in df.columns if c not in keys]
 
 
-def clean_pipeline(
+def run_cleanup(
     raw: Tables,
     strict_types: bool = True,
     load_order: dict[str, Sequence[str]] | None = None,

@@ -1,4 +1,4 @@
-"""Sources and sinks (S1, S7, S8) and the cleanup pipeline."""
+"""Sources and sinks (S1, S7, S8) and the cleanup run."""
 
 import os
 import tempfile
@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.plans.pipeline import clean_pipeline, materialize_to
+from ledgerline.plans.cleanup import run_cleanup, materialize_to
 from ledgerline.sources import io
 from ledgerline.sources.tables import raw_tables
 from tests.conftest import SF001, plan_text
@@ -54,9 +54,9 @@ def test_range_layout_sorted_files(spark, scratch):
     assert ranges.count() >= 1
 
 
-def test_pipeline_strict_and_lenient(spark, scratch):
+def test_cleanup_strict_and_lenient(spark, scratch):
     raw = raw_tables(spark, SF001)
-    res = clean_pipeline(raw, strict_types=True)
+    res = run_cleanup(raw, strict_types=True)
     assert dict(res.tables["orders"].dtypes)["order_purchase_timestamp"] == "timestamp_ntz"
     report = {r.table_name: r.violations for r in res.key_report.collect()}
     assert all(v == 0 for v in report.values()), report
@@ -65,7 +65,7 @@ def test_pipeline_strict_and_lenient(spark, scratch):
     assert [r.product_category_name for r in res.missing_categories.collect()] != []
 
     bad = raw_tables(spark, SF001, defects=True)
-    res2 = clean_pipeline(bad, strict_types=False, drop_orphans=True)
+    res2 = run_cleanup(bad, strict_types=False, drop_orphans=True)
     assert res2.rejected_orders.count() > 0
     assert res2.tables["orders"].count() + res2.rejected_orders.count() == bad.orders.count()
     out = materialize_to(res2, scratch, "v1")
