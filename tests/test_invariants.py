@@ -78,3 +78,10 @@ def test_no_plan_has_a_nested_loop_or_global_window(spark):
         plan = plan_text(build(spark, SF01))
         assert "BroadcastNestedLoopJoin" not in plan, name
         assert "CartesianProduct" not in plan, name
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" in line:
+                # only a global aggregate (after its partial step) or the final
+                # single-partition result may gather rows; never a window
+                above = " ".join(lines[max(0, i - 3):i])
+                assert "Window" not in above, (name, above)
