@@ -27,10 +27,14 @@ def cast_timestamps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).cast(TS_TYPE).alias(c) if c in present else F.col(c) for c in df.columns])
 
 
-def _bad_cell(c: str) -> Column:
+def unparsable(c: str) -> Column:
+    """Text present that does not parse as a timestamp."""
     return F.col(c).isNotNull() & F.col(c).try_cast(TS_TYPE).isNull()
 
 
+_bad_cell = unparsable
+
+
 def quarantine_timestamps(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """D1 lenient: split into (clean rows with typed columns, rejected rows).
 

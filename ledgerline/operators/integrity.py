@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators.joins import missing_references, orphans
@@ -89,13 +89,21 @@ def missing_reference_values(child: DataFrame, fk: str, parent: DataFrame, pk: s
     return missing_references(child, fk, parent, pk)
 
 
+def condition_counts(df: DataFrame, table: str, checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
+    """D13 part: rows meeting each (check, column, condition), all counted
+    in one scan of ``df`` (one global aggregate, partial per task), one
+    output row per check."""
+    row = df.agg(*[F.count_if(cond).alias(f"_c{i}") for i, (_, _, cond) in enumerate(checks)])
+    stack = F.explode(F.array(*[
+        F.struct(F.lit(check).alias("check_name"), F.lit(col).alias("column_name"), F.col(f"_c{i}").alias("n_bad"))
+        for i, (check, col, _) in enumerate(checks)
+    ]))
+    return row.select(stack.alias("_s")).select(F.lit(table).alias("table_name"), "_s.check_name", "_s.column_name", "_s.n_bad")
+
+
 def null_counts(df: DataFrame, table: str) -> DataFrame:
     """D13 part: NULL count of every column, one row per column."""
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_bad")) for c in df.columns]))
-    return row.select(stack.alias("_s")).select(
-        F.lit(table).alias("table_name"), F.lit("null_values").alias("check_name"), "_s.column_name", "_s.n_bad"
-    )
+    return condition_counts(df, table, [("null_values", c, F.col(c).isNull()) for c in df.columns])
 
 
 def count_check(df: DataFrame, table: str, check: str, column: str) -> DataFrame:

@@ -90,8 +90,11 @@ def d13_profile(spark: SparkSession, d: str) -> DataFrame:
     """One row per check over the raw layer (with timestamp defects)."""
     r = _raw(spark, d, defects=True)
     products = cleaned_products(spark, d)
-    frames = []
-    for name in ("orders", "order_items", "payments", "reviews", "customers", "sellers"):
+    # orders: NULLs and unparsable timestamp text in one scan
+    orders_checks = [("null_values", c, F.col(c).isNull()) for c in r.orders.columns]
+    orders_checks += [("unparsable_timestamp", c, cl.unparsable(c)) for c in TEXT_TIMESTAMPS]
+    frames = [ig.condition_counts(r.orders, "orders", orders_checks)]
+    for name in ("order_items", "payments", "reviews", "customers", "sellers"):
         frames.append(ig.null_counts(getattr(r, name), name))
     frames.append(ig.null_counts(products, "products"))
     for name in ("orders", "order_items", "payments", "reviews", "customers", "sellers"):
@@ -103,10 +106,10 @@ def d13_profile(spark: SparkSession, d: str) -> DataFrame:
     children = {"order_items": r.order_items, "payments": r.payments, "reviews": r.reviews, "orders": r.orders,
                 "products": products}
     for child, fk, parent, pk, _ in tb_foreign_keys():
-        frames.append(ig.count_check(ig.fk_orphans(children[child], fk, parents[parent], pk), child, "orphans", fk))
-    for c in TEXT_TIMESTAMPS:
-        bad = cl.unparsable_cells(r.orders, "order_id", [c])
-        frames.append(ig.count_check(bad, "orders", "unparsable_timestamp", c))
+        summary = ig.fk_summary(children[child], fk, parents[parent], pk, child)
+        frames.append(summary.select(
+            F.lit(child).alias("table_name"), F.lit("orphans").alias("check_name"), F.lit(fk).alias("column_name"),
+            F.col("orphan_rows").alias("n_bad")))
     return ig.union_all(frames)
 
 
