@@ -451,8 +451,17 @@ def _customer_metrics(customers: DataFrame, orders: DataFrame, facts: DataFrame,
     )
 
 
-def _ltv_out(metrics: DataFrame, latest: DataFrame, facts: DataFrame, vip: float, high: float, label: str) -> DataFrame:
-    lo = latest.join(facts, "order_id", "left")
+def order_amounts(items: DataFrame) -> DataFrame:
+    """Item amount per order (hash aggregation, partial per task)."""
+    return items.groupBy("order_id").agg(F.sum("price").alias("order_amount"))
+
+
+def _ltv_out(
+    metrics: DataFrame, latest: DataFrame, items: DataFrame, products: DataFrame, vip: float, high: float, label: str
+) -> DataFrame:
+    # amount and dearest category only for the one latest order per person
+    latest_items = items.join(latest.select("order_id"), "order_id", "left_semi")
+    lo = latest.join(order_facts(latest_items, products, label), "order_id", "left")
     out = metrics.join(lo, PERSON, "left").select(
         PERSON,
         "total_orders_count",
@@ -480,15 +489,14 @@ def customer_ltv_latest_order(
     segment and their latest delivered order over *all* their customer ids
     (id, date, amount, dearest item's category). Latest = newest purchase
     timestamp, NULL first as in the reference, then smallest order id."""
-    facts = order_facts(items, products, label)
-    metrics = _customer_metrics(customers, orders, facts, min_orders)
+    metrics = _customer_metrics(customers, orders, order_amounts(items), min_orders)
     delivered_orders = (
         customers.select("customer_id", PERSON)
         .join(orders.filter(_c("order_status") == F.lit(delivered)).select("order_id", "customer_id", TS), "customer_id")
         .join(metrics.select(PERSON), PERSON, "left_semi")
     )
     latest = top_per_group(delivered_orders, [PERSON], latest_first()).select(PERSON, "order_id", TS)
-    return _ltv_out(metrics, latest, facts, vip, high, label)
+    return _ltv_out(metrics, latest, items, products, vip, high, label)
 
 
 def customer_ltv_first_id_order(
@@ -498,13 +506,12 @@ def customer_ltv_first_id_order(
 ) -> DataFrame:
     """Q4O: as Q4L, but the latest delivered order is searched only among
     the orders of the person's smallest customer_id."""
-    facts = order_facts(items, products, label)
-    metrics = _customer_metrics(customers, orders, facts, min_orders)
+    metrics = _customer_metrics(customers, orders, order_amounts(items), min_orders)
     delivered_orders = orders.filter(_c("order_status") == F.lit(delivered)).select("order_id", "customer_id", TS).join(
         metrics.select(PERSON, "customer_id"), "customer_id"
     )
     latest = top_per_group(delivered_orders, [PERSON], latest_first()).select(PERSON, "order_id", TS)
-    return _ltv_out(metrics, latest, facts, vip, high, label)
+    return _ltv_out(metrics, latest, items, products, vip, high, label)
 
 
 # ---------------------------------------------------------------------------
