@@ -189,6 +189,16 @@ def d9_rename(spark: SparkSession, d: str) -> DataFrame:
     return ig.rename_references(t.orders, "customer_id", mapping)
 
 
+def d14_clean_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """D14 end to end: the cleanup run types, de-duplicates (keep last) and
+    then applies the cascade to orphans, in that order, so a review whose
+    kept copy points at a missing order is gone even if an older copy was
+    valid."""
+    from ledgerline.plans.cleanup import run_cleanup
+
+    return run_cleanup(_raw(spark, d), strict_types=True, drop_orphans=True).tables["reviews"]
+
+
 def d11_missing_reference(spark: SparkSession, d: str) -> DataFrame:
     return ig.missing_reference_values(cleaned_products(spark, d), CAT, _t(spark, d).translation, CAT)
 
@@ -402,7 +412,7 @@ BUILDERS = {
     "d10_blank_to_null": d10_blank_to_null, "d12_insert_absent": d12_insert_absent, "d13_profile": d13_profile,
     "d2_pk_single": d2_pk_single, "d3_pk_composite": d3_pk_composite, "d4_fk_orphans": d4_fk_orphans,
     "d6_cascade": d6_cascade, "d7_restrict": d7_restrict, "d8_set_null": d8_set_null, "d9_rename": d9_rename,
-    "d11_missing_reference": d11_missing_reference,
+    "d11_missing_reference": d11_missing_reference, "d14_clean_reviews": d14_clean_reviews,
     "j2_fanout": j2_fanout, "j3_join_preaggregated": j3_join_preaggregated, "j4_left": j4_left,
     "j5_anti": j5_anti, "j6_lateral_top1": j6_lateral_top1, "p12_tuple_semi": p12_tuple_semi,
     "a2_multi_key": a2_multi_key, "a3_rollup": a3_rollup, "a4_grouping_sets": a4_grouping_sets,
