@@ -37,6 +37,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # local runs: small shuffles are CPU-bound here, so let AQE keep
         # several partitions instead of merging everything under 1 MB
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # local catalog tables (bucketed layouts in tests) stay out of the cwd
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="ledgerline-warehouse-"))
     )
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
