@@ -38,3 +38,21 @@ def test_exact_median_unweighted_half_cent(spark):
     df = spark.createDataFrame([("x", Decimal("92692.83")), ("x", Decimal("92692.84"))], "g string, v decimal(12,2)")
     r = exact_median(df, ["g"], "v", name="m").collect()[0]
     assert r.m == Decimal("92692.835000")
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_keep_last_matches_brute_force(spark, seed):
+    from ledgerline.operators.ranking import keep_last
+
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([None, 1, 2, 3]), rnd.choice([None, 10, 20]), rnd.randint(0, 5), rnd.randint(0, 1000), i)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b long, load long, tie long, rid long")
+    got = sorted(r.rid for r in keep_last(df, ["a", "b"], ["load", "tie", "rid"]).collect())
+    # brute force: drop a row when a later copy with equal, non-NULL keys exists
+    want = sorted(
+        r[4] for r in rows
+        if r[0] is None or r[1] is None
+        or not any(o[0] == r[0] and o[1] == r[1] and (o[2], o[3], o[4]) > (r[2], r[3], r[4]) for o in rows)
+    )
+    assert got == want
