@@ -3,8 +3,8 @@
 Sketch   whole texts -> distinct word shingles -> ``minima`` minima; their low
          ``bits`` bits packed as bit planes; ``bands`` band keys over the minima.
 Classes  texts with one shingle set collapse into a class (smallest doc_id).
-Hubs     within each band bucket every class is paired with one hub class, the
-         smallest or largest id by turns: size - 1 candidates, however large.
+Hubs     the smallest id of a band bucket is its hub; every class is paired
+         with the hub it shares most bands with: one candidate per class.
 Filter   a candidate goes on if the collision-corrected similarity, estimated
          from bit counts of the packed signatures, is within 6 standard
          errors of the threshold.
@@ -211,11 +211,18 @@ def _set_rows(p: NearDup):
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+def shingle_sets(docs: DataFrame, ids: DataFrame, p: NearDup) -> DataFrame:
+    """Full shingle sets of the documents in ``ids`` (doc_id), written once.
+
+    The ids grow with the data, so they are never broadcast: each side is
+    dealt by id and the smaller one hashed.
+    """
+    texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text")
+    return cut(texts.mapInArrow(_set_rows(p), "doc_id long, shingles binary"), "shingles")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(texts.mapInArrow(_set_rows(p), "doc_id long, shingles binary"), "shingles")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar(p), "a long, b long")
@@ -238,19 +245,21 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_
     classes = cut(classes, "classes")
     sigs = classes.select("rep", "sig")
     members = classes.select("rep", F.explode("keys").alias("key"))
-    hub = F.when(F.col("key") % 2 == 0, F.min("rep")).otherwise(F.max("rep"))
-    buckets = members.groupBy("key").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    buckets = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     shared = cut(members.join(cut(buckets, "buckets"), "key"), "members")
 
+    # one candidate per class: the hub it shares most bands with
+    common = shared.filter("rep != hub").groupBy("rep", "hub").count()
+    hubs = common.groupBy("rep").agg(F.max(F.struct("count", -F.col("hub"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("rep").alias("b"))
     hubs = (
-        shared.filter("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        cut(hubs, "hubs")
         .join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b")
         .mapInArrow(_estimate(p), "a long, b long")
     )
-    reps = docs.filter("doc_id IS NOT NULL")
-    links = cut(confirm(cut(hubs, "hub-pairs"), reps, p), "links")
+    sets = shingle_sets(docs.filter("doc_id IS NOT NULL"), shared.select(F.col("rep").alias("doc_id")).distinct(), p)
+    links = cut(confirm(cut(hubs, "hub-pairs"), sets, p), "links")
     found = connected_components(links, "a", "b")
 
     labelled = shared.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -262,7 +271,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_
     rest = labelled.join(open_, "key", "left_semi").join(sigs, "rep")
     cross = block_pairs(rest, ["key"], "rep", ["rep", "component", "sig"], p.block_rows)
     cross = cross.select("left", "right").mapInArrow(_cross(p), "a long, b long").distinct()
-    more = cut(confirm(cut(cross, "cross-pairs"), reps, p), "links")
+    more = cut(confirm(cut(cross, "cross-pairs"), sets, p), "links")
     found = connected_components(links.union(more), "a", "b")
 
     of_class = (
