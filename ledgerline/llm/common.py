@@ -65,15 +65,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def block_pairs(members: DataFrame, keys: list[str], by: str, payload: list[str], block_rows: int) -> DataFrame:
+def block_pairs(
+    members: DataFrame, keys: list[str], by: str, payload: list[str], block_rows: int, weight: Column | None = None, block_weight: int = 1 << 25
+) -> DataFrame:
     """Split every group of ``keys`` into hashed blocks and return one row
     per pair of blocks: keys, left (list), right (list; empty on the diagonal).
 
-    A list holds about ``block_rows`` rows however large its group is, so a
-    hot group spreads over many tasks.  Groups of one row are left out.
+    A list holds about ``block_rows`` rows, or rows of ``block_weight``
+    together, however large its group is, so a hot group spreads over many
+    tasks.  Groups of one row are left out.
     """
-    sizes = cut(members.groupBy(*keys).agg(F.count("*").alias("_size")).filter("_size > 1"), "sizes")
-    m = members.join(sizes, keys).withColumn("_blocks", F.ceil(F.col("_size") / F.lit(block_rows)).cast("int"))
+    heavy = F.sum(F.lit(0) if weight is None else weight) / F.lit(block_weight)
+    need = F.ceil(F.greatest(F.count("*") / F.lit(block_rows), heavy)).cast("int")
+    sizes = cut(members.groupBy(*keys).agg(F.count("*").alias("_size"), need.alias("_blocks")).filter("_size > 1"), "sizes")
+    m = members.join(sizes, keys)
     m = m.withColumn("_own", F.pmod(F.xxhash64(by, *keys), F.col("_blocks")).cast("int"))
     m = m.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
@@ -89,6 +94,20 @@ def block_pairs(members: DataFrame, keys: list[str], by: str, payload: list[str]
     )
 
 
+def lowest_reachable(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the lowest one reachable over the links x - y."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return root
+        root = new
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -113,6 +132,17 @@ def slices(offsets: np.ndarray, most_bytes: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def nz(column: Column) -> Column:
     """Text with NULL as empty."""
     return F.coalesce(column.cast("string"), F.lit(""))

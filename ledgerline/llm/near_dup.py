@@ -10,8 +10,10 @@ Filter   a candidate goes on if the collision-corrected similarity, estimated
          errors of the threshold.
 Confirm  similarity on the full shingle sets, then connected components.
 Rest     buckets whose classes are still in several components are compared
-         in blocks, all pairs across components; so no link between different
-         components is lost to the hubs.
+         in blocks: pairs across components pass the same filter and are
+         checked on the full sets inside the task, which returns a star per
+         linked group; so no link between different components is lost to the
+         hubs, and no list of pairs leaves a task.
 
 At similarity 0.8 a pair misses all 40 bands of 6 with probability 5e-6.
 """
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import block_pairs, connected_components, cut, slices, utf8
+from ledgerline.llm.common import block_pairs, connected_components, cut, lowest_reachable, slices, utf8
 from ledgerline.llm.words import letters, mix, shingle_hashes, word_hashes
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -176,26 +178,90 @@ def _similar(p: NearDup):
     return run
 
 
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, n (size of its set) and delta: what its set and the base don't share."""
+    for batch in batches:
+        sets, bases = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (1, 2))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([np.setxor1d(s, t, assume_unique=True).tobytes() for s, t in zip(sets, bases)], pa.binary()),
+            ],
+            ["rep", "n", "delta"],
+        )
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with those of ``right``.
+
+    Only values of both sides matter; they are the columns of 0/1 matrices that
+    are multiplied ``width`` columns at a time.
+    """
+    flat = [np.concatenate(s) for s in (left, right)]
+    owner = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    common = np.intersect1d(*flat)
+    entries = []
+    for values, rows in zip(flat, owner):
+        column = np.searchsorted(common, values)
+        there = column < len(common)
+        there[there] = common[column[there]] == values[there]
+        column, rows = column[there], rows[there]
+        order = np.argsort(column, kind="stable")
+        entries.append((column[order], rows[order]))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(common), width):
+        parts = []
+        for (column, rows), n in zip(entries, (len(left), len(right))):
+            a, b = np.searchsorted(column, [at, at + width])
+            part = np.zeros((n, min(width, len(common) - at)), np.float32)
+            part[rows[a:b], column[a:b] - at] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
 def _cross(p: NearDup):
-    """Candidate pairs across components within pairs of blocks."""
+    """Links across components within pairs of blocks, as a star per group of
+    linked representatives.
+
+    Deltas are against one base, so the symmetric difference of two sets is
+    that of their deltas, and the check is on the full sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                own = not right
-                right = right or left
-                ids = [np.array([x["rep"] for x in s]) for s in (left, right)]
-                comps = [np.array([x["component"] for x in s]) for s in (left, right)]
-                sigs = [np.array([np.frombuffer(x["sig"], np.uint8) for x in s]) for s in (left, right)]
-                for i in range(len(left)):
-                    other = np.flatnonzero(comps[1] != comps[0][i])
-                    other = other[ids[1][other] > ids[0][i]] if own else other
-                    if len(other):
-                        near = equal_minima(sigs[0][i][None, :], sigs[1][other], p.bits, p.minima) >= p.least_matches
-                        to = ids[1][other[near]]
-                        if len(to):
-                            at = np.full(len(to), ids[0][i])
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(at, to)), pa.array(np.maximum(at, to))], ["a", "b"])
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                yield from linked(left.as_py(), right.as_py())
+
+    def linked(left: list[dict], right: list[dict]) -> Iterator[pa.RecordBatch]:
+        own = not right
+        right = right or left
+        component = np.array([x["component"] for x in right])
+        sig = np.array([np.frombuffer(x["sig"], np.uint8) for x in right])
+        near = np.zeros((len(left), len(right)), bool)
+        for i, x in enumerate(left):
+            other = np.flatnonzero(component != x["component"])
+            other = other[other > i] if own else other
+            close = equal_minima(np.frombuffer(x["sig"], np.uint8)[None, :], sig[other], p.bits, p.minima) >= p.least_matches
+            near[i, other[close]] = True
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(rows):
+            return
+        one, two = [left[i] for i in rows], [right[j] for j in columns]
+        deltas = [[np.frombuffer(x["delta"], np.uint64) for x in s] for s in (one, two)]
+        apart = [np.array([len(d) for d in s]) for s in deltas]
+        size = [np.array([x["n"] for x in s]) for s in (one, two)]
+        total = size[0][:, None] + size[1][None, :]
+        both = (total - (apart[0][:, None] + apart[1][None, :] - 2 * shared_counts(*deltas))) // 2
+        x, y = np.nonzero(near[np.ix_(rows, columns)] & (100 * both >= p.percent * (total - both)))
+        if not len(x):
+            return
+        a, b = np.array([r["rep"] for r in one])[x], np.array([r["rep"] for r in two])[y]
+        ids = np.unique(np.concatenate([a, b]))
+        root = lowest_reachable(np.searchsorted(ids, a), np.searchsorted(ids, b), len(ids))
+        away = root != np.arange(len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root[away]]), pa.array(ids[away])], ["a", "b"])
 
     return run
 
@@ -228,6 +294,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar(p), "a long, b long")
 
 
+def deltas(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, n, delta of the classes in open buckets (rest: key, rep).
+
+    Classes that meet in a bucket, also by way of others, have one base: the
+    set of the smallest of them.  What differs from it is far smaller than a
+    set where texts are alike, and is sent instead.
+    """
+    lows = rest.groupBy("key").agg(F.min("rep").alias("low"))
+    base_of = connected_components(rest.join(lows, "key").select("rep", "low"), "rep", "low").withColumnRenamed("id", "doc_id")
+    base_of = cut(base_of, "bases")
+    base = sets.join(base_of.select(F.col("component").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    base = base.groupBy(F.col("doc_id").alias("component")).agg(F.min("shingles").alias("base"))
+    own = sets.join(base_of, "doc_id").join(base, "component")
+    return cut(own.select("doc_id", "shingles", "base").mapInArrow(_deltas, "rep long, n long, delta binary"), "deltas")
+
+
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, mark, n_shingles, class_id, component_id, kept.
 
@@ -268,10 +350,10 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_
     labelled = cut(labelled, "labelled")
     open_ = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     open_ = cut(open_, "open")
-    rest = labelled.join(open_, "key", "left_semi").join(sigs, "rep")
-    cross = block_pairs(rest, ["key"], "rep", ["rep", "component", "sig"], p.block_rows)
-    cross = cross.select("left", "right").mapInArrow(_cross(p), "a long, b long").distinct()
-    more = cut(confirm(cut(cross, "cross-pairs"), sets, p), "links")
+    rest = cut(labelled.join(open_, "key", "left_semi"), "rest")
+    rows = rest.join(sigs, "rep").join(deltas(rest, sets), "rep")
+    cross = block_pairs(rows, ["key"], "rep", ["rep", "component", "sig", "n", "delta"], p.block_rows, F.length("delta"))
+    more = cut(cross.select("left", "right").mapInArrow(_cross(p), "a long, b long"), "links")
     found = connected_components(links.union(more), "a", "b")
 
     of_class = (

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import block_pairs, connected_components, cut
+from ledgerline.llm.common import block_pairs, connected_components, cut, lowest_reachable
 
 
 @dataclass(frozen=True)
@@ -167,16 +167,7 @@ def _links(p: VectorDup):
         ids = np.unique(np.concatenate([a_id[i], b_id[j]]))
         x, y = np.searchsorted(ids, a_id[i]), np.searchsorted(ids, b_id[j])
         links = np.bincount(x, b_n[j], len(ids)) + np.bincount(y, a_n[i], len(ids))
-        root = np.arange(len(ids))
-        while True:
-            low = np.minimum(root[x], root[y])
-            new = root.copy()
-            np.minimum.at(new, x, low)
-            np.minimum.at(new, y, low)
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
+        root = lowest_reachable(x, y, len(ids))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links.astype(np.int64))], ["id", "root", "links"])
 
     return run
