@@ -106,7 +106,7 @@ def search(text: np.ndarray, order: np.ndarray, test: TestSuffixes) -> Iterator[
         a, b = low.copy(), high.copy()
         for _ in range(max(1, int(np.max(b - a, initial=1))).bit_length()):
             mid = (a + b) // 2
-            word = text[order[np.minimum(mid, len(order) - 1)] + d]
+            word = text[np.minimum(order[np.minimum(mid, len(order) - 1)] + d, len(text) - 1)]  # empty ranges may point beyond
             up = ((word <= want) if right else (word < want)) & (a < b)
             a = np.where(up, mid + 1, a)
             b = np.where(up | (a >= b), b, mid)

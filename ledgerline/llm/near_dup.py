@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import block_pairs, connected_components, cut, lowest_reachable, slices, utf8
+from ledgerline.llm.common import block_pairs, connected_components, cut, fresh, lowest_reachable, slices, utf8
 from ledgerline.llm.words import letters, mix, shingle_hashes, word_hashes
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -380,12 +380,13 @@ def drop_near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str =
     joined back.  Rows of NULL id, and texts without words, all stay.
     """
     found = cut(near_duplicates(docs, p, id_col, text_col), "near-duplicates")
-    linked = found.filter("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "kept")
-    gone = cut(linked.filter("NOT kept").select("_id", "_mark").distinct(), "removed")
-    again = cut(linked.filter("kept").groupBy("_id", "_mark").count().filter("count > 1").select("_id", "_mark"), "repeated")
-    mark = F.xxhash64(F.col(text_col).cast("string"))
-    same = (F.col(id_col).cast("long") == F.col("_id")) & (mark == F.col("_mark"))
+    own, mark = fresh(docs, "_id", "_mark")
+    linked = found.filter("doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias(own), F.col("mark").alias(mark), "kept")
+    gone = cut(linked.filter("NOT kept").select(own, mark).distinct(), "removed")
+    again = cut(linked.filter("kept").groupBy(own, mark).count().filter("count > 1").select(own, mark), "repeated")
+    row_id, row_mark = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    same = (row_id == F.col(own)) & (row_mark == F.col(mark))
     kept = docs.join(gone, same, "left_anti")
-    one = kept.join(again, same, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), mark.alias("_mark"))
-    one = one.groupBy("_id", "_mark").agg(F.first("row").alias("row")).select("row.*")
+    one = kept.join(again, same, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), row_id.alias(own), row_mark.alias(mark))
+    one = one.groupBy(own, mark).agg(F.first("row").alias("row")).select("row.*")
     return kept.join(again, same, "left_anti").union(one)
