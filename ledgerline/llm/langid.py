@@ -4,7 +4,7 @@ log posterior(language) = ``temper`` * log P(text | language)
     + log P(declared markup language | language) + log P(address suffix | language)
     + log prior(language | host)
 
-* Text: letter trigrams against counts of all texts by declared language.  The
+* Text: letter trigrams against counts of all other texts by declared language.  The
   class ``und`` has a uniform trigram model, so text of no known language is
   undetermined.  temper discounts the dependence of overlapping trigrams.
 * Declared language and address suffix: confusion counts with the text's own
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, slices, utf8
+from ledgerline.llm.common import cut, fresh, slices, utf8
 
 UND = "und"
 CODES = 1 << 18
@@ -124,16 +124,46 @@ def _count(p: LangId):
     return run
 
 
-def text_model(rows: DataFrame, p: LangId) -> np.ndarray:
-    """log P(trigram | class), classes x codes, from all rows with a declared language."""
+class TextModel:
+    """Trigram counts per language, and log P(trigram | class) from them."""
+
+    def __init__(self, counts: np.ndarray, smoothing: float) -> None:
+        self.counts, self.smoothing = counts, smoothing
+        smoothed = counts + smoothing
+        self.logs = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
+
+    def likelihoods(self, codes: np.ndarray, at: np.ndarray, declared: np.ndarray) -> np.ndarray:
+        """Sum of logs per text (rows) and class (columns; the last is uniform).
+
+        A text's own trigrams are taken out of the counts of the language it is
+        declared in, as a text would speak for itself otherwise.
+        """
+        n, size = len(at) - 1, np.diff(at)
+        out = np.empty((n, len(self.counts) + 1))
+        out[:, -1] = size * -np.log(CODES)
+        owner = np.repeat(np.arange(n), size)
+        _, each, times = np.unique(owner * CODES + codes, return_inverse=True, return_counts=True)
+        own = times[each]
+        for k, row in enumerate(self.counts):
+            mine = declared == k
+            logs = self.logs[k][codes]
+            voted = mine[owner]
+            logs[voted] = np.log(np.maximum(row[codes[voted]] - own[voted], 0) + self.smoothing)
+            sums = np.concatenate([[0.0], np.cumsum(logs)])
+            out[:, k] = sums[at[1:]] - sums[at[:-1]]
+            total = np.maximum(row.sum() - size[mine], 0) + self.smoothing * CODES
+            out[mine, k] -= size[mine] * np.log(total)
+        return out
+
+
+def text_model(rows: DataFrame, p: LangId) -> TextModel:
+    """Trigram counts of all rows with a declared language."""
     found = rows.filter("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text").mapInArrow(_count(p), "k int, code int, n long")
     counts = np.zeros((len(p.languages), CODES))
     # at most languages x codes rows
     for k, code, n in found.groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas().itertuples(index=False):
         counts[k, code] = n
-    counts += p.smoothing
-    model = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return np.vstack([model, np.full((1, CODES), -np.log(CODES))]).astype(np.float32)
+    return TextModel(counts, p.smoothing)
 
 
 def _score(broadcast, p: LangId):
@@ -144,13 +174,10 @@ def _score(broadcast, p: LangId):
         model = broadcast.value
         for batch in batches:
             data, offs = utf8(batch.column(batch.num_columns - 1))
+            declared = np.array([p.languages.index(x) if x else -1 for x in batch.column(2).to_pylist()])
             for a, b in slices(offs, p.slice_bytes):
                 codes, at = trigrams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                like = np.empty((b - a, len(model)))
-                for k, row in enumerate(model):
-                    sums = np.concatenate([[0.0], np.cumsum(row[codes], dtype=np.float64)])
-                    like[:, k] = sums[at[1:]] - sums[at[:-1]]
-                like *= p.temper
+                like = p.temper * model.likelihoods(codes, at, declared[a:b])
                 post = like + flat
                 post = np.exp(post - post.max(axis=1, keepdims=True))
                 post /= post.sum(axis=1, keepdims=True)
@@ -242,7 +269,8 @@ def drop_undetermined(docs: DataFrame, p: LangId = LangId(), id_col: str = "doc_
     Only the ids of rejected rows are joined back; Spark broadcasts them where
     the written table is small enough.
     """
-    out = identify(docs, p, id_col, text_col, **columns).filter("NOT accepted").select(F.col("doc_id").alias("rejected"), "mark").distinct()
-    out = cut(out, "rejected").withColumnsRenamed({"rejected": "_rejected", "mark": "_mark"})
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_rejected")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_mark"))
+    rejected, mark = fresh(docs, "_rejected", "_mark")
+    out = identify(docs, p, id_col, text_col, **columns).filter("NOT accepted").select(F.col("doc_id").alias(rejected), F.col("mark").alias(mark))
+    out = cut(out.distinct(), "rejected")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(rejected)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(mark))
     return docs.join(out, same, "left_anti")
