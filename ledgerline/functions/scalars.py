@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # Money is exact: two decimals, twelve digits. Sums stay decimal until output.
 MONEY = "decimal(12,2)"
-# Wide exact type used before a two-digit round. A bare "decimal" in Spark
-# means decimal(10,0) and would truncate, so the width is always spelled out.
-WIDE = "decimal(38,6)"
+# Wide exact type used before a two-digit round: 18 decimals, so that only
+# one rounding takes place. A bare "decimal" in Spark means decimal(10,0) and
+# would truncate, so the width is always spelled out.
+WIDE = "decimal(38,18)"
 
 
 def _col(c: Column | str) -> Column:
@@ -24,11 +25,23 @@ def as_money(c: Column | str) -> Column:
 def round2(c: Column | str) -> Column:
     """Round to two decimals, half away from zero, returned as double.
 
-    The value is first made an exact decimal so that a double which prints
-    as ``x.xx5`` rounds up in every engine instead of depending on its last
-    binary digit.
+    The value becomes an exact decimal first and is rounded once: a decimal as
+    it is, a double read to 15 significant digits as the reference's cast to
+    numeric does. So 92692.83499999999 gives 92692.84 and 12.3449999 gives
+    12.34. The choice is made from the column's type when the query is planned.
     """
-    return F.round(_col(c).cast(WIDE), 2).cast("double")
+    col = _col(c)
+    read = F.when(col.isNotNull(), F.format_string("%.14e", col.cast("double"))).cast(WIDE)
+    return F.round(F.when(F.typeof(col) == "double", read).otherwise(col.cast(WIDE)), 2).cast("double")
+
+
+def mean(total: Column | str, n: Column | str) -> Column:
+    """Exact decimal quotient of a money sum and a count, to 18 decimals.
+
+    ``avg`` of a decimal keeps only six decimals, so rounding it to two would
+    round twice. NULL where there is nothing to divide.
+    """
+    return _col(total).cast("decimal(22,2)") / F.nullif(_col(n), F.lit(0))
 
 
 def money_out(c: Column | str) -> Column:

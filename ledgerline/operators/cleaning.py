@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import blank_to_null
-from ledgerline.operators.ranking import keep_last, top_per_group
+from ledgerline.operators.ranking import top_per_group
 
 TS_TYPE = "timestamp_ntz"
 
@@ -32,9 +32,6 @@ def unparsable(c: str) -> Column:
     return F.col(c).isNotNull() & F.col(c).try_cast(TS_TYPE).isNull()
 
 
-_bad_cell = unparsable
-
-
 def quarantine_timestamps(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """D1 lenient: split into (clean rows with typed columns, rejected rows).
 
@@ -42,7 +39,7 @@ def quarantine_timestamps(df: DataFrame, columns: Sequence[str]) -> tuple[DataFr
     Both outputs come from one lazy plan; nothing is dropped silently.
     """
     present = [c for c in columns if c in df.columns]
-    bad = reduce(lambda a, b: a | b, [_bad_cell(c) for c in present])
+    bad = reduce(lambda a, b: a | b, [unparsable(c) for c in present])
     clean = df.filter(~bad).select(
         *[F.col(c).try_cast(TS_TYPE).alias(c) if c in present else F.col(c) for c in df.columns]
     )
@@ -59,11 +56,6 @@ def unparsable_cells(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
     return stacked.filter(F.col("raw_value").isNotNull() & F.col("raw_value").try_cast(TS_TYPE).isNull())
 
 
-def dedupe_keep_last(df: DataFrame, keys: Sequence[str], load_order: Sequence[Column | str]) -> DataFrame:
-    """Keep the last stored copy per key (see ``ranking.keep_last``)."""
-    return keep_last(df, keys, load_order)
-
-
 def blank_category_to_null(df: DataFrame, column: str = "product_category_name") -> DataFrame:
     """Empty or all-space text becomes NULL; everything else is kept."""
     return df.withColumn(column, blank_to_null(column))

@@ -14,7 +14,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators.joins import missing_references, orphans
 from ledgerline.operators.ranking import any_null
 
 
@@ -31,11 +30,6 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Child rows whose non-NULL reference has no parent."""
-    return orphans(child, fk, parent, pk)
-
-
 def fk_summary(child: DataFrame, fk: str, parent: DataFrame, pk: str, relation: str) -> DataFrame:
     """D4 summary: one row with orphan rows and distinct missing keys.
 
@@ -54,10 +48,14 @@ def cascade_delete(child: DataFrame, fk: str, surviving_parent: DataFrame, pk: s
     """ON DELETE CASCADE as a new child version.
 
     A child row survives when its reference is NULL or points at a surviving
-    parent. Apply parent-first along the reference chain.
+    parent. Apply parent-first along the reference chain. One read of the
+    child; rows without a reference, however many, are spread over tasks.
     """
-    keys = surviving_parent.select(F.col(pk).alias(fk))
-    return child.filter(F.col(fk).isNull()).unionByName(child.join(keys, fk, "left_semi"))
+    keys = surviving_parent.select(F.col(pk).alias("_pk"), F.xxhash64(pk).alias("_pk_hash")).distinct().withColumn("_found", F.lit(True))
+    # joined by hash and key, where rows without a reference have a hash of all columns
+    deal = F.when(F.col(fk).isNull(), F.xxhash64(*child.columns)).otherwise(F.xxhash64(fk))
+    j = child.withColumn("_deal", deal).join(keys, (F.col("_deal") == F.col("_pk_hash")) & (F.col(fk) == F.col("_pk")), "left")
+    return j.filter(F.col(fk).isNull() | F.col("_found")).select(*[j[c] for c in child.columns])
 
 
 def restrict_blockers(to_delete: DataFrame, pk: str, child: DataFrame, fk: str) -> DataFrame:
@@ -84,11 +82,6 @@ def rename_references(child: DataFrame, fk: str, mapping: DataFrame, old: str =
     return j.withColumn(fk, F.coalesce(F.col("_new"), F.col(fk))).drop("_old", "_new")
 
 
-def missing_reference_values(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Distinct non-NULL reference values with no parent row."""
-    return missing_references(child, fk, parent, pk)
-
-
 def condition_counts(df: DataFrame, table: str, checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """D13 part: rows meeting each (check, column, condition), all counted
     in one scan of ``df`` (one global aggregate, partial per task), one

@@ -1,14 +1,9 @@
 """Exact continuous median (PERCENTILE_CONT(0.5)), optionally weighted.
 
-Two implementations:
-
-* ``median_expr``: Spark's exact ``percentile`` aggregate. One pass, but each
-  group's value->count maps are merged in one reducer, so the memory of the
-  final step grows with the distinct values of the group.
-* ``exact_median``: a two-pass, range-bucketed exact median for fixed-scale
-  (decimal money) values whose per-task work is bounded by the value
-  resolution instead of the group size (see its docstring). Used by the
-  analyses, where one subtotal group can hold a third of all rows.
+The rows are first reduced to a histogram: one row per (group, value) with the
+sum of weights. That is a partial aggregation spread over groups and values,
+so a hot group is reduced map-side and no task receives it whole. Everything
+else is derived from the histogram; un-aggregated rows never move again.
 """
 
 from __future__ import annotations
@@ -17,90 +12,78 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.operators.joins import null_safe_join
 
 # Fixed value: values are cut into coarse buckets of 2**BUCKET_BITS units of
-# the last decimal digit (2**20 cents, about 10,486.00 in money).
+# the last decimal digit. A decimal(12,2) has at most 10**12 / 2**20 buckets
+# of at most 2**20 values, so neither of the two windows below grows with the rows.
 BUCKET_BITS = 20
+UNITS, WEIGHT = "_u", "_w"
 
 
-def median_expr(value: str, weight: str | None = None) -> Column:
-    """Median of ``value`` (optionally each row counted ``weight`` times).
+def value_scale(df: DataFrame, value: str) -> int:
+    """Decimal places of ``value``; other types have no exact units."""
+    kind = df.schema[value].dataType
+    if not isinstance(kind, T.DecimalType):
+        raise TypeError(f"an exact median needs a decimal value; {value} is {kind.simpleString()}")
+    return kind.scale
 
-    The value is ordered and interpolated in double precision, like the
-    reference's PERCENTILE_CONT over a float column; double keys also hash
-    much faster than decimals in the percentile's value map.
-    """
-    v = F.col(value).cast("double")
-    if weight is None:
-        return F.percentile(v, F.lit(0.5))
-    return F.percentile(v, F.lit(0.5), F.col(weight))
 
+def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """keys, ``_u`` (value in units of its last decimal place) and ``_w`` (rows,
+    or sum of ``weight``) per distinct value; NULL values are left out."""
+    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    units = F.col(value) * F.lit(10 ** value_scale(df, value)).cast("decimal(20,0)")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, units.cast("bigint").alias(UNITS), w.alias(WEIGHT))
+    return rows.groupBy(*keys, UNITS).agg(F.sum(WEIGHT).alias(WEIGHT))
 
-def exact_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str | None = None,
-    scale: int = 2,
-    name: str = "median",
-    bucket_bits: int = BUCKET_BITS,
-) -> DataFrame:
-    """Exact PERCENTILE_CONT(0.5) per group of a decimal value with ``scale``
-    digits, each row counted ``weight`` times (default 1). NULL values are
-    ignored; a group without values has no row. NULL keys form groups.
-
-    Pass A counts rows per (group, coarse bucket), where a bucket is the
-    unscaled value shifted right by ``bucket_bits``. It is a partial
-    aggregation, so a hot group is reduced map-side. A window over a group's
-    buckets (at most value range / 2**bucket_bits rows) finds the bucket(s)
-    holding middle ranks k1 = (n-1) div 2 and k2 = n div 2.
-
-    Pass B keeps only rows of those buckets, counts each distinct value and
-    walks them in order: at most 2**bucket_bits distinct values per bucket
-    because the scale is fixed. No task ever holds a whole group. The result
-    is (v[k1] + v[k2]) / 2 as an exact decimal.
+
+def histogram_median(hist: DataFrame, keys: Sequence[str], scale: int, name: str = "median", bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """Exact PERCENTILE_CONT(0.5) per group of a histogram (``histogram``).
+
+    Weights per (group, coarse bucket), where a bucket is the units shifted
+    right by ``bucket_bits``, give the bucket(s) that hold the middle ranks
+    k1 = (n-1) div 2 and k2 = n div 2; the values of those buckets are walked
+    in order. The result is (v[k1] + v[k2]) / 2 as an exact decimal. A group
+    without values has no row; NULL keys form groups.
     """
     keys = list(keys)
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    unscaled = (F.col(value) * F.lit(10 ** scale)).cast("bigint")
-    base = df.filter(F.col(value).isNotNull()).select(
-        *keys, unscaled.alias("_u"), w.alias("_w")
-    ).withColumn("_b", F.shiftright("_u", bucket_bits))
-
-    # pass A: weight per coarse bucket, cumulative position of each bucket
-    buckets = base.groupBy(*keys, "_b").agg(F.sum("_w").alias("_c"))
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
+    hist = hist.groupBy(*keys, UNITS).agg(F.sum(WEIGHT).alias(WEIGHT)).withColumn("_b", F.shiftright(UNITS, bucket_bits))
+    so_far = Window.unboundedPreceding, Window.currentRow
+
+    buckets = hist.groupBy(*keys, "_b").agg(F.sum(WEIGHT).alias("_c"))
     buckets = (
-        buckets.withColumn("_end", F.sum("_c").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        buckets.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*so_far)))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
         .withColumn("_start", F.col("_end") - F.col("_c"))
-        .withColumn("_k1", F.floor((F.col("_n") - F.lit(1)) / F.lit(2)).cast("bigint"))
-        .withColumn("_k2", F.floor(F.col("_n") / F.lit(2)).cast("bigint"))
+        .withColumn("_k1", F.expr("(_n - 1) div 2"))
+        .withColumn("_k2", F.expr("_n div 2"))
     )
 
     def holds(k: str) -> Column:
         return (F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_end"))
 
     targets = buckets.filter(holds("_k1") | holds("_k2")).select(*keys, "_b", "_start", "_k1", "_k2")
+    by_value = Window.partitionBy(*keys, "_b").orderBy(UNITS).rowsBetween(*so_far)
+    ranked = (
+        null_safe_join(hist, targets, [*keys, "_b"])
+        .withColumn("_end", F.col("_start") + F.sum(WEIGHT).over(by_value))
+        .withColumn("_start", F.col("_end") - F.col(WEIGHT))
+    )
+    picked = ranked.groupBy(*keys).agg(
+        F.max(F.when(holds("_k1"), F.col(UNITS))).alias("_v1"), F.max(F.when(holds("_k2"), F.col(UNITS))).alias("_v2")
+    )
+    both = F.col("_v1").cast("decimal(20,0)") + F.col("_v2").cast("decimal(20,0)")
+    mid = both * F.lit(5) / F.lit(10 ** (scale + 1)).cast("decimal(20,0)")
+    return picked.select(*keys, mid.cast(f"decimal(38,{scale + 1})").alias(name))
 
-    # pass B: exact ranks inside the target buckets only
-    vals = null_safe_join(base, targets, [*keys, "_b"])
-    hist = vals.groupBy(*keys, "_b", "_start", "_k1", "_k2", "_u").agg(F.sum("_w").alias("_c"))
-    by_value = Window.partitionBy(*keys, "_b").orderBy("_u")
-    hist = hist.withColumn(
-        "_end", F.col("_start") + F.sum("_c").over(by_value.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).withColumn("_start", F.col("_end") - F.col("_c"))
-    picked = hist.select(
-        *keys,
-        F.when(holds("_k1"), F.col("_u")).alias("_v1"),
-        F.when(holds("_k2"), F.col("_u")).alias("_v2"),
-    ).groupBy(*keys).agg(F.max("_v1").alias("_v1"), F.max("_v2").alias("_v2"))
-    mid = (F.col("_v1") + F.col("_v2")).cast("decimal(38,0)") / F.lit(2 * 10 ** scale)
-    return picked.select(*keys, mid.cast("decimal(38,6)").alias(name))
-
-
-def median_by(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median") -> DataFrame:
-    """Exact median per group at one grain, to join onto other results."""
-    return exact_median(df, keys, value, weight, name=name)
+
+def exact_median(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median", bucket_bits: int = BUCKET_BITS
+) -> DataFrame:
+    """Exact median of a decimal ``value`` per group, each row counted
+    ``weight`` times (default 1), in the value's own scale. Raises a TypeError
+    for a value that is not a decimal."""
+    return histogram_median(histogram(df, keys, value, weight), keys, value_scale(df, value), name, bucket_bits)

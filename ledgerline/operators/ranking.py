@@ -53,9 +53,9 @@ def keep_last(df: DataFrame, keys: Sequence[str], load_order: Sequence[Column |
 
     ``load_order`` lists the columns that say which copy came later, most
     significant first; the greatest wins. Rows with a NULL key are never
-    removed (NULL never equals NULL).
+    removed (NULL never equals NULL): each is a partition of its own, so one
+    read and one window with a partial limit serve both kinds of rows.
     """
     order = [c.desc_nulls_last() if isinstance(c, Column) else F.col(c).desc_nulls_last() for c in load_order]
-    nulls = any_null(keys)
-    keyed = top_per_group(df.filter(~nulls), keys, order)
-    return keyed.unionByName(df.filter(nulls))
+    alone = df.withColumn("_alone", F.when(any_null(keys), F.monotonically_increasing_id()))
+    return top_per_group(alone, [*keys, "_alone"], order).drop("_alone")

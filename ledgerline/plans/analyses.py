@@ -5,36 +5,36 @@ reference's constants) and returns an unevaluated, ordered DataFrame.
 
 Scale notes, shared by all of them:
 
-* Dimensions (sellers, products) are joined without a forced broadcast;
-  AQE turns the join into a broadcast once the runtime size is known to be
-  small and keeps a shuffle join beyond that.
+* No join carries a hint: sellers and products are joined after the fact side
+  has been reduced where that is possible, and Spark chooses the join from
+  file sizes and, through AQE, from measured sizes.
 * Where the reference joins items and payments many-to-many, both sides are
   first reduced to their order grain (items per category, payment sums or
   counts per type) so the k x m fan-out is never shuffled; sums stay exact
-  because money is decimal.
+  because money is decimal. The reduction has a map-side step, so one order
+  with a third of all items moves as a row per category and task.
 * Top-1 searches use ``row_number`` + ``rn = 1`` (partial WindowGroupLimit
   before the shuffle) or a ``min_by`` aggregate; both pre-reduce hot keys.
-* The item side is hash-partitioned by order_id once; grouping sets over
-  order-grain rows are expanded inside each task (``expand_sets``), so every
-  COUNT(DISTINCT order_id) reuses that partitioning instead of shuffling
-  rows x sets.
-* Medians are exact and two-pass (``operators.median.exact_median``): no
-  task ever holds a whole group, however hot.
+* Grouping sets over order-grain rows are expanded inside each task
+  (``expand_sets``), which keeps the partitioning by order_id that the join
+  made, so COUNT(DISTINCT order_id) needs no shuffle for its distinct phase.
+* Medians are derived from a histogram (``operators.median``): only
+  (group, value) weights are shuffled.
+* An order grain with several readers is written once to the shared
+  checkpoint folder and read back (S5, ``materialize``): X1 and Q3L.
 * Ties the reference leaves open get a stated, total tie-break.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import WIDE, flag, money_out, round2, segment_label, typed_null
+from ledgerline.functions.scalars import WIDE, flag, mean, money_out, round2, segment_label, typed_null
 from ledgerline.operators.joins import null_safe_join, semi_by_tuple
-from ledgerline.operators.median import exact_median, median_by
+from ledgerline.operators.median import UNITS, WEIGHT, exact_median, histogram, histogram_median
 from ledgerline.operators.ranking import top_per_group
+from ledgerline.sources.io import materialize
 
 CAT, PAY = "product_category_name", "payment_type"
 STATE, CITY = "seller_state", "seller_city"
@@ -62,17 +62,10 @@ def item_sellers(items: DataFrame, sellers: DataFrame) -> DataFrame:
 
 
 def item_categories(items: DataFrame, products: DataFrame) -> DataFrame:
-    """Items per (order, category), hash-partitioned by ``order_id``.
-
-    The one shuffle of the item side by order_id serves this count, the join
-    with payments and every later COUNT(DISTINCT order_id): a grouping on
-    (keys, order_id) is already satisfied by an order_id partitioning, so
-    the distinct phase needs no exchange of its own.
-    """
+    """Items per (order, category), counted map-side before the shuffle."""
     return (
         items.select("order_id", "product_id")
         .join(products.select("product_id", CAT), "product_id")
-        .repartition("order_id")
         .groupBy("order_id", CAT)
         .agg(F.count(F.lit(1)).alias("_n_items"))
     )
@@ -155,7 +148,7 @@ def _q1_out(agg: DataFrame, min_revenue: float) -> DataFrame:
         STATE,
         money_out("_total").alias("total"),
         "uq_orders_count",
-        round2(_c("_total") / _c("uq_orders_count")).alias("avg_order_value"),
+        round2(mean("_total", "uq_orders_count")).alias("avg_order_value"),
         round2("_sd").alias("price_sttdev"),
     )
     return out.orderBy(_c(STATE).asc_nulls_first(), _c(CITY).asc_nulls_first(), _c("total").desc_nulls_first())
@@ -164,17 +157,20 @@ def _q1_out(agg: DataFrame, min_revenue: float) -> DataFrame:
 def seller_sales_rollup(sellers: DataFrame, items: DataFrame, min_revenue: float = 50000) -> DataFrame:
     """Q1L: revenue, distinct orders, order value and price SD per city,
     state subtotal and grand total (ROLLUP), groups above ``min_revenue``."""
-    rows = item_sellers(items, sellers)
-    # Sum and SD reduce map-side to one row per group and task; the DISTINCT
-    # runs in its own aggregate, so its (keys, order) shuffle carries narrow
-    # rows instead of the sum and SD buffers. Rejoined on keys + grouping id.
-    moments = rows.rollup(STATE, CITY).agg(
-        F.grouping_id().alias("_g"), F.sum("price").alias("_total"), F.stddev_samp("price").alias("_sd")
+    flags = {STATE: "_no_state", CITY: "_no_city"}
+    keys = [STATE, CITY, *flags.values()]
+    # sum and SD reduce map-side to one row per group and task
+    moments = item_sellers(items, sellers).rollup(STATE, CITY).agg(
+        flag(STATE).alias("_no_state"), flag(CITY).alias("_no_city"), F.sum("price").alias("_total"), F.stddev_samp("price").alias("_sd")
     )
-    orders = rows.select(STATE, CITY, "order_id").rollup(STATE, CITY).agg(
-        F.grouping_id().alias("_g"), F.count_distinct("order_id").alias("uq_orders_count")
+    # distinct orders from (seller, order) pairs, dealt by order once and
+    # expanded in their tasks
+    pairs = items.select("seller_id", "order_id").distinct().join(sellers.select("seller_id", CITY, STATE), "seller_id")
+    pairs = pairs.select(STATE, CITY, "order_id").repartition("order_id")
+    orders = expand_sets(pairs, [[STATE, CITY], [STATE], []], [STATE, CITY], flags, ["order_id"]).groupBy(*keys).agg(
+        F.count_distinct("order_id").alias("uq_orders_count")
     )
-    return _q1_out(null_safe_join(moments, orders, [STATE, CITY, "_g"]), min_revenue)
+    return _q1_out(null_safe_join(moments, orders, keys), min_revenue)
 
 
 def seller_sales_rollup_by_order(sellers: DataFrame, items: DataFrame, min_revenue: float = 50000) -> DataFrame:
@@ -205,6 +201,15 @@ def seller_sales_rollup_by_order(sellers: DataFrame, items: DataFrame, min_reven
 CAT_PAY_SETS = [[CAT, PAY], [CAT], [PAY]]
 
 
+def _labels() -> list[Column]:
+    """Last sort keys, which make the order of Q2, X1 and X2 total."""
+    return [_c(CAT).asc_nulls_last(), _c(PAY).asc_nulls_last()]
+
+
+def _union_order(out: DataFrame) -> DataFrame:
+    return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc(), _c("grouping_payment").asc(), *_labels())
+
+
 def category_payment_sets(
     items: DataFrame, payments: DataFrame, products: DataFrame,
     min_total: float = 100000, min_orders: int = 500,
@@ -218,10 +223,10 @@ def category_payment_sets(
     totals = expanded.groupBy(*keys).agg(
         F.sum(_c("payment_value") * _c("_w")).alias("_total"), F.count_distinct("order_id").alias("uq_orders_count")
     ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders_count") > F.lit(min_orders)))
-    # The median is its own exact, range-bucketed computation (weighted by
-    # _w): a subtotal group never sits whole in one task, and no percentile
-    # buffer rides along the DISTINCT phase.
-    medians = exact_median(expanded, keys, "payment_value", "_w", name="_median")
+    # weights per (category, type, value) give the histogram of every set
+    hist = histogram(rows, [CAT, PAY], "payment_value", "_w")
+    hist = expand_sets(hist, CAT_PAY_SETS, [CAT, PAY], flags, [UNITS, WEIGHT])
+    medians = histogram_median(hist, keys, 2, "_median")
     agg = null_safe_join(totals, medians, keys, "left")
     out = agg.select(
         CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated",
@@ -229,7 +234,9 @@ def category_payment_sets(
         "uq_orders_count",
         round2("_median").alias("median_payment"),
     )
-    return out.orderBy(_c("is_cat_aggaregated").asc(), _c("uq_orders_count").desc())
+    return out.orderBy(
+        _c("is_cat_aggaregated").asc(), _c("uq_orders_count").desc(), _c("is_pay_aggregated").asc(), *_labels()
+    )
 
 
 def category_payment_sets_by_order(
@@ -250,7 +257,7 @@ def category_payment_sets_by_order(
         .agg(F.sum("payment_value").alias("_total"), F.count_distinct("order_id").alias("uq_orders"))
         .filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders") > F.lit(min_orders)))
     )
-    med = median_by(ol, [CAT, PAY], "payment_value", name="_median").select(
+    med = exact_median(ol, [CAT, PAY], "payment_value", name="_median").select(
         CAT, PAY, F.lit(0).alias("grouping_category"), F.lit(0).alias("grouping_payment"), "_median"
     )
     out = null_safe_join(sets, med, [CAT, PAY, "grouping_category", "grouping_payment"], "left").select(
@@ -260,7 +267,7 @@ def category_payment_sets_by_order(
         round2("_median").alias("median_payment"),
         "grouping_category", "grouping_payment",
     )
-    return out.orderBy(_c("grouping_category").asc(), _c("uq_orders").desc())
+    return out.orderBy(_c("grouping_category").asc(), _c("uq_orders").desc(), _c("grouping_payment").asc(), *_labels())
 
 
 def _grain(ol: DataFrame, keys: list[str], min_total: float, min_orders: int, count_rows: bool = False) -> DataFrame:
@@ -286,7 +293,7 @@ def _union_out(detail: DataFrame, by_cat: DataFrame, by_pay: DataFrame) -> DataF
         .unionByName(shape(by_cat, _c(CAT), typed_null(), 0, 1))
         .unionByName(shape(by_pay, typed_null(), _c(PAY), 1, 0))
     )
-    return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc())
+    return _union_order(out)
 
 
 def _grains(ol: DataFrame, sets: list[list[str]], min_total: float, min_orders: int) -> DataFrame:
@@ -315,22 +322,32 @@ def _grains(ol: DataFrame, sets: list[list[str]], min_total: float, min_orders:
     return out
 
 
+def passing_pairs(
+    items: DataFrame, payments: DataFrame, products: DataFrame, min_total: float, min_orders: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(order-level rows, (category, type) pairs within the limits, order-level
+    rows of those pairs). The order grain is written once (S5); so are the
+    pairs, at most categories x types rows, whose file size then tells Spark
+    whether the semi join may broadcast them."""
+    ol = materialize(order_level(items, payments, products), "order-level")
+    stats = materialize(_grain(ol, [PAY, CAT], min_total, min_orders), "passing-pairs")
+    return ol, stats, semi_by_tuple(ol, stats, [CAT, PAY])
+
+
 def category_payment_union_filtered(
     items: DataFrame, payments: DataFrame, products: DataFrame,
     min_total: float = 100000, min_orders: int = 500,
 ) -> DataFrame:
     """Three unioned grains; the subtotals only count (category, type)
     pairs that passed at detail level (tuple IN: NULL categories drop out)."""
-    ol = order_level(items, payments, products)
-    stats = _grain(ol, [PAY, CAT], min_total, min_orders)
-    passing = semi_by_tuple(ol, stats, [CAT, PAY])
+    _, stats, passing = passing_pairs(items, payments, products, min_total, min_orders)
     detail = stats.select(
         CAT, PAY, money_out("_total").alias("total_payment"),
         _c("unique_orders").cast("bigint").alias("unique_orders"),
         F.lit(0).alias("grouping_category"), F.lit(0).alias("grouping_payment"))
     subtotals = _grains(passing, [[CAT], [PAY]], min_total, min_orders)
     out = detail.unionByName(subtotals)
-    return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc())
+    return _union_order(out)
 
 
 def category_payment_union(
@@ -341,7 +358,7 @@ def category_payment_union(
     median), all from one read of the order-level rows."""
     ol = order_level(items, payments, products)
     out = _grains(ol, CAT_PAY_SETS, min_total, min_orders)
-    return out.orderBy(_c("grouping_category").asc(), _c("unique_orders").desc())
+    return _union_order(out)
 
 
 # ---------------------------------------------------------------------------
@@ -359,33 +376,49 @@ def seller_price_dispersion(
     and CV of item prices over the payment-fanned rows.
 
     The reference joins payments only to multiply item rows (no payment
-    column is used). Here each item row carries ``m`` = payments of its order
-    (a 1:1 join with a per-order count) and the statistics are weighted:
-    exact decimal sums of m, m*x and m*x^2 give the fanned count, sum and
-    sample variance without building the fan-out. Distinct sellers are
-    counted apart (a seller sits in one city), so the main aggregate has a
-    single DISTINCT, whose phase reuses the order_id partitioning.
+    column is used): an item counts once per payment of its order. Items are
+    reduced to (seller, order) rows once and written (S5); with m payments, n
+    prices, their mean and population variance v, such a row stands for
+    k = m * n prices. Rows of one group and one k are aggregated natively
+    (count, avg, var_pop of the means), and the few k of a group are merged by
+    the parallel-variance formula. All terms are squares or variances, so the
+    sum is never negative and equal prices give exactly no spread.
     """
     pay_counts = payments.groupBy("order_id").agg(F.count(F.lit(1)).alias("_m"))
-    rows = item_sellers(items, sellers).join(pay_counts, "order_id").select(
-        "order_id", "seller_id", STATE, CITY, "_m", "price",
-        (_c("price") * _c("_m")).alias("_mx"),
-        (_c("price") * _c("price") * _c("_m")).alias("_mxx"),
+    per = items.groupBy("seller_id", "order_id").agg(
+        F.count("price").alias("_n"), F.sum("price").alias("_s1"), F.var_pop("price").alias("_v")
     )
+    k = (_c("_m") * _c("_n")).alias("_k")
+    rows = per.join(pay_counts, "order_id").join(sellers.select("seller_id", CITY, STATE), "seller_id").select(
+        STATE, CITY, "seller_id", "order_id", k, (_c("_s1") * _c("_m")).alias("_total"),
+        mean("_s1", "_n").cast("double").alias("_mean"), (_c("_m") * _c("_n") * _c("_v")).alias("_within"),
+    )
+    rows = materialize(rows, "seller-orders")
     flags = {CITY: "is_state_summary"}
     keys = [STATE, CITY, "is_state_summary"]
-    expanded = expand_sets(rows, REGION_SETS, [STATE, CITY], flags, ["order_id", "seller_id", "_m", "_mx", "_mxx"])
-    # moments reduce map-side to one row per group; each DISTINCT count runs
-    # apart over narrow (keys, id) rows
-    moments = expanded.groupBy(*keys).agg(F.sum("_m").alias("_n"), F.sum("_mx").alias("_s1"), F.sum("_mxx").alias("_s2"))
-    orders = expanded.select(*keys, "order_id").groupBy(*keys).agg(F.count_distinct("order_id").alias("orders_count"))
-    sellers_per = expanded.select(*keys, "seller_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("sellers_count"))
+
+    def sets(df: DataFrame, *carry: str) -> DataFrame:
+        return expand_sets(df, REGION_SETS, [STATE, CITY], flags, list(carry))
+
+    parts = rows.groupBy(STATE, CITY, "_k").agg(
+        (F.count("_mean") * _c("_k")).alias("_w"), F.avg("_mean").alias("_a"), F.var_pop("_mean").alias("_v"),
+        F.sum("_within").alias("_within"), F.sum("_total").alias("_total"),
+    )
+    # a group has as many rows here as different k
+    group = Window.partitionBy(*keys)
+    parts = sets(parts, "_w", "_a", "_v", "_within", "_total").withColumn(
+        "_mean", F.sum(_c("_w") * _c("_a")).over(group) / F.nullif(F.sum("_w").over(group), F.lit(0))
+    )
+    spread = _c("_within") + _c("_w") * (_c("_v") + F.pow(_c("_a") - _c("_mean"), F.lit(2.0)))
+    moments = parts.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.sum("_total").alias("_s1"), F.sum(spread).alias("_m2"))
+    orders = sets(rows.select(STATE, CITY, "order_id"), "order_id").groupBy(*keys).agg(F.count_distinct("order_id").alias("orders_count"))
+    sellers_per = sets(rows.select(STATE, CITY, "seller_id").distinct(), "seller_id").groupBy(*keys).agg(
+        F.count_distinct("seller_id").alias("sellers_count")
+    )
     agg = null_safe_join(null_safe_join(moments, orders, keys), sellers_per, keys)
-    n = _c("_n").cast("double")
-    mean = _c("_s1").cast("double") / n
-    # sample variance from exact sums; one row has no sample variance
-    variance = F.when(_c("_n") > F.lit(1), (_c("_s2").cast("double") - _c("_s1").cast("double") * mean) / (n - F.lit(1.0)))
-    cv = F.sqrt(variance) / mean * F.lit(100)
+    # one row has no sample variance
+    variance = F.when(_c("_n") > F.lit(1), _c("_m2") / (_c("_n") - F.lit(1)))
+    cv = F.sqrt(variance) / mean("_s1", "_n").cast("double") * F.lit(100)
     out = agg.select("*", variance.alias("_variance"), cv.alias("_cv")).filter(
         (_c("_s1") > F.lit(min_revenue)) & (_c("orders_count") > F.lit(min_orders)) & (_c("_cv") > F.lit(min_cv))
     ).select(
@@ -394,7 +427,18 @@ def seller_price_dispersion(
         round2("_variance").alias("price_variance"),
         round2("_cv").alias("cv"),
     )
-    return out.orderBy(_c(STATE).asc_nulls_last(), _c("is_state_summary").desc_nulls_first(), _c("total_revenue").desc_nulls_first())
+    return _region_order(out)
+
+
+def _region_order(out: DataFrame) -> DataFrame:
+    return out.orderBy(
+        _c(STATE).asc_nulls_last(), _c("is_state_summary").desc_nulls_first(), _c("total_revenue").desc_nulls_first(), _c(CITY).asc_nulls_last()
+    )
+
+
+def price_cv() -> Column:
+    """Coefficient of variation of the item prices, in per cent."""
+    return F.stddev_samp("price") / mean(F.sum("price"), F.count("price")).cast("double") * F.lit(100)
 
 
 def volatile_seller_regions(
@@ -403,10 +447,9 @@ def volatile_seller_regions(
 ) -> DataFrame:
     """Q3O: filter *sellers* by the three limits first, then per (state, city)
     and state: revenue, summed order counts, mean of the rounded seller CVs."""
-    cv = F.stddev_samp("price") / F.avg("price") * F.lit(100)
     stats = (
         items.groupBy("seller_id")
-        .agg(F.sum("price").alias("_rev"), F.count_distinct("order_id").alias("_orders"), cv.alias("_cv_raw"))
+        .agg(F.sum("price").alias("_rev"), F.count_distinct("order_id").alias("_orders"), price_cv().alias("_cv_raw"))
         .filter((_c("_rev") > F.lit(min_revenue)) & (_c("_orders") > F.lit(min_orders)) & (_c("_cv_raw") > F.lit(min_cv)))
         # the reference rounds each seller's CV (numeric) before averaging
         .select("seller_id", "_rev", "_orders", F.round(_c("_cv_raw").cast(WIDE), 2).alias("_cv"))
@@ -414,7 +457,8 @@ def volatile_seller_regions(
     agg = stats.join(sellers.select("seller_id", CITY, STATE), "seller_id").groupingSets(REGION_SETS, STATE, CITY).agg(
         F.sum("_rev").alias("_total"),
         F.sum("_orders").alias("orders_count"),
-        F.avg("_cv").alias("_avg_cv"),
+        F.sum("_cv").alias("_cv_sum"),
+        F.count("_cv").alias("_cv_n"),
         flag(CITY).alias("is_state_summary"),
         F.count_distinct("seller_id").alias("sellers_count"),
     )
@@ -422,10 +466,10 @@ def volatile_seller_regions(
         CITY, STATE,
         money_out("_total").alias("total_revenue"),
         _c("orders_count").cast("bigint").alias("orders_count"),
-        round2("_avg_cv").alias("avg_cv"),
+        round2(mean("_cv_sum", "_cv_n")).alias("avg_cv"),
         "is_state_summary", "sellers_count",
     )
-    return out.orderBy(_c(STATE).asc_nulls_last(), _c("is_state_summary").desc_nulls_first(), _c("total_revenue").desc_nulls_first())
+    return _region_order(out)
 
 
 # ---------------------------------------------------------------------------
@@ -523,16 +567,14 @@ def top_category_order() -> list[Column]:
 
 
 def _seller_metrics(sellers: DataFrame, items: DataFrame, min_revenue: float) -> DataFrame:
-    return (
-        items.select("seller_id", "order_id", "price")
-        .join(sellers.select("seller_id"), "seller_id")
-        .groupBy("seller_id")
-        .agg(
-            F.count_distinct("order_id").alias("total_orders_count"),
-            F.coalesce(F.sum("price"), F.lit(0)).alias("_rev"),
-        )
+    """Orders and revenue per known seller. Items are aggregated before the
+    join, the distinct phase by (seller, order), so a hot seller is spread."""
+    per = (
+        items.groupBy("seller_id")
+        .agg(F.count_distinct("order_id").alias("total_orders_count"), F.coalesce(F.sum("price"), F.lit(0)).alias("_rev"))
         .filter(_c("_rev") > F.lit(min_revenue))
     )
+    return per.join(sellers.select("seller_id"), "seller_id")
 
 
 def category_revenue(items: DataFrame, products: DataFrame, how: str = "left") -> DataFrame:

@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import MONEY, flag, money_out, round2, segment_label
+from ledgerline.functions.scalars import MONEY, flag, mean, money_out, round2, segment_label
 from ledgerline.operators import cleaning as cl
 from ledgerline.operators import integrity as ig
-from ledgerline.operators.joins import semi_by_tuple
+from ledgerline.operators.joins import missing_references, orphans
 from ledgerline.operators.median import exact_median
-from ledgerline.operators.ranking import top_per_group
+from ledgerline.operators.ranking import keep_last, top_per_group
 from ledgerline.plans import analyses as an
 from ledgerline.plans.analyses import CAT, CITY, PAY, PERSON, STATE, TS
+from ledgerline.plans.cleanup import CleanResult, quality_profile, run_cleanup
 from ledgerline.sources import tables as tb
-from ledgerline.sources.schemas import PRIMARY_KEYS, TEXT_TIMESTAMPS
+from ledgerline.sources.io import materialize
+from ledgerline.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TEXT_TIMESTAMPS
 
 Tables = tb.Tables
 
@@ -30,6 +32,14 @@ RENAMED_SEGMENT = "BUILDING"          # d9: customers that get a new id
 RENAME_OFFSET = 1_000_000_000         # d9: new id = old id + offset
 DELETED_TRANSLATIONS = ("Brand#1", "Brand#2")  # d8: translations removed
 NEW_TRANSLATION_PREFIX = "brand_no_"  # d12: English name of inserted rows
+# d5, d14: the columns that stand for the load time of the fixture's tables
+LOAD_ORDER = {
+    "customers": ["customer_unique_id"],
+    "order_items": ["product_id", "seller_id", "price"],
+    "payments": ["payment_type", "payment_value"],
+    "reviews": ["order_id"],
+    "translation": ["product_category_name_english"],
+}
 
 
 def _t(spark: SparkSession, d: str) -> Tables:
@@ -62,12 +72,12 @@ def d1_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 def d5_dedupe_items(spark: SparkSession, d: str) -> DataFrame:
     items = tb.order_items_loaded(spark, d)
-    kept = cl.dedupe_keep_last(items, PRIMARY_KEYS["order_items"], ["loaded_at", "product_id", "seller_id", "price"])
+    kept = keep_last(items, PRIMARY_KEYS["order_items"], ["loaded_at", "product_id", "seller_id", "price"])
     return _items_out(kept)
 
 
 def d5_dedupe_reviews(spark: SparkSession, d: str) -> DataFrame:
-    return cl.dedupe_keep_last(_raw(spark, d).reviews, PRIMARY_KEYS["reviews"], ["order_id"])
+    return keep_last(_raw(spark, d).reviews, PRIMARY_KEYS["reviews"], ["order_id"])
 
 
 def d10_blank_to_null(spark: SparkSession, d: str) -> DataFrame:
@@ -88,35 +98,7 @@ def d12_insert_absent(spark: SparkSession, d: str) -> DataFrame:
 
 def d13_profile(spark: SparkSession, d: str) -> DataFrame:
     """One row per check over the raw layer (with timestamp defects)."""
-    r = _raw(spark, d, defects=True)
-    products = cleaned_products(spark, d)
-    # orders: NULLs and unparsable timestamp text in one scan
-    orders_checks = [("null_values", c, F.col(c).isNull()) for c in r.orders.columns]
-    orders_checks += [("unparsable_timestamp", c, cl.unparsable(c)) for c in TEXT_TIMESTAMPS]
-    frames = [ig.condition_counts(r.orders, "orders", orders_checks)]
-    for name in ("order_items", "payments", "reviews", "customers", "sellers"):
-        frames.append(ig.null_counts(getattr(r, name), name))
-    frames.append(ig.null_counts(products, "products"))
-    for name in ("orders", "order_items", "payments", "reviews", "customers", "sellers"):
-        keys = PRIMARY_KEYS[name]
-        frames.append(ig.count_check(ig.key_violations(getattr(r, name), keys), name, "key_violations", ",".join(keys)))
-    frames.append(ig.count_check(ig.key_violations(products, ["product_id"]), "products", "key_violations", "product_id"))
-    parents = {"orders": r.orders, "products": products, "sellers": r.sellers, "customers": r.customers,
-               "translation": r.translation}
-    children = {"order_items": r.order_items, "payments": r.payments, "reviews": r.reviews, "orders": r.orders,
-                "products": products}
-    for child, fk, parent, pk, _ in tb_foreign_keys():
-        summary = ig.fk_summary(children[child], fk, parents[parent], pk, child)
-        frames.append(summary.select(
-            F.lit(child).alias("table_name"), F.lit("orphans").alias("check_name"), F.lit(fk).alias("column_name"),
-            F.col("orphan_rows").alias("n_bad")))
-    return ig.union_all(frames)
-
-
-def tb_foreign_keys():
-    from ledgerline.sources.schemas import FOREIGN_KEYS
-
-    return FOREIGN_KEYS
+    return quality_profile(_raw(spark, d, defects=True))
 
 
 # ---------------------------------------------------------------------------
@@ -159,7 +141,7 @@ def d4_fk_orphans(spark: SparkSession, d: str) -> DataFrame:
                 "products": products}
     frames = [
         ig.fk_summary(children[child], fk, parents[parent], pk, f"{child}.{fk} -> {parent}.{pk}")
-        for child, fk, parent, pk, _ in tb_foreign_keys()
+        for child, fk, parent, pk, _ in FOREIGN_KEYS
     ]
     return ig.union_all(frames)
 
@@ -189,18 +171,31 @@ def d9_rename(spark: SparkSession, d: str) -> DataFrame:
     return ig.rename_references(t.orders, "customer_id", mapping)
 
 
-def d14_clean_reviews(spark: SparkSession, d: str) -> DataFrame:
-    """D14 end to end: the cleanup run types, de-duplicates (keep last) and
-    then applies the cascade to orphans, in that order, so a review whose
-    kept copy points at a missing order is gone even if an older copy was
-    valid."""
-    from ledgerline.plans.cleanup import run_cleanup
+def cleanup(spark: SparkSession, d: str) -> CleanResult:
+    """D14 over the raw layer with defects: bad rows rejected, the last copy of
+    each key kept, missing translations added, orphans cascaded."""
+    return run_cleanup(
+        _raw(spark, d, defects=True), strict_types=False, load_order=LOAD_ORDER, new_translations=new_translations(spark, d), drop_orphans=True
+    )
+
+
+def clean_table(name: str):
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        df = cleanup(spark, d).tables[name]
+        return df.select(*[money_out(c).alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+    return build
 
-    return run_cleanup(_raw(spark, d), strict_types=True, drop_orphans=True).tables["reviews"]
+
+def clean_report(name: str):
+    def build(spark: SparkSession, d: str) -> DataFrame:
+        return getattr(cleanup(spark, d), name)
+
+    return build
 
 
 def d11_missing_reference(spark: SparkSession, d: str) -> DataFrame:
-    return ig.missing_reference_values(cleaned_products(spark, d), CAT, _t(spark, d).translation, CAT)
+    return missing_references(cleaned_products(spark, d), CAT, _t(spark, d).translation, CAT)
 
 
 # ---------------------------------------------------------------------------
@@ -237,7 +232,7 @@ def j4_left(spark: SparkSession, d: str) -> DataFrame:
 
 def j5_anti(spark: SparkSession, d: str) -> DataFrame:
     p = cleaned_products(spark, d)
-    return ig.fk_orphans(p, CAT, _t(spark, d).translation, CAT)
+    return orphans(p, CAT, _t(spark, d).translation, CAT)
 
 
 def j6_lateral_top1(spark: SparkSession, d: str) -> DataFrame:
@@ -251,9 +246,8 @@ def p12_tuple_semi(spark: SparkSession, d: str) -> DataFrame:
     from ledgerline.plans.catalog import X_MIN_ORDERS, X_MIN_TOTAL
 
     t = _t(spark, d)
-    ol = an.order_level(t.order_items, t.payments, t.products)
-    stats = an._grain(ol, [PAY, CAT], X_MIN_TOTAL, X_MIN_ORDERS)
-    return semi_by_tuple(ol, stats, [CAT, PAY]).withColumn("payment_value", money_out("payment_value"))
+    _, _, passing = an.passing_pairs(t.order_items, t.payments, t.products, X_MIN_TOTAL, X_MIN_ORDERS)
+    return passing.withColumn("payment_value", money_out("payment_value"))
 
 
 # ---------------------------------------------------------------------------
@@ -296,10 +290,10 @@ def a10_two_distincts(spark: SparkSession, d: str) -> DataFrame:
 def a13_stddev_variance_cv(spark: SparkSession, d: str) -> DataFrame:
     items = _t(spark, d).order_items
     return items.groupBy("seller_id").agg(
-        round2(F.avg("price")).alias("avg_price"),
+        round2(mean(F.sum("price"), F.count("price"))).alias("avg_price"),
         round2(F.stddev_samp("price")).alias("price_stddev"),
         round2(F.var_samp("price")).alias("price_variance"),
-        round2(F.stddev_samp("price") / F.avg("price") * F.lit(100)).alias("cv"))
+        round2(an.price_cv()).alias("cv"))
 
 
 def a16_median(spark: SparkSession, d: str) -> DataFrame:
@@ -360,7 +354,7 @@ def o5_top_by_sum(spark: SparkSession, d: str) -> DataFrame:
 
 def u1_union_all(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
-    ol = an.order_level(t.order_items, t.payments, t.products)
+    ol = materialize(an.order_level(t.order_items, t.payments, t.products), "order-level")
     return an._union_out(
         an._grain(ol, [PAY, CAT], -1, -1, count_rows=True),
         an._grain(ol, [CAT], -1, -1),
@@ -375,8 +369,8 @@ def u1_union_all(spark: SparkSession, d: str) -> DataFrame:
 def f1_round_half_up(spark: SparkSession, d: str) -> DataFrame:
     items = _t(spark, d).order_items
     return items.groupBy("seller_id").agg(
-        round2(F.avg("price")).alias("avg_price"),
-        round2(F.sum("price") / F.count_distinct("order_id")).alias("avg_order_value"))
+        round2(mean(F.sum("price"), F.count("price"))).alias("avg_price"),
+        round2(mean(F.sum("price"), F.count_distinct("order_id"))).alias("avg_order_value"))
 
 
 def f5_coalesce(spark: SparkSession, d: str) -> DataFrame:
@@ -412,7 +406,10 @@ BUILDERS = {
     "d10_blank_to_null": d10_blank_to_null, "d12_insert_absent": d12_insert_absent, "d13_profile": d13_profile,
     "d2_pk_single": d2_pk_single, "d3_pk_composite": d3_pk_composite, "d4_fk_orphans": d4_fk_orphans,
     "d6_cascade": d6_cascade, "d7_restrict": d7_restrict, "d8_set_null": d8_set_null, "d9_rename": d9_rename,
-    "d11_missing_reference": d11_missing_reference, "d14_clean_reviews": d14_clean_reviews,
+    "d11_missing_reference": d11_missing_reference,
+    **{f"d14_clean_{name}": clean_table(name) for name in PRIMARY_KEYS},
+    **{f"d14_{name}": clean_report(name) for name in (
+        "profile", "key_report", "reference_report", "missing_categories", "rejected_orders")},
     "j2_fanout": j2_fanout, "j3_join_preaggregated": j3_join_preaggregated, "j4_left": j4_left,
     "j5_anti": j5_anti, "j6_lateral_top1": j6_lateral_top1, "p12_tuple_semi": p12_tuple_semi,
     "a2_multi_key": a2_multi_key, "a3_rollup": a3_rollup, "a4_grouping_sets": a4_grouping_sets,

@@ -1,12 +1,11 @@
 """Session helpers.
 
-The library itself never changes session settings; these helpers are for
-tests, the benchmark and small local runs.
+``local_session`` is for tests, the benchmark and small local runs. The library
+changes no setting of a cluster's session; it reads ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,19 +48,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is unset (local tests) a scratch folder is created
-    and registered; on a cluster the shared folder is always used.
+    Where the setting is missing, a session in one JVM (``local[..]``) gets a
+    scratch folder of its own; any other session raises, because a folder of
+    the driver's machine would be out of the executors' reach.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if current:
+        return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    current = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", current)
     return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"

@@ -7,12 +7,43 @@ Sinks write a *new* path; a path that is being read is never overwritten.
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerline.session import scratch_path
 from ledgerline.sources.schemas import RAW
 
+# Where a row is stored, most significant first (see ``with_stored_order``).
+STORED_ORDER = ["_stored_file", "_stored_block", "_stored_row"]
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate under the shared checkpoint folder and read it
+    back, so that several readers share one computation and a lost executor
+    costs no more than a re-read."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def with_stored_order(df: DataFrame) -> DataFrame:
+    """Add the columns ``STORED_ORDER`` to a DataFrame read straight from files:
+    the greater they are, the later the row is stored (file name, block of the
+    file, row). Keep-last then keeps the copy that was stored last.
+
+    Parquet names the row; for text files, rows of one block are numbered as
+    they are read.
+    """
+    if "row_index" in df.select("_metadata").schema["_metadata"].dataType.names:
+        block, row = F.lit(0).cast("bigint"), F.col("_metadata.row_index")
+    else:
+        block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    return df.select("*", F.col("_metadata.file_path").alias("_stored_file"), block.alias("_stored_block"), row.alias("_stored_row"))
+
 
 def read_raw_csv(spark: SparkSession, path: str, table: str, mode: str = "FAILFAST", header: bool = True) -> DataFrame:
     """A raw CSV dump with the table's declared raw schema.

@@ -56,22 +56,6 @@ DRIVER_SCHEMAS = {
     "events": [("event_id", _L), ("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D), ("props", _S)],
 }
 
-# A dimension is broadcast only when a bounded count proves it has at most
-# this many rows (narrow rows: well under 100 MB of hash table); above the
-# bound the join stays a shuffle join.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()``: it stops reading once
-    the bound is passed, so it stays cheap on a huge table.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 @dataclass(frozen=True)
 class Tables:
     orders: DataFrame
@@ -83,9 +67,6 @@ class Tables:
     products: DataFrame
     translation: DataFrame
 
-    def as_dict(self) -> dict[str, DataFrame]:
-        return {k: getattr(self, k) for k in self.__dataclass_fields__}
-
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, t, True) for n, t in DRIVER_SCHEMAS[name]])
@@ -235,53 +216,23 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_CACHE: dict[tuple, Tables] = {}
-
-
-def _session_key(spark: SparkSession) -> tuple:
-    """A stopped session's application id never comes back, so cached
-    plans of an old session are never handed to a new one."""
-    return (spark.sparkContext.applicationId, id(spark))
-
-
-def commerce_tables(spark: SparkSession, sf_dir: str, size_checked: bool = True) -> Tables:
-    """The analysis-ready tables (typed timestamps, NULL category).
-
-    Built once per (session, folder): the DataFrames are lazy plans, so
-    reusing them shares no data between queries. With ``size_checked`` the
-    two dimensions (sellers, products) carry a broadcast hint when a bounded
-    count shows they are small; the fact tables never do.
-    """
-    key = (_session_key(spark), sf_dir, size_checked)
-    if key not in _CACHE:
-        s, p = sellers(spark, sf_dir), products(spark, sf_dir)
-        if size_checked:
-            s, p = bounded_broadcast(s), bounded_broadcast(p)
-        _CACHE[key] = Tables(
-            orders=orders(spark, sf_dir),
-            order_items=order_items(spark, sf_dir),
-            payments=payments(spark, sf_dir),
-            reviews=reviews(spark, sf_dir),
-            customers=customers(spark, sf_dir),
-            sellers=s,
-            products=p,
-            translation=translation(spark),
-        )
-    return _CACHE[key]
+def commerce_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The analysis-ready tables (typed timestamps, NULL category): lazy plans
+    over the files that are in the folder now, without hints."""
+    return Tables(
+        orders=orders(spark, sf_dir),
+        order_items=order_items(spark, sf_dir),
+        payments=payments(spark, sf_dir),
+        reviews=reviews(spark, sf_dir),
+        customers=customers(spark, sf_dir),
+        sellers=sellers(spark, sf_dir),
+        products=products(spark, sf_dir),
+        translation=translation(spark),
+    )
 
 
 def raw_tables(spark: SparkSession, sf_dir: str, defects: bool = False) -> Tables:
     """The raw layer: text timestamps, blank categories, duplicates kept."""
-    key = (_session_key(spark), sf_dir, defects, "raw")
-    if key not in _RAW_CACHE:
-        _RAW_CACHE[key] = _raw_tables(spark, sf_dir, defects)
-    return _RAW_CACHE[key]
-
-
-_RAW_CACHE: dict[tuple, Tables] = {}
-
-
-def _raw_tables(spark: SparkSession, sf_dir: str, defects: bool) -> Tables:
     return Tables(
         orders=raw_orders(spark, sf_dir, defects=defects),
         order_items=order_items(spark, sf_dir),

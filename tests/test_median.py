@@ -1,12 +1,14 @@
 """exact_median against a brute-force median of the expanded rows."""
 
 import random
+import re
 from decimal import Decimal
 
 import numpy as np
 import pytest
 
-from ledgerline.operators.median import exact_median
+from ledgerline.operators.median import exact_median, histogram
+from tests.conftest import plan_text
 
 
 def brute(rows):
@@ -37,7 +39,23 @@ def test_exact_median_matches_brute_force(spark, seed, bits):
 def test_exact_median_unweighted_half_cent(spark):
     df = spark.createDataFrame([("x", Decimal("92692.83")), ("x", Decimal("92692.84"))], "g string, v decimal(12,2)")
     r = exact_median(df, ["g"], "v", name="m").collect()[0]
-    assert r.m == Decimal("92692.835000")
+    assert r.m == Decimal("92692.835")
+
+
+def test_exact_median_keeps_the_scale_of_its_value(spark):
+    df = spark.createDataFrame([("x", Decimal("1.2399")), ("x", Decimal("1.2399"))], "g string, v decimal(12,4)")
+    assert exact_median(df, ["g"], "v", name="m").collect()[0].m == Decimal("1.2399")
+    with pytest.raises(TypeError):
+        exact_median(df.select("g", df.v.cast("double").alias("v")), ["g"], "v")
+
+
+def test_rows_are_merged_by_value_before_the_shuffle(spark):
+    df = spark.createDataFrame([("x", Decimal("1.00"), i) for i in range(10)], "g string, v decimal(12,2), other long")
+    plan = plan_text(histogram(df, ["g"], "v"))
+    assert "partial_sum" in plan and len(re.findall(r"hashpartitioning\(g#\d+, _u#\d+", plan)) == 1
+    # everything else starts from the histogram: no exchange by the group keys below its aggregate
+    plan = plan_text(exact_median(df, ["g"], "v", name="m"))
+    assert "partial_sum" in plan and "Exchange SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("seed", [11, 12])
