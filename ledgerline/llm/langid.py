@@ -38,11 +38,11 @@ CODES = 1 << 18
 class LangId:
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
     temper: float = 0.2
-    smoothing: float = 0.5
+    smoothing: float = 0.05
     strength: float = 10.0
     und_prior: float = 1e-3
     least_confidence: float = 0.5
-    slice_bytes: int = 2 << 20
+    slice_bytes: int = 256 << 10
 
     @property
     def classes(self) -> tuple[str, ...]:
@@ -74,6 +74,34 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ((before << 12) | (own << 6) | after)[at], np.searchsorted(at, offs)
 
 
+def long_text_counts(data: np.ndarray, step: int) -> np.ndarray:
+    """Times of every code in one text, read ``step`` bytes at a time."""
+    out = np.zeros(CODES, np.int64)
+    for s in range(0, len(data), step):
+        e = min(s + step, len(data))
+        low, high = max(s - 1, 0), min(e + 1, len(data))
+        # a letter of the neighbouring pieces on either side
+        codes, _ = trigrams(data[low:high], np.array([0, high - low]))
+        place = np.flatnonzero(LETTERS[data[low:high]])
+        out += np.bincount(codes[(place >= s - low) & (place < e - low)], minlength=CODES)
+    return out
+
+
+def text_counts(data: np.ndarray, offs: np.ndarray, slice_bytes: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, text from a, code, times) of the texts a to b; a text longer than
+    a slice comes alone and is counted piece by piece."""
+    for a, b in slices(offs, slice_bytes):
+        part = data[offs[a] : offs[b]]
+        if len(part) > slice_bytes:
+            times = long_text_counts(part, slice_bytes)
+            code = np.flatnonzero(times)
+            yield a, b, np.zeros(len(code), np.int64), code, times[code]
+        else:
+            codes, at = trigrams(part, offs[a : b + 1] - offs[a])
+            keys, times = np.unique(np.repeat(np.arange(b - a), np.diff(at)) * CODES + codes, return_counts=True)
+            yield a, b, keys // CODES, keys % CODES, times
+
+
 def primary(declared: Column) -> Column:
     """Primary subtag of a language tag, lower case; NULL where there is none."""
     return F.nullif(F.regexp_extract(F.lower(F.trim(declared.cast("string"))), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
@@ -112,12 +140,8 @@ def _count(p: LangId):
         for batch in batches:
             data, offs = utf8(batch.column(1))
             which = np.array([p.languages.index(x) for x in batch.column(0).to_pylist()])
-            for a, b in slices(offs, p.slice_bytes):
-                codes, at = trigrams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                owner = np.repeat(which[a:b], np.diff(at))
-                for k in range(len(p.languages)):
-                    if (which[a:b] == k).any():
-                        counts[k] += np.bincount(codes[owner == k], minlength=CODES)
+            for a, b, doc, code, times in text_counts(data, offs, p.slice_bytes):
+                np.add.at(counts, (which[a:b][doc], code), times)
         k, code = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(counts[k, code])], ["k", "code", "n"])
 
@@ -132,27 +156,23 @@ class TextModel:
         smoothed = counts + smoothing
         self.logs = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
 
-    def likelihoods(self, codes: np.ndarray, at: np.ndarray, declared: np.ndarray) -> np.ndarray:
-        """Sum of logs per text (rows) and class (columns; the last is uniform).
+    def likelihoods(self, n: int, doc: np.ndarray, code: np.ndarray, times: np.ndarray, declared: np.ndarray) -> np.ndarray:
+        """Sum of logs per text (``n`` rows) and class (columns; the last is
+        uniform) from the times of each code in each text.
 
         A text's own trigrams are taken out of the counts of the language it is
         declared in, as a text would speak for itself otherwise.
         """
-        n, size = len(at) - 1, np.diff(at)
+        size = np.bincount(doc, times, n)
         out = np.empty((n, len(self.counts) + 1))
         out[:, -1] = size * -np.log(CODES)
-        owner = np.repeat(np.arange(n), size)
-        _, each, times = np.unique(owner * CODES + codes, return_inverse=True, return_counts=True)
-        own = times[each]
         for k, row in enumerate(self.counts):
             mine = declared == k
-            logs = self.logs[k][codes]
-            voted = mine[owner]
-            logs[voted] = np.log(np.maximum(row[codes[voted]] - own[voted], 0) + self.smoothing)
-            sums = np.concatenate([[0.0], np.cumsum(logs)])
-            out[:, k] = sums[at[1:]] - sums[at[:-1]]
-            total = np.maximum(row.sum() - size[mine], 0) + self.smoothing * CODES
-            out[mine, k] -= size[mine] * np.log(total)
+            logs = self.logs[k][code]
+            voted = mine[doc]
+            logs[voted] = np.log(np.maximum(row[code[voted]] - times[voted], 0) + self.smoothing)
+            out[:, k] = np.bincount(doc, times * logs, n)
+            out[mine, k] -= size[mine] * np.log(np.maximum(row.sum() - size[mine], 0) + self.smoothing * CODES)
         return out
 
 
@@ -175,18 +195,18 @@ def _score(broadcast, p: LangId):
         for batch in batches:
             data, offs = utf8(batch.column(batch.num_columns - 1))
             declared = np.array([p.languages.index(x) if x else -1 for x in batch.column(2).to_pylist()])
-            for a, b in slices(offs, p.slice_bytes):
-                codes, at = trigrams(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                like = p.temper * model.likelihoods(codes, at, declared[a:b])
+            for a, b, doc, code, times in text_counts(data, offs, p.slice_bytes):
+                letters = np.bincount(doc, times, b - a).astype(np.int64)
+                like = p.temper * model.likelihoods(b - a, doc, code, times, declared[a:b])
                 post = like + flat
                 post = np.exp(post - post.max(axis=1, keepdims=True))
                 post /= post.sum(axis=1, keepdims=True)
                 # text without letters is no evidence for any language
-                post[np.diff(at) == 0] = 0
+                post[letters == 0] = 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(c.slice(a, b - a) for c in batch.columns[:-1]),
-                        pa.array(np.diff(at).astype(np.int64)),
+                        pa.array(letters),
                         pa.array(list(like), pa.list_(pa.float64())),
                         pa.array(list(post), pa.list_(pa.float64())),
                     ],
