@@ -376,8 +376,8 @@ def drop_near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str =
     """The documents, all columns, with one of each group: that of the smallest
     id, and one row of those that repeat its id and text.
 
-    Texts aren't exchanged: only ids to remove, and the few that repeat, are
-    joined back.  Rows of NULL id, and texts without words, all stay.
+    The rows are exchanged once, to meet the ids to remove and those that
+    repeat.  Rows of NULL id, and texts without words, all stay.
     """
     found = cut(near_duplicates(docs, p, id_col, text_col), "near-duplicates")
     own, mark = fresh(docs, "_id", "_mark")
@@ -386,7 +386,8 @@ def drop_near_duplicates(docs: DataFrame, p: NearDup = NearDup(), id_col: str =
     again = cut(linked.filter("kept").groupBy(own, mark).count().filter("count > 1").select(own, mark), "repeated")
     row_id, row_mark = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
     same = (row_id == F.col(own)) & (row_mark == F.col(mark))
-    kept = docs.join(gone, same, "left_anti")
-    one = kept.join(again, same, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), row_id.alias(own), row_mark.alias(mark))
+    # these ids grow with the data, so texts are dealt by id once, at any size
+    rest = docs.join(gone.union(again).hint("shuffle_hash"), same, "left_anti")
+    one = docs.join(again, same, "left_semi").select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), row_id.alias(own), row_mark.alias(mark))
     one = one.groupBy(own, mark).agg(F.first("row").alias("row")).select("row.*")
-    return kept.join(again, same, "left_anti").union(one)
+    return rest.union(one)
