@@ -6,6 +6,10 @@ turns again, then as many turns before its first new one as ``history``
 tokens allow, then its new turns.  Repeated turns are masked from the loss;
 every assistant text is under the loss mask of exactly one window.
 
+Prefix sums have two levels: blocks of turn numbers are summed and these sums
+added up, then turns are added up within their block.  So a conversation that
+holds a third of all turns is spread over tasks by block and then by window.
+
 Template of a turn: ``<|im_start|>`` role newline text ``<|im_end|>`` newline.
 Control strings inside roles and texts get a backslash after their first
 character, and backslashes are doubled; reading back drops each escaping
@@ -28,10 +32,12 @@ CONTROL = ["<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
 @dataclass(frozen=True)
 class Budget:
-    """Tokens of new turns that share a window, and of history repeated before them."""
+    """Tokens of new turns that share a window, and of history repeated before
+    them; prefix sums run within blocks of ``block_turns`` turn numbers."""
 
     fresh: int = 512
     history: int = 128
+    block_turns: int = 1024
 
 
 def escape(text: Column, *more: str) -> Column:
@@ -47,6 +53,21 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def block_starts(t: DataFrame) -> DataFrame:
+    """Per block of turns: turns and tokens of the conversation ahead of it, and
+    the text of the conversation's first turn if that is a system turn."""
+    sums = t.groupBy("block").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min(F.struct("turn", "role", "text")).alias("first"))
+    ahead = Window.partitionBy("block.conv_id").orderBy(F.col("block.at").asc_nulls_first())
+    so_far = ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("first", F.first("first").over(so_far))
+    return sums.select(
+        "block",
+        (F.sum("n").over(so_far) - F.col("n")).alias("n_ahead"),
+        (F.sum("tokens").over(so_far) - F.col("tokens")).alias("tokens_ahead"),
+        F.when(F.col("first.role") == "system", F.col("first.text")).alias("system_text"),
+    )
+
+
 def windows(
     turns: DataFrame, budget: Budget = Budget(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -65,27 +86,29 @@ def windows(
     t = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), nz(F.col(role_col)).alias("role"), nz(F.col(text_col)).alias("text")
     )
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     header, body = F.concat(F.lit(START), escape(F.col("role"), "\n"), F.lit("\n")), escape(F.col("text"))
+    block = F.struct("conv_id", F.floor(F.col("turn") / F.lit(budget.block_turns)).alias("at"))
+    words = F.greatest(F.lit(1), F.size(F.split(F.trim("text"), r"\s+"))).cast("long")
+    t = t.withColumns({"block": block, "tokens": words})
+    t = t.join(block_starts(t), "block")
+    order = Window.partitionBy("block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumns(
         {
-            "tokens": F.greatest(F.lit(1), F.size(F.split(F.trim("text"), r"\s+"))).cast("long"),
+            "n": F.col("n_ahead") + F.row_number().over(order),
+            "before": F.col("tokens_ahead") + F.sum("tokens").over(so_far) - F.col("tokens"),
+            "earlier": F.lag("tokens").over(order),
             "header": F.length(header),
             "body": F.length(body),
             "piece": F.concat(header, body, F.lit(END + "\n")),
         }
     )
-    t = t.withColumns({"n": F.row_number().over(order), "before": F.sum("tokens").over(so_far) - F.col("tokens")})
-    t = t.withColumns(
-        {
-            "own": F.floor(F.col("before") / F.lit(budget.fresh)).cast("long"),
-            "system": F.when(F.col("n") > 1, F.first(F.when((F.col("n") == 1) & (F.col("role") == "system"), F.col("piece"))).over(so_far)),
-        }
-    )
-    # the system turn travels with the first new turn of each window
-    opens = F.coalesce(F.lag("own").over(order) < F.col("own"), F.lit(True))
-    t = t.withColumn("system", F.when(opens, F.col("system")))
+    t = t.withColumn("own", F.floor(F.col("before") / F.lit(budget.fresh)).cast("long"))
+    # the system turn travels with the first new turn of each window (and with
+    # the first turn of a block, which can't see its predecessor)
+    opens = F.coalesce(F.floor((F.col("before") - F.col("earlier")) / F.lit(budget.fresh)) < F.col("own"), F.lit(True))
+    system = F.concat(F.lit(START + "system\n"), escape(F.col("system_text")), F.lit(END + "\n"))
+    t = t.withColumn("system", F.when(opens & (F.col("own") > 0), system)).drop("block", "system_text")
     last = F.floor((F.col("before") + F.lit(budget.history)) / F.lit(budget.fresh)).cast("long")
     t = t.withColumn("window", F.explode(F.sequence("own", F.greatest("own", last))))
     own = F.col("own") == F.col("window")
