@@ -41,8 +41,9 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the target shares of sources, languages and topics
-    (operator 3); adds topic, n_tokens, weight and probability."""
-    return mix(docs).filter("selected").select("row.*", "topic", "n_tokens", "weight", "probability")
+    (operator 3); adds topic, n_tokens, weight, probability and copies, the
+    times a document is to be read."""
+    return mix(docs).filter("selected").select("row.*", "topic", "n_tokens", "weight", "probability", "copies")
 
 
 STAGES = [

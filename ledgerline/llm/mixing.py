@@ -3,9 +3,11 @@
 Tokens are summed by cell (source, language, topic); a value without a target
 is the category ``(other)``, which keeps its share.  The cells, as many as the
 targets' categories allow, are raked on the driver until all three marginals
-agree with the targets.  Documents are then sampled, each by itself, with the
-probability weight / largest weight, so the expected tokens of the sample have
-the target marginals.  The draw is a hash of the id: the same on every run.
+agree with the targets.  The weights are scaled to a token budget: a document is
+expected weight * scale times in the mix, so the expected tokens have the target
+marginals and sum to the budget, however rare the rarest cell is.  The whole
+part of that number are sure copies, the rest is the chance of one more.  Each
+document is drawn by itself, by a hash of its id: the same on every run.
 """
 
 from __future__ import annotations
@@ -21,13 +23,18 @@ OTHER = "(other)"
 
 @dataclass(frozen=True)
 class Targets:
-    """Shares of tokens per category; each marginal is scaled to what is there."""
+    """Shares of tokens per category; each marginal is scaled to what is there.
+
+    The mix has ``budget`` times the tokens of the documents (in expectation),
+    or ``budget_tokens`` if given; a budget above 1 repeats documents."""
 
     source: dict[str, float] = field(default_factory=lambda: {f"src{k}": 1.0 for k in range(20)})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15})
     topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.9, "table": 0.05, "marked": 0.05})
     rounds: int = 500
     tolerance: float = 1e-9
+    budget: float = 0.4
+    budget_tokens: int | None = None
     seed: int = 13
 
 
@@ -86,10 +93,13 @@ def mix(
     lang_col: str = "lang", topic_col: str | None = None,
 ) -> DataFrame:
     """One row per document: ``row`` (struct of its columns), n_tokens, topic,
-    weight, probability, selected.
+    weight, probability, selected, copies.
+
+    copies: times the document is in the mix (epochs), weight * scale in
+    expectation; probability: the chance of at least one; selected: copies > 0.
 
     * NULL and unlisted categories are (other).  NULL and empty texts have no
-      tokens and share their cell's weight.
+      tokens, share their cell's weight and are never repeated.
     * Rows sharing an id are drawn alike; a NULL id is drawn by its text.
     * Categories without tokens are left out and the rest scaled; an empty
       table gives an empty result.  No column clashes with the results.
@@ -109,11 +119,25 @@ def mix(
     for r in d.groupBy("c0", "c1", "c2").agg(F.sum("n_tokens").alias("n")).collect():  # at most the product of the targets' categories
         cells[tuple(x.index(r[k]) for k, x in enumerate(names))] = r["n"]
     weights = rake(cells, [np.array([*t.values(), np.nan]) for t in marginals], targets.rounds, targets.tolerance)
-    largest = weights[cells > 0].max(initial=0.0) or 1.0
-    rows = [(*(x[k] for x, k in zip(names, at)), float(w), float(min(1.0, w / largest))) for at, w in np.ndenumerate(weights)]
-    table = spark.createDataFrame(rows, "c0 string, c1 string, c2 string, weight double, probability double")
+    weighted = float((cells * weights).sum())
+    budget = targets.budget * cells.sum() if targets.budget_tokens is None else targets.budget_tokens
+    scale = budget / weighted if weighted > 0 else 1.0
+    rows = [(*(x[k] for x, k in zip(names, at)), float(w), float(w * scale)) for at, w in np.ndenumerate(weights)]
+    table = spark.createDataFrame(rows, "c0 string, c1 string, c2 string, weight double, expected double")
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit(targets.seed), "draw"), 11) / F.lit(float(1 << 53))
     return (
         d.join(F.broadcast(table), ["c0", "c1", "c2"])  # bounded by the targets' categories
-        .select("row", "n_tokens", "topic", "weight", "probability", (uniform < F.col("probability")).alias("selected"))
+        .withColumn("copies", (F.floor("expected") + (uniform < F.col("expected") - F.floor("expected")).cast("long")).cast("long"))
+        .withColumn("copies", F.when(F.col("n_tokens") > 0, F.col("copies")).otherwise(F.least("copies", F.lit(1).cast("long"))))
+        .select("row", "n_tokens", "topic", "weight", F.least("expected", F.lit(1.0)).alias("probability"), (F.col("copies") > 0).alias("selected"), "copies")
+    )
+
+
+def kept(mixed: DataFrame) -> DataFrame:
+    """One row about a result of ``mix``: documents, kept_documents, tokens,
+    kept_tokens (each document once), drawn_tokens (with copies)."""
+    once = F.when(F.col("selected"), F.col("n_tokens")).otherwise(0)
+    return mixed.agg(
+        F.count("*").alias("documents"), F.count_if("selected").alias("kept_documents"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(once), F.lit(0)).alias("kept_tokens"), F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")), F.lit(0)).alias("drawn_tokens"),
     )

@@ -29,7 +29,7 @@ def op2_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(read_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
-    return d.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "probability", "selected")
+    return d.select("row.doc_id", "row.source", "row.lang", "topic", "n_tokens", "weight", "probability", "selected", "copies")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,27 @@ def test_edge_rows(spark):
     assert sorted((r.row.doc_id or 0, r.n_tokens) for r in out) == [(0, 0), (1, 0), (1, 0), (2, 50_000)]
     assert len({r.selected for r in out if r.row.doc_id == 1}) == 1
     assert mixing.mix(df.limit(0)).collect() == []
+
+
+def test_a_stray_cell_does_not_shrink_the_sample(spark):
+    """One short table among 4,000 documents is repeated; the others are kept as the budget says."""
+    rows = [(k, "w " * (1 + k % 7), "src0", "en", None, "prose") for k in range(4000)] + [(4000, "w w w", "src0", "en", None, "table")]
+    targets = mixing.Targets(source={"src0": 1.0}, lang={"en": 1.0}, topic={"prose": 0.95, "table": 0.05}, budget=0.4)
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA), targets, topic_col="topic")
+    out = mixed.collect()
+    total = sum(r.n_tokens for r in out)
+    assert 0.35 < sum(r.selected for r in out) / len(out) < 0.45
+    stray = next(r for r in out if r.row.doc_id == 4000)
+    assert stray.selected and abs(stray.copies * stray.n_tokens - 0.05 * 0.4 * total) <= 3
+    assert abs(sum(r.copies * r.n_tokens for r in out) / total - 0.4) < 0.03
+    k = mixing.kept(mixed).first()
+    assert (k.documents, k.tokens, k.kept_documents) == (len(out), total, sum(r.selected for r in out))
+    assert k.drawn_tokens == sum(r.copies * r.n_tokens for r in out)
+
+
+def test_a_budget_above_what_is_there_repeats_documents(spark):
+    mixed = mixing.mix(docs(spark), mixing.Targets(budget_tokens=48_000, lang={}, source={}, topic={}))
+    k = mixing.kept(mixed).first()
+    assert k.kept_documents == 4000 and abs(k.drawn_tokens / 48_000 - 1) < 0.03
+    empty = mixing.mix(spark.createDataFrame([(1, "", "s", "en", None, None), (2, "a b", "s", "en", None, None)], SCHEMA), mixing.Targets(budget=9.0)).collect()
+    assert sorted((r.row.doc_id, r.copies) for r in empty) == [(1, 1), (2, 9)]
