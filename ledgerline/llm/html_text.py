@@ -2,7 +2,11 @@
 
 Each page becomes a small DOM.  Elements that are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments; by tag, role or class words) carry no text.  Every other node has
+comments; by tag, role or class words) carry no text.  Class words alone don't
+exclude a node that holds the longest main or article element, or most of the
+characters outside links of the page or of that element; nor one whose class
+has other words too ("ad-hoc", "share-price"), unless it is mostly links or,
+outside of articles, a block of low density.  Every other node has
 
     density = C / T * log_b((C / LC) * (T / LT)),
     b = ln(C / (C - LC) * LC + LCbody / Cbody * C + e)
@@ -64,6 +68,17 @@ DROP_WORD = frozenset(
 )
 HEADER_WORD = frozenset("header siteheader pageheader".split())
 LAYOUT_WORD = frozenset("has no with without".split())
+#: Words that say nothing of the content beside a word of the sets above.
+NEUTRAL_WORD = frozenset(
+    """a an and the of for on in to by my our site page web main top bottom left right center middle upper lower first last
+    primary secondary global local mobile desktop wrap wrapper wrapped container box block section area region zone panel
+    pane bar row col column grid list item items link links button buttons btn icon icons inner outer content body text
+    unit slot space place holder placeholder position fixed sticky static floating small medium large big xs sm md lg xl
+    js id div ui module component group set title heading label message msg form field input hidden visible open closed
+    post posts article articles user reader more read latest popular top hot news story stories blog policy accept info
+    google dfp gpt amp leaderboard skyscraper rectangle square horizontal vertical header head foot bottom end start
+    level depth current active disabled dropdown toggle trigger tab tabs to up us all new count number thread form""".split()
+)
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:{RAW})\b[^>]*>.*?(?:</(?:{RAW})\s*>|\Z)|<[!?][^>]*>|"
@@ -75,36 +90,56 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: What class words say of a node: nothing, that it isn't article text, or that with other words beside.
+NO_DOUBT, NAMED, MIXED = 0, 1, 2
+#: Elements within text, of which other words beside are believed.
+TEXT_TAG = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th span b i em strong a code mark q cite small sub sup u figure figcaption".split())
+
+
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "link", "role_main", "chars", "tags", "link_chars", "link_tags", "density", "total", "begin", "end", "children")
+    __slots__ = ("tag", "parent", "dropped", "link", "role_main", "chars", "tags", "link_chars", "link_tags", "density", "total", "begin", "end", "children", "doubt", "in_article", "own")
 
     def __init__(self, tag: str, parent: Node | None, begin: int) -> None:
         self.tag, self.parent, self.begin, self.end = tag, parent, begin, begin
-        self.dropped = self.link = self.role_main = False
+        self.dropped = self.link = self.role_main = self.in_article = False
+        self.doubt = NO_DOUBT
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.children: list[Node] = []
 
 
-def dropped(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(never article text, is the main element) of an element."""
-    drop, main = tag in DROP_TAG or (tag == "header" and not in_article), tag == "main"
+def doubt(value: str, in_article: bool) -> int:
+    """What the names of a class or id attribute say."""
+    out = NO_DOUBT
+    unwanted = DROP_WORD if in_article else DROP_WORD | HEADER_WORD
+    if {w.lower() for w in WORDS.findall(value)} & LAYOUT_WORD:
+        # "has-sidebar" and the like name the layout around the article
+        return out
+    for name in value.split():
+        words = {w.lower() for w in WORDS.findall(name)}
+        if words & unwanted:
+            if words <= unwanted | NEUTRAL_WORD:
+                return NAMED
+            out = MIXED
+    return out
+
+
+def dropped(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
+    """(never article text, is the main element, doubt by class words) of an element."""
+    drop, main, doubts = tag in DROP_TAG or (tag == "header" and not in_article), tag == "main", [NO_DOUBT]
     if drop or not attributes.strip():
-        return drop, main
+        return drop, main, NO_DOUBT
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape("".join(values))
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            words = {w.lower() for w in WORDS.findall(value)}
-            # "has-sidebar" and the like name the layout around the article
-            if not words & LAYOUT_WORD:
-                drop = drop or bool(words & DROP_WORD) or (not in_article and bool(words & HEADER_WORD))
+            doubts.append(doubt(value, in_article))
         elif name == "role":
             drop, main = drop or value.strip().lower() in DROP_ROLE, main or value.strip().lower() == "main"
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
             drop = True
         elif name == "style":
             drop = drop or bool(HIDDEN.search(value))
-    return drop, main
+    return drop, main, NAMED if NAMED in doubts else max(doubts)
 
 
 def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
@@ -164,7 +199,8 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
         if tag in BLOCK:
             pieces.append(("", True))
         node = Node(tag, stack[-1], len(pieces))
-        node.dropped, node.role_main = dropped(tag, attributes, articles > 0)
+        node.dropped, node.role_main, node.doubt = dropped(tag, attributes, articles > 0)
+        node.in_article = articles > 0
         node.link = tag == "a"
         if tag in VOID:
             if tag == "br":
@@ -187,6 +223,8 @@ def _sum_up(root: Node) -> list[Node]:
     order = [root]
     for node in order:
         order.extend(node.children)
+    for node in order:
+        node.own = (node.chars, node.tags)
     for node in reversed(order):
         for c in node.children:
             node.chars += c.chars
@@ -198,6 +236,43 @@ def _sum_up(root: Node) -> list[Node]:
     return order
 
 
+def prune(root: Node) -> list[Node]:
+    """Take out the nodes that their class words exclude, and return them."""
+    order = _sum_up(root)
+    out: list[Node] = []
+    if any(n.doubt for n in order):
+        body = next((n for n in order if n.tag == "body"), root)
+        plain = lambda n: n.chars - n.link_chars
+        leads = [n for n in order if n.tag == "main" or n.role_main] or [n for n in order if n.tag == "article"]
+        lead = max(leads, key=lambda n: n.chars, default=None)
+        above, n = set(), lead
+        while n is not None:
+            above.add(n)
+            n = n.parent
+        inside = {lead or body}
+        for n in order:
+            if n.parent in inside:
+                inside.add(n)
+        most, low = plain(lead or body), density(body, body)
+
+        def excluded(n: Node) -> bool:
+            if n in above or (n in inside and 2 * plain(n) > most):
+                return False
+            if n.doubt == NAMED:
+                return True
+            return 2 * n.link_chars > n.chars or not (n.in_article or n.tag in TEXT_TAG or density(n, body) >= low)
+
+        for n in order:
+            if n.doubt and excluded(n):
+                n.dropped = True
+                out.append(n)
+    for n in order:
+        n.children = [c for c in n.children if not c.dropped]
+        n.chars, n.tags = n.own
+        n.link_chars = n.link_tags = 0
+    return out
+
+
 def density(node: Node, body: Node) -> float:
     c, t = node.chars, max(1, node.tags)
     if not c:
@@ -239,7 +314,11 @@ def select(root: Node) -> Node:
 def main_text(html: str) -> str:
     """Blocks of the main text, one a line; "" if there are none."""
     root, pieces = parse(html)
+    out = prune(root)
     node = select(root)
+    for n in out:
+        if node.begin <= n.begin:
+            pieces[n.begin : n.end] = [("", True) if n.tag in BLOCK else ("", False)] * (n.end - n.begin)
     blocks, line = [], []
     for said, border in pieces[node.begin : node.end]:
         if not border:

@@ -48,3 +48,29 @@ def test_very_long_and_deep_pages():
     assert html_text.main_text(f"<body><div><p>{long}</p></div></body>") == long.strip()
     assert html_text.main_text("<div>" * 20_000 + "deep text") == "deep text"
     assert html_text.main_text("<a " * 20_000) is not None and html_text.main_text("<a x='" * 20_000) is not None
+
+
+def test_layout_wrappers_with_class_words():
+    """A wrapper named after what stands beside the article keeps the article."""
+    s = SENTENCES.strip()
+    want = "\n".join(["Title", s, s])
+    inner = f"<h1>Title</h1><p>{s}</p><p>{s}</p>"
+    side = f"<div class='sidebar'><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul><p>About us</p></div><div id=comments><p>Reader: {s}</p></div>"
+    for name in ("content-sidebar-wrap", "page navbar-fixed", "search-results-page"):
+        assert html_text.main_text(f"<body><div class='{name}'><main><article>{inner}</article></main>{side}</div></body>") == want
+        assert html_text.main_text(f"<body><div class='{name}'><article>{inner}</article>{side}</div></body>") == want
+    assert html_text.main_text(f"<body><div class='page navbar-fixed'><div class=content>{inner}<p>{s}</p></div>{side}</div></body>") == want + "\n" + s
+    assert html_text.main_text(f"<body><main><div class='content-sidebar-wrap'><div>{inner}</div></div>{side}</main></body>") == want
+
+
+def test_class_names_with_other_words():
+    s = SENTENCES.strip()
+    body = f"<h1>Title</h1><p class='ad-hoc'>{s}</p><div class='share-price'>The price rose to 12.</div><p>{s}</p><div class='ad-box'>Buy</div><p>before <span class='ad'>x</span>after</p>"
+    for around in ("article", "div"):
+        got = html_text.main_text(f"<body><{around}>{body}</{around}</body>").split("\n")
+        assert [x for x in got if x != "The price rose to 12."] == ["Title", s, s, "before after"]
+        assert around == "div" or "The price rose to 12." in got
+    links = "<div class='related-xyz'><a href=/a>Another story here</a> <a href=/b>One more story</a></div>"
+    assert html_text.main_text(f"<body><article><p>{s}</p>{links}</article></body>") == s
+    # teasers in a sidebar are no article of the page, however it is named
+    assert html_text.main_text(f"<body><article><p>{s}</p><p>{s}</p></article><div class=sidebar><article><p>{s}</p></article></div></body>") == f"{s}\n{s}"
