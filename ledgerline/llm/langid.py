@@ -4,6 +4,8 @@ log posterior(language) = ``temper`` * log P(text | language)
     + log P(declared markup language | language) + log P(address suffix | language)
     + log prior(language | host)
 
+* Languages: the primary subtags declared by at least ``least_rows`` rows, counted
+  in the table, so every one of them has a model.
 * Text: letter trigrams against counts of all other texts by declared language.  The
   class ``und`` has a uniform trigram model, so text of no known language is
   undetermined.  temper discounts the dependence of overlapping trigrams.
@@ -21,7 +23,7 @@ and domain tables stay distributed and are joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +34,19 @@ from ledgerline.llm.common import cut, fresh, slices, utf8
 
 UND = "und"
 CODES = 1 << 18
+#: Fixed values of ISO 639: codes that name no language.
+NO_LANGUAGE = (UND, "mis", "mul", "zxx")
 
 
 @dataclass(frozen=True)
 class LangId:
-    languages: tuple[str, ...] = ("en", "de", "fr", "es")
+    """``languages``: None for all that ``least_rows`` rows declare.  A text doesn't
+    speak for itself, so a language declared once has nothing to be compared with."""
+
+    languages: tuple[str, ...] | None = None
+    least_rows: int = 2
+    #: Languages whose counts a task holds before it hands them on (2 MB each).
+    held: int = 32
     temper: float = 0.2
     smoothing: float = 0.05
     strength: float = 10.0
@@ -112,6 +122,15 @@ def declared_in_markup(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit(""))
 
 
+def declared_languages(docs: DataFrame, declared_col: str | None, least_rows: int) -> tuple[str, ...]:
+    """Primary subtags that at least ``least_rows`` rows declare, the most frequent first."""
+    if not declared_col:
+        return ()
+    found = docs.select(primary(F.col(declared_col)).alias("k")).filter(F.col("k").isNotNull() & ~F.col("k").isin(*NO_LANGUAGE))
+    found = found.groupBy("k").count().filter(F.col("count") >= least_rows)
+    return tuple(r["k"] for r in found.orderBy(F.desc("count"), "k").collect())  # at most the subtags of two or three letters
+
+
 def evidence(docs: DataFrame, p: LangId, id_col: str, text_col: str, declared_col: str | None, host_col: str | None, url_col: str | None) -> DataFrame:
     """doc_id, mark, declared, host, domain, suffix, text.  mark tells apart the texts of one id."""
     none = F.lit(None).cast("string")
@@ -136,25 +155,41 @@ def _count(p: LangId):
     """(language, code, n) of the texts of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(p.languages), CODES), np.int64)
+        number = {x: k for k, x in enumerate(p.languages)}
+        counts: dict[int, np.ndarray] = {}
+
+        def held() -> Iterator[pa.RecordBatch]:
+            for k, n in counts.items():
+                code = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array(code.astype(np.int32)), pa.array(n[code])], ["k", "code", "n"])
+            counts.clear()
+
         for batch in batches:
             data, offs = utf8(batch.column(1))
-            which = np.array([p.languages.index(x) for x in batch.column(0).to_pylist()])
+            which = np.array([number[x] for x in batch.column(0).to_pylist()])
             for a, b, doc, code, times in text_counts(data, offs, p.slice_bytes):
-                np.add.at(counts, (which[a:b][doc], code), times)
-        k, code = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(counts[k, code])], ["k", "code", "n"])
+                mine = which[a:b][doc]
+                for k in np.unique(mine).tolist():
+                    if k not in counts and len(counts) >= p.held:
+                        yield from held()
+                    on = mine == k
+                    np.add.at(counts.setdefault(k, np.zeros(CODES, np.int64)), code[on], times[on])
+        yield from held()
 
     return run
 
 
 class TextModel:
-    """Trigram counts per language, and log P(trigram | class) from them."""
+    """Trigram counts per language, and log P(trigram | class) from them; a
+    column per trigram seen in any language, the first for all others."""
 
-    def __init__(self, counts: np.ndarray, smoothing: float) -> None:
-        self.counts, self.smoothing = counts, smoothing
-        smoothed = counts + smoothing
-        self.logs = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
+    def __init__(self, languages: int, k: np.ndarray, code: np.ndarray, n: np.ndarray, smoothing: float) -> None:
+        seen = np.unique(code)
+        self.column = np.zeros(CODES, np.int32)
+        self.column[seen] = np.arange(1, len(seen) + 1)
+        self.counts, self.smoothing = np.zeros((languages, len(seen) + 1)), smoothing
+        self.counts[k, self.column[code]] = n
+        self.logs = np.log((self.counts + smoothing) / (self.counts.sum(axis=1, keepdims=True) + smoothing * CODES))
 
     def likelihoods(self, n: int, doc: np.ndarray, code: np.ndarray, times: np.ndarray, declared: np.ndarray) -> np.ndarray:
         """Sum of logs per text (``n`` rows) and class (columns; the last is
@@ -166,6 +201,7 @@ class TextModel:
         size = np.bincount(doc, times, n)
         out = np.empty((n, len(self.counts) + 1))
         out[:, -1] = size * -np.log(CODES)
+        code = self.column[code]
         for k, row in enumerate(self.counts):
             mine = declared == k
             logs = self.logs[k][code]
@@ -179,22 +215,21 @@ class TextModel:
 def text_model(rows: DataFrame, p: LangId) -> TextModel:
     """Trigram counts of all rows with a declared language."""
     found = rows.filter("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text").mapInArrow(_count(p), "k int, code int, n long")
-    counts = np.zeros((len(p.languages), CODES))
     # at most languages x codes rows
-    for k, code, n in found.groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas().itertuples(index=False):
-        counts[k, code] = n
-    return TextModel(counts, p.smoothing)
+    table = found.groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
+    return TextModel(len(p.languages), *(table.column(c).to_numpy() for c in ("k", "code", "n")), p.smoothing)
 
 
 def _score(broadcast, p: LangId):
     """Tempered log likelihoods and the text posterior under flat priors."""
-    flat = np.log(np.array([(1 - p.und_prior) / len(p.languages)] * len(p.languages) + [p.und_prior]))
+    flat = np.log(np.array([(1 - p.und_prior) / max(1, len(p.languages))] * len(p.languages) + [p.und_prior]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
+        number = {x: k for k, x in enumerate(p.languages)}
         for batch in batches:
             data, offs = utf8(batch.column(batch.num_columns - 1))
-            declared = np.array([p.languages.index(x) if x else -1 for x in batch.column(2).to_pylist()])
+            declared = np.array([number.get(x, -1) for x in batch.column(2).to_pylist()])
             for a, b, doc, code, times in text_counts(data, offs, p.slice_bytes):
                 letters = np.bincount(doc, times, b - a).astype(np.int64)
                 like = p.temper * model.likelihoods(b - a, doc, code, times, declared[a:b])
@@ -220,16 +255,13 @@ def _sums(p: LangId, column: str = "post") -> Column:
     return F.array(*[F.sum(F.col(column)[k]) for k in range(len(p.classes))])
 
 
-def _confusion(scored: DataFrame, column: str, p: LangId) -> Column:
-    """log P(value | class) as an array column; zero where the value is NULL."""
+def _confusion(scored: DataFrame, column: str, p: LangId) -> DataFrame:
+    """``column`` and ``of_column``, log P(value | class) as an array, of all values."""
     rows = scored.filter(F.col(column).isNotNull()).groupBy(column).agg(_sums(p).alias("n")).collect()  # declared: languages; suffix: 676
     counts = np.array([r["n"] for r in rows]).reshape(len(rows), len(p.classes)) + p.smoothing
     logs = np.log(counts / counts.sum(axis=0, keepdims=True)) if rows else counts
-    flat = F.array(*[F.lit(0.0)] * len(p.classes))
-    if not rows:
-        return flat
-    pairs = [x for r, row in zip(rows, logs.tolist()) for x in (F.lit(r[column]), F.array(*map(F.lit, row)))]
-    return F.when(F.col(column).isNull(), flat).otherwise(F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), flat))
+    table = [(r[column], row) for r, row in zip(rows, logs.tolist())]
+    return scored.sparkSession.createDataFrame(table, f"{column} string, of_{column} array<double>")
 
 
 def identify(
@@ -241,14 +273,17 @@ def identify(
     language is ``und`` and accepted false where the text has no letters, the
     best class is ``und``, or its posterior is below ``least_confidence``.
 
+    * Without ``languages`` they are those declared in the table (``declared_languages``).
     * NULL or empty text is undetermined.  A NULL or unknown declared language,
       host or suffix adds no evidence of its own.
     * Repeated rows give repeated results and each counts as evidence; rows of
       one doc_id are told apart by mark, a hash of the text.
-    * Ties go to the first language listed.  Extra columns are ignored; an
+    * Ties go to the first language listed, else to the one declared more often.  Extra columns are ignored; an
       empty table gives an empty result.
     """
     spark = docs.sparkSession
+    if p.languages is None:
+        p = replace(p, languages=declared_languages(docs, declared_col, p.least_rows))
     rows = evidence(docs, p, id_col, text_col, declared_col, host_col, url_col)
     model = spark.sparkContext.broadcast(text_model(rows, p))  # classes x codes floats
     scored = rows.mapInArrow(
@@ -258,10 +293,13 @@ def identify(
     n = len(p.classes)
     total = np.array([x or 0.0 for x in scored.agg(_sums(p).alias("n")).first()["n"]]) + p.smoothing
     total = total / total.sum()
-    declared, suffix = (_confusion(scored, c, p) for c in ("declared", "suffix"))
+    flat = F.array(*[F.lit(0.0)] * n)
+    declared, suffix = (F.coalesce(f"of_{c}", flat) for c in ("declared", "suffix"))
     hosts = cut(scored.filter("host IS NOT NULL").groupBy("host").agg(_sums(p).alias("of_host")), "hosts")
     domains = cut(scored.filter("domain IS NOT NULL").groupBy("domain").agg(_sums(p).alias("of_domain")), "domains")
     all_ = scored.join(hosts, "host", "left").join(domains, "domain", "left")
+    for c in ("declared", "suffix"):
+        all_ = all_.join(F.broadcast(_confusion(scored, c, p)), c, "left")  # bounded by the languages, by 676
 
     def smoothed(counts: str, towards: Column) -> Column:
         """Dirichlet mean without the row's own vote; counts are NULL for no host."""

@@ -81,3 +81,37 @@ def test_long_texts_are_counted_whole():
     codes, _ = langid.trigrams(data, np.array([0, len(data)]))
     for step in (1, 7, 4999, 5000):
         assert (langid.long_text_counts(data, step) == np.bincount(codes, minlength=langid.CODES)).all()
+
+
+ALPHABETS = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ", "ja": "日本語文字学校先生今年月火水木金土", "sv": "åäö"}
+
+
+def test_every_declared_language_has_a_model(spark):
+    """Texts in other scripts and in a language written like the others are determined; noise isn't."""
+    rng = random.Random(8)
+    rows, k = rows_of(6), 5000
+    for language, letters in ALPHABETS.items():
+        stems = ["".join(rng.choices(letters, k=2)) + ("ska" if language == "sv" else "") for _ in range(40)]
+        for _ in range(25):
+            text = " ".join("".join(rng.choices(stems, k=2)) for _ in range(30))
+            rows.append((k, text, language.upper() + "-x", None, language, ""))
+            k += 1
+        # declared wrongly or not at all
+        rows.append((k, text[::-1][:3] + text[3:], None, None, language, ""))
+        k += 1
+    noise = [(9000, "".join(rng.choices(string.ascii_lowercase, k=300)), "und", None, "und", ""), (9001, "".join(rng.choices("ѐёђѓєѕіїјљњћќѝўџ", k=300)), None, None, "und", "")]
+    df = spark.createDataFrame(rows + noise, SCHEMA)
+    assert langid.declared_languages(df, "lang", 2)[-4:] == ("el", "ja", "ru", "sv")
+    out = langid.identify(df).join(df.select("doc_id", "truth"), "doc_id").filter("doc_id >= 5000")
+    wrong = out.filter("language <> truth").collect()
+    assert wrong == []
+    assert {r.doc_id for r in langid.drop_undetermined(df).collect()} == {r[0] for r in rows}
+
+
+def test_languages_can_be_given_and_need_two_rows(spark):
+    df = spark.createDataFrame([*rows_of(7, 60), (9000, "один два три", "ru", None, "ru", "")], SCHEMA)
+    assert sorted(langid.declared_languages(df, "lang", 2)) == ["de", "en", "es", "fr"]
+    assert langid.declared_languages(df, None, 2) == () and langid.declared_languages(df.limit(0), "lang", 2) == ()
+    some = {r.language for r in langid.identify(df, langid.LangId(languages=("en", "de"))).collect()}
+    assert some <= {"en", "de", "und"} and "de" in some
+    assert sorted(langid.identify(df.coalesce(1), langid.LangId(held=1)).collect()) == sorted(langid.identify(df).collect())
