@@ -16,8 +16,8 @@ log posterior(language) = ``temper`` * log P(text | language)
   A row's own vote is left out of its host's counts.
 
 Counts come from grouped aggregates with map-side combining.  Tables that
-reach the driver are bounded by languages, trigram codes and suffixes; host
-and domain tables stay distributed and are joined.
+reach the driver are bounded by languages and trigram codes; suffix, host and
+domain tables stay distributed and are joined.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm import html_text
 from ledgerline.llm.common import cut, fresh, slices, utf8
 
 UND = "und"
@@ -145,8 +146,7 @@ def evidence(docs: DataFrame, p: LangId, id_col: str, text_col: str, declared_co
         F.when(declared.isin(*p.languages), declared).alias("declared"),
         host.alias("host"),
         F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
-        # two-letter suffixes only, so at most 676 of them
-        F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit("")).alias("suffix"),
+        F.nullif(F.regexp_extract(host, r"\.([^.0-9][^.]*)$", 1), F.lit("")).alias("suffix"),
         text.alias("text"),
     )
 
@@ -255,13 +255,15 @@ def _sums(p: LangId, column: str = "post") -> Column:
     return F.array(*[F.sum(F.col(column)[k]) for k in range(len(p.classes))])
 
 
-def _confusion(scored: DataFrame, column: str, p: LangId) -> DataFrame:
-    """``column`` and ``of_column``, log P(value | class) as an array, of all values."""
-    rows = scored.filter(F.col(column).isNotNull()).groupBy(column).agg(_sums(p).alias("n")).collect()  # declared: languages; suffix: 676
-    counts = np.array([r["n"] for r in rows]).reshape(len(rows), len(p.classes)) + p.smoothing
-    logs = np.log(counts / counts.sum(axis=0, keepdims=True)) if rows else counts
-    table = [(r[column], row) for r, row in zip(rows, logs.tolist())]
-    return scored.sparkSession.createDataFrame(table, f"{column} string, of_{column} array<double>")
+def _confusion(scored: DataFrame, column: str, p: LangId) -> DataFrame | None:
+    """``column`` and ``of_column``, log P(value | class) as an array, of all
+    values (a written table); None if there are none."""
+    counts = cut(scored.filter(F.col(column).isNotNull()).groupBy(column).agg(_sums(p).alias("n")), f"{column}s")
+    all_ = counts.agg(F.count("*").alias("values"), _sums(p, "n").alias("n")).first()
+    if not all_["values"]:
+        return None
+    sizes = F.array(*[F.lit(x + p.smoothing * all_["values"]) for x in all_["n"]])
+    return counts.select(column, F.zip_with("n", sizes, lambda x, y: F.log((x + p.smoothing) / y)).alias(f"of_{column}"))
 
 
 def identify(
@@ -294,12 +296,14 @@ def identify(
     total = np.array([x or 0.0 for x in scored.agg(_sums(p).alias("n")).first()["n"]]) + p.smoothing
     total = total / total.sum()
     flat = F.array(*[F.lit(0.0)] * n)
-    declared, suffix = (F.coalesce(f"of_{c}", flat) for c in ("declared", "suffix"))
     hosts = cut(scored.filter("host IS NOT NULL").groupBy("host").agg(_sums(p).alias("of_host")), "hosts")
     domains = cut(scored.filter("domain IS NOT NULL").groupBy("domain").agg(_sums(p).alias("of_domain")), "domains")
     all_ = scored.join(hosts, "host", "left").join(domains, "domain", "left")
-    for c in ("declared", "suffix"):
-        all_ = all_.join(F.broadcast(_confusion(scored, c, p)), c, "left")  # bounded by the languages, by 676
+    said = {c: _confusion(scored, c, p) for c in ("declared", "suffix")}
+    for c, table in said.items():
+        if table is not None:
+            all_ = all_.join(table, c, "left")
+    declared, suffix = (flat if table is None else F.coalesce(f"of_{c}", flat) for c, table in said.items())
 
     def smoothed(counts: str, towards: Column) -> Column:
         """Dirichlet mean without the row's own vote; counts are NULL for no host."""
@@ -321,6 +325,18 @@ def identify(
     )
 
 
+def identify_pages(pages: DataFrame, p: LangId = LangId(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``identify`` over web pages: the main text (operator 7), the language that
+    the markup declares, and host, domain and suffix of the address.
+
+    One row per page: page_id, declared, language, confidence, accepted.
+    """
+    said = F.struct(F.col(url_col).cast("string").alias("url"), declared_in_markup(F.col(html_col).cast("string")).alias("lang"))
+    rows = pages.select(F.col(id_col).alias("page_id"), said.alias("said"), F.col(html_col).alias("html"))
+    texts = cut(html_text.extract(rows, url_col="said").select("page_id", "url.url", "url.lang", "text"), "page_texts")
+    return identify(texts, p, "page_id", "text", "lang", None, "url").withColumnRenamed("doc_id", "page_id").drop("mark")
+
+
 def drop_undetermined(docs: DataFrame, p: LangId = LangId(), id_col: str = "doc_id", text_col: str = "text", **columns: str | None) -> DataFrame:
     """The documents, all columns, whose language is determined.
 

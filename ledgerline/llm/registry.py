@@ -40,6 +40,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("mark")
 
 
+def op5_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -76,6 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Operators over a second table."""
+    return {op5_language_id_pages.__name__: op5_language_id_pages}
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""

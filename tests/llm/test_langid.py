@@ -115,3 +115,18 @@ def test_languages_can_be_given_and_need_two_rows(spark):
     some = {r.language for r in langid.identify(df, langid.LangId(languages=("en", "de"))).collect()}
     assert some <= {"en", "de", "und"} and "de" in some
     assert sorted(langid.identify(df.coalesce(1), langid.LangId(held=1)).collect()) == sorted(langid.identify(df).collect())
+
+
+def test_pages_use_markup_and_address(spark):
+    """Texts without telling letters follow the markup and the suffix, whatever its length."""
+    rng, rows = random.Random(11), []
+    for k, (_, text, declared, _, truth, _) in enumerate(rows_of(9, 200)):
+        rows.append((k, f"https://h{k % 7}.{truth}-site.{ {'en': 'com', 'de': 'berlin', 'fr': 'fr', 'es': 'es'}[truth] }/p/{k}", f"<html lang={declared}><body><p>{text}</p></body></html>"))
+    rows += [(9000, "https://new.host.berlin/", "<html lang=de><p>a</p></html>"), (9001, None, None), (9002, "https://other.host.berlin/x", "<html><p>a</p></html>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r for r in langid.identify_pages(df).collect()}
+    truth = [r[4] for r in rows_of(9, 200)]
+    assert sum(out[k].language == t for k, t in enumerate(truth)) >= 198
+    assert [out[k].language for k in (9000, 9001, 9002)] == ["de", "und", "de"]
+    assert {r.suffix for r in langid.evidence(df, langid.LangId(languages=("de",)), "page_id", "html", None, None, "url").collect()} == {"com", "berlin", "fr", "es", None}
+    assert langid.identify_pages(df.limit(0)).collect() == []
