@@ -5,11 +5,14 @@ hex.  The CRF tags tokens as outside, begin or inside of a secret from their
 shape, the words and marks around them, and features of the whole text; spans
 it finds beyond the base ones have kind crf.
 
-Two hard constraints keep decoding exact and cheap on long texts: only a
-token of 8 or more characters with a digit can begin a secret, and an inside
-token follows its predecessor without white space.  So chunks (runs without
-white space) that hold no such token are outside for certain, and Viterbi
-runs on the runs of chunks between them.
+Two hard constraints keep decoding cheap on long texts: a secret begins with a
+known prefix, or with a token of 8 or more characters (6 after a keyword) that
+has a digit, mixed case or a keyword before it; and an inside token follows its
+predecessor without white space.  Chunks (runs without white space) that hold
+no such token are outside by that definition, and Viterbi runs on the runs of
+chunks between them.  So a secret of one case without digits can be found only
+behind a keyword or prefix (the model takes plain letters of one case for
+words), and of a passphrase with spaces at most its first word.
 
 The CRF is trained here, on generated sequences of fixed seed and size
 (``TRAINING_SEQUENCES``); no corpus rows are used.
@@ -43,8 +46,12 @@ PREFIXES = ("sk-", "sk_", "pk_", "rk_", "ghp_", "gho_", "ghs_", "github_pat_", "
 
 TRAINING_SEQUENCES = 2500
 TOKEN = re.compile(r"[A-Za-z0-9_+/\-]+|[^\sA-Za-z0-9_+/\-]")
-DIGITS = re.compile(r"[0-9]+")
+#: What opens a chunk: a digit, mixed case, a public prefix, or a keyword within or up to three chunks before.
+OPENS = (re.compile(r"[0-9]+"), re.compile(r"[A-Z](?:(?<=[a-z][A-Z])|[A-Z][a-z])"))
 WORD = re.compile(r"[A-Za-z]+")
+KEYED = re.compile("|".join(sorted(KEYWORDS)), re.I)
+CHUNK = re.compile(r"\S+")
+MIXED = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 NEVER = -1e4
 
@@ -70,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
 
 # --- features ---------------------------------------------------------------
 
-SIZES = {"length": 7, "digits": 6, "case": 4, "hex": 2, "mixing": 5, "vowels": 4, "marks": 2, "prefix": 2, "before": 9, "after": 9, "keyword": 3, "file": 2, "place": 2, "class": 3}
+SIZES = {"length": 7, "digits": 6, "case": 4, "turns": 4, "hex": 2, "mixing": 5, "vowels": 4, "marks": 2, "prefix": 2, "before": 9, "after": 9, "keyword": 3, "file": 2, "place": 2, "class": 3}
 _FIRST = dict(zip(SIZES, np.cumsum([0, *SIZES.values()])[:-1].tolist()))
 N_FEATURES = sum(SIZES.values())
 _MARKS = {"": 0, "=": 1, ":": 2, '"': 3, "'": 3, "`": 3, "/": 4, "@": 5, ".": 6, "-": 7, "_": 7, "+": 7}
@@ -92,6 +99,7 @@ def features(token: str, before: str, after: str, keyword: int, code: bool, firs
         "length": _bucket(n, 8, 12, 16, 20, 32, 64),
         "digits": 0 if not digits else 5 if digits == n else 1 + _bucket(digits / n, 0.15, 0.4, 0.75),
         "case": 2 * any(c.islower() for c in letters) + any(c.isupper() for c in letters),
+        "turns": _bucket(sum(a.islower() != b.islower() for a, b in zip(letters, letters[1:])), 1, 3, 5),
         "hex": int(n >= 16 and all(c in string.hexdigits for c in token)),
         "mixing": _bucket(sum(a != b for a, b in zip(kinds, kinds[1:])), 1, 2, 4, 8),
         "vowels": 0 if not letters else 1 + _bucket(vowels / len(letters), 0.15, 0.3),
@@ -123,32 +131,63 @@ def _sequence(text: str, chunks: list[tuple[int, int]], code: bool) -> Sequence:
             token, s, e = m[0], m.start(), m.end()
             tokens.append((s, e))
             rows.append(features(token, text[s - 1] if s > a else "", text[e] if e < b else "", keyword, code, s == a))
-            begins.append(len(token) >= 8 and any(c in string.digits for c in token))
+            begins.append(_may_begin(token, keyword))
             joined.append(s > a)
             if keyword < 2 and any(w.lower() in KEYWORDS for w in WORD.findall(token)):
                 keyword = 2
     return Sequence(tokens, np.array(rows, np.int64), np.array(begins), np.array(joined))
 
 
-def _capable(text: str, a: int, b: int) -> bool:
-    return any(len(m[0]) >= 8 and any(c in string.digits for c in m[0]) for m in TOKEN.finditer(text, a, b))
+def _may_begin(token: str, keyword: int) -> bool:
+    if token.startswith(PREFIXES):
+        return True
+    if keyword and len(token) >= 6:
+        return True
+    return len(token) >= 8 and (any(c in string.digits for c in token) or MIXED.search(token) is not None)
+
+
+def _capable(text: str, a: int, b: int, keyed: bool) -> bool:
+    return any(_may_begin(m[0], keyed) for m in TOKEN.finditer(text, a, b))
+
+
+def _open(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, behind a keyword) of chunks that may hold a secret, in order."""
+    found: dict[int, tuple[int, bool]] = {}
+
+    def add(at: int, end: int, keyed: bool) -> tuple[int, int]:
+        while at and not text[at - 1].isspace():
+            at -= 1
+        chunk = CHUNK.match(text, at)
+        end = chunk.end() if chunk else end
+        found[at] = (end, keyed or found.get(at, (0, False))[1])
+        return at, end
+
+    for opens in (*OPENS, *(re.compile(re.escape(x)) for x in PREFIXES if x in text)):
+        done = 0
+        for m in opens.finditer(text):
+            if m.start() >= done:
+                done = add(m.start(), m.end(), False)[1]
+    done, low = 0, text.lower()
+    for m in KEYED.finditer(text) if any(x in low for x in KEYWORDS) else ():
+        if m.start() < done:
+            continue
+        _, done = add(m.start(), m.end(), True)
+        end = done
+        for _ in range(3):
+            after = CHUNK.search(text, end)
+            if not after:
+                break
+            end = add(after.start(), after.end(), True)[1]
+    for at in sorted(found):
+        yield at, *found[at]
 
 
 def sequences(text: str) -> Iterator[Sequence]:
     """Runs of neighbouring chunks that each hold a token able to begin a secret."""
     chunks: list[tuple[int, int]] = []
     code = None
-    done = 0
-    for m in DIGITS.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = m.start(), m.end()
-        while a > done and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        done = b
-        if not _capable(text, a, b):
+    for a, b, keyed in _open(text):
+        if not _capable(text, a, b, keyed):
             continue
         if code is None:
             code = sum(map(text.count, "{};=")) * 50 > len(text)
@@ -199,7 +238,13 @@ def _random(rng: np.random.Generator, letters: str, low: int, high: int) -> str:
 
 def _secret(rng: np.random.Generator) -> str:
     alnum = string.ascii_letters + string.digits
-    kind = rng.integers(0, 8)
+    kind = rng.integers(0, 12)
+    if kind in (8, 10):  # without digits
+        return _random(rng, string.ascii_letters, 14, 40)
+    if kind == 9:
+        return ["sk-", "sk_", "ghp_"][rng.integers(0, 3)] + _random(rng, string.ascii_letters, 20, 40)
+    if kind == 11:
+        return "SG." + _random(rng, string.ascii_letters if rng.random() < 0.5 else alnum, 20, 40)
     if kind == 0:
         return _random(rng, "0123456789abcdef", 24, 64)
     if kind == 1:
@@ -220,9 +265,9 @@ def _word(rng: np.random.Generator) -> str:
 
 
 def _plain(rng: np.random.Generator) -> str:
-    """Text with a digit in it that isn't a secret."""
+    """Text that could be a secret by its digits, its case or what is before it, and isn't one."""
     number = _random(rng, string.digits, 1, 6)
-    kind = rng.integers(0, 14)
+    kind = rng.integers(0, 18)
     return [
         lambda: _random(rng, string.digits, 8, 19),
         lambda: f"+{number[:2]}-{_random(rng, string.digits, 3, 3)}-{_random(rng, string.digits, 3, 4)}-{_random(rng, string.digits, 4, 4)}",
@@ -238,6 +283,10 @@ def _plain(rng: np.random.Generator) -> str:
         lambda: f"{_word(rng).upper()}-{_random(rng, string.digits, 4, 8)}",
         lambda: f"{_word(rng).capitalize()}{_word(rng).capitalize()}{_word(rng).capitalize()}{number}",
         lambda: f"{number}{_word(rng)}{_word(rng)}",
+        lambda: f"{_word(rng)}{_word(rng).capitalize()}{_word(rng).capitalize()}",
+        lambda: f"{['key', 'secret', 'token', 'password', 'access', 'private'][rng.integers(0, 6)]} {_word(rng)}{_word(rng)} {_word(rng)}{_word(rng)}",
+        lambda: f"{['key', 'password', 'auth', 'signature'][rng.integers(0, 4)]}: {_word(rng)}{_word(rng)}",
+        lambda: f"{_word(rng)}{_word(rng)}-{_word(rng)}{_word(rng)}".upper(),
     ][kind]()
 
 

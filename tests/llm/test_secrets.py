@@ -71,3 +71,20 @@ def test_masking_keeps_rows_and_columns(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(
         [(1, "key [SECRET] end", 16, "clash"), (2, None, None, None), (2, "clean text", 10, "x"), (2, "clean text", 10, "x"), (3, "password=[SECRET] z", 19, "y")], key=str
     )
+
+
+def test_secrets_without_digits():
+    """Held-out keys of letters only, bare, behind a keyword or with a public prefix; words there are none."""
+    chain, rng = secrets.trained(), np.random.default_rng(77)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    found = total = 0
+    for name in ("Bearer ", "pwd: ", "api key ", "SECRET_KEY=", "the value ", "use sk-", "mail SG."):
+        for _ in range(40):
+            key = "".join(rng.choice(letters, 24))
+            text = f"some words before {name}{key} and words after"
+            at = text.index(key)
+            found += any(s.value <= at and s.end >= at + 24 for s in secrets.secret_spans(text, chain))
+            total += 1
+    assert found / total > 0.9
+    prose = "The key question remains whether a password manager helps; private companies and access restrictions. JavaScript developers at OpenStreetMap read GitHub. Token economics matter."
+    assert secrets.secret_spans(prose, chain) == []
