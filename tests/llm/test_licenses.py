@@ -38,3 +38,10 @@ def test_repeats_empty_tables_and_clashing_known_texts(spark):
     assert licenses.scan(df).count() == 2 and licenses.scan(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         licenses.scan(df, {"a": "Same text", "b": "same, TEXT"}, NOTICES).collect()
+
+
+def test_full_texts(spark):
+    """Whole long texts are known, with other line breaks and copyright lines too."""
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib"]
+    got = scan(spark, ["Copyright 2024 Someone\n\n" + LICENSES[n].replace("\n", "\r\n\t") for n in names])
+    assert [got[k].license_id for k in range(len(names))] == names
