@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, and DuckDB SQL for those
+"""Queries of the thirteen operators over whole tables, and DuckDB SQL for those
 that SQL expresses.  The others are tested against brute force in tests/llm."""
 
 from __future__ import annotations
@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontam, html_text, langid, licenses, mixing, near_dup, secrets, tokens, vector_dup
+from ledgerline.llm import byte_bpe, chat, decontam, html_text, langid, licenses, lloyd, mixing, near_dup, periodic, secrets, tokens, vector_dup
 from ledgerline.llm.common import read_table
 from ledgerline.llm.known_licenses import LICENSES, NOTICES
 
 #: Fixed value: the vocabulary file of the contract.
 VOCABULARY = "byte_bpe_50k.json"
+#: Fixed value: the rank file of the contract.
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the conversation that the contract adds.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -70,12 +72,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = str(public_tokenizers.path(RANK_FILE)), public_tokenizers.PATTERN
+    ids = byte_bpe.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern)
+    return byte_bpe.digests(byte_bpe.decode(ids, path, pattern))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.report(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_minhash_near_dup, op2_embedding_near_dup, op3_source_mixing, op4_decontamination, op5_language_id,
-            op6_license_scan, op7_html_text, op8_secret_scan, op9_token_counts, op10_chat_format,
+            op6_license_scan, op7_html_text, op8_secret_scan, op9_token_counts, op10_chat_format, op11_periodic_runs, op12_byte_bpe, op13_centroid_clusters,
         )
     }
 
