@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.grouping import expand_sets
 from ledgerline.operators.joins import null_safe_join
 
 # Fixed value: values are cut into coarse buckets of 2**BUCKET_BITS units of
@@ -31,55 +32,106 @@ def value_scale(df: DataFrame, value: str) -> int:
     return kind.scale
 
 
+def _units(df: DataFrame, value: str) -> Column:
+    return (F.col(value) * F.lit(10 ** value_scale(df, value)).cast("decimal(20,0)")).cast("bigint")
+
+
+def _weight(weight: str | None) -> Column:
+    return F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+
+
 def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """keys, ``_u`` (value in units of its last decimal place) and ``_w`` (rows,
     or sum of ``weight``) per distinct value; NULL values are left out."""
-    w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    units = F.col(value) * F.lit(10 ** value_scale(df, value)).cast("decimal(20,0)")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, units.cast("bigint").alias(UNITS), w.alias(WEIGHT))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, _units(df, value).alias(UNITS), _weight(weight).alias(WEIGHT))
     return rows.groupBy(*keys, UNITS).agg(F.sum(WEIGHT).alias(WEIGHT))
 
 
-def histogram_median(hist: DataFrame, keys: Sequence[str], scale: int, name: str = "median", bucket_bits: int = BUCKET_BITS) -> DataFrame:
-    """Exact PERCENTILE_CONT(0.5) per group of a histogram (``histogram``).
+def bucket_weights(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, others: Sequence[Column] = (), bucket_bits: int = BUCKET_BITS
+) -> DataFrame:
+    """keys, coarse bucket ``_b`` and its weight ``_c``, beside the aggregates
+    ``others``: one map-side reduced pass. Rows of NULL value are the bucket NULL."""
+    bucket = F.shiftright(_units(df, value), bucket_bits)
+    rows = df.withColumns({"_b": bucket, "_own": _weight(weight)})
+    return rows.groupBy(*keys, "_b").agg(F.sum("_own").alias("_c"), *others)
+
+
+def _holds(k: str) -> Column:
+    return (F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_end"))
 
-    Weights per (group, coarse bucket), where a bucket is the units shifted
-    right by ``bucket_bits``, give the bucket(s) that hold the middle ranks
-    k1 = (n-1) div 2 and k2 = n div 2; the values of those buckets are walked
-    in order. The result is (v[k1] + v[k2]) / 2 as an exact decimal. A group
-    without values has no row; NULL keys form groups.
-    """
-    keys = list(keys)
-    hist = hist.groupBy(*keys, UNITS).agg(F.sum(WEIGHT).alias(WEIGHT)).withColumn("_b", F.shiftright(UNITS, bucket_bits))
-    so_far = Window.unboundedPreceding, Window.currentRow
 
-    buckets = hist.groupBy(*keys, "_b").agg(F.sum(WEIGHT).alias("_c"))
-    buckets = (
-        buckets.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*so_far)))
+SO_FAR = Window.unboundedPreceding, Window.currentRow
+
+
+def _middle_buckets(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of weights ``_c`` per (group, bucket): the bucket(s) that hold the middle
+    ranks k1 = (n-1) div 2 and k2 = n div 2, and the rank they start at."""
+    b = (
+        buckets.withColumn("_end", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*SO_FAR)))
         .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
         .withColumn("_start", F.col("_end") - F.col("_c"))
         .withColumn("_k1", F.expr("(_n - 1) div 2"))
         .withColumn("_k2", F.expr("_n div 2"))
     )
+    return b.filter(_holds("_k1") | _holds("_k2")).select(*keys, "_b", "_start", "_k1", "_k2")
 
-    def holds(k: str) -> Column:
-        return (F.col("_start") <= F.col(k)) & (F.col(k) < F.col("_end"))
 
-    targets = buckets.filter(holds("_k1") | holds("_k2")).select(*keys, "_b", "_start", "_k1", "_k2")
-    by_value = Window.partitionBy(*keys, "_b").orderBy(UNITS).rowsBetween(*so_far)
-    ranked = (
-        null_safe_join(hist, targets, [*keys, "_b"])
-        .withColumn("_end", F.col("_start") + F.sum(WEIGHT).over(by_value))
-        .withColumn("_start", F.col("_end") - F.col(WEIGHT))
-    )
+def _picked(near: DataFrame, keys: Sequence[str], scale: int, name: str) -> DataFrame:
+    """Walk the values of the middle buckets in order and take both middle ranks."""
+    by_value = Window.partitionBy(*keys, "_b").orderBy(UNITS).rowsBetween(*SO_FAR)
+    ranked = near.withColumn("_end", F.col("_start") + F.sum(WEIGHT).over(by_value)).withColumn("_start", F.col("_end") - F.col(WEIGHT))
     picked = ranked.groupBy(*keys).agg(
-        F.max(F.when(holds("_k1"), F.col(UNITS))).alias("_v1"), F.max(F.when(holds("_k2"), F.col(UNITS))).alias("_v2")
+        F.max(F.when(_holds("_k1"), F.col(UNITS))).alias("_v1"), F.max(F.when(_holds("_k2"), F.col(UNITS))).alias("_v2")
     )
     both = F.col("_v1").cast("decimal(20,0)") + F.col("_v2").cast("decimal(20,0)")
     mid = both * F.lit(5) / F.lit(10 ** (scale + 1)).cast("decimal(20,0)")
     return picked.select(*keys, mid.cast(f"decimal(38,{scale + 1})").alias(name))
 
 
+def histogram_median(hist: DataFrame, keys: Sequence[str], scale: int, name: str = "median", bucket_bits: int = BUCKET_BITS) -> DataFrame:
+    """Exact PERCENTILE_CONT(0.5) per group of a histogram (``histogram``).
+
+    Weights per (group, coarse bucket), where a bucket is the units shifted
+    right by ``bucket_bits``, give the bucket(s) that hold the middle ranks; the
+    values of those buckets are walked in order. The result is
+    (v[k1] + v[k2]) / 2 as an exact decimal. A group without values has no row;
+    NULL keys form groups.
+    """
+    keys = list(keys)
+    hist = hist.select(*keys, UNITS, WEIGHT).withColumn("_b", F.shiftright(UNITS, bucket_bits))
+    targets = _middle_buckets(hist.groupBy(*keys, "_b").agg(F.sum(WEIGHT).alias("_c")), keys)
+    near = null_safe_join(hist, targets, [*keys, "_b"])
+    near = near.groupBy(*keys, "_b", UNITS, "_start", "_k1", "_k2").agg(F.sum(WEIGHT).alias(WEIGHT))
+    return _picked(near, keys, scale, name)
+
+
+def sets_median(
+    df: DataFrame, buckets: DataFrame, sets: list[list[str]] | None, keys: Sequence[str], flags: dict[str, str], value: str,
+    weight: str | None = None, name: str = "median", bucket_bits: int = BUCKET_BITS,
+) -> DataFrame:
+    """Exact median per group of every grouping set over ``keys`` (None: of the
+    keys themselves, without flags).
+
+    ``buckets`` are the written ``bucket_weights`` of ``df``: they are summed up
+    to each set and tell the middle buckets of every group. Of the rows themselves only
+    those in some group's middle bucket are read again, copied per set and
+    moved, reduced to (group, value) map-side. Keys outside a set are NULL and its
+    ``flags`` columns 1; a group without values has no row.
+    """
+    groups = [*keys, *flags.values()]
+
+    def per_set(rows: DataFrame, *carry: str) -> DataFrame:
+        return rows.select(*keys, *carry) if sets is None else expand_sets(rows, sets, list(keys), flags, list(carry))
+
+    coarse = per_set(buckets.filter(F.col("_b").isNotNull()), "_b", "_c").groupBy(*groups, "_b").agg(F.sum("_c").alias("_c"))
+    targets = _middle_buckets(coarse, groups)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, _units(df, value).alias(UNITS), _weight(weight).alias(WEIGHT))
+    rows = rows.withColumn("_b", F.shiftright(UNITS, bucket_bits)).join(targets.select("_b").distinct(), "_b", "left_semi")
+    near = per_set(rows, "_b", UNITS, WEIGHT).groupBy(*groups, "_b", UNITS).agg(F.sum(WEIGHT).alias(WEIGHT))
+    return _picked(null_safe_join(near, targets, [*groups, "_b"]), groups, value_scale(df, value), name)
+
+
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median", bucket_bits: int = BUCKET_BITS
 ) -> DataFrame:

@@ -15,13 +15,14 @@ Scale notes, shared by all of them:
   with a third of all items moves as a row per category and task.
 * Top-1 searches use ``row_number`` + ``rn = 1`` (partial WindowGroupLimit
   before the shuffle) or a ``min_by`` aggregate; both pre-reduce hot keys.
-* Grouping sets over order-grain rows are expanded inside each task
-  (``expand_sets``), which keeps the partitioning by order_id that the join
-  made, so COUNT(DISTINCT order_id) needs no shuffle for its distinct phase.
-* Medians are derived from a histogram (``operators.median``): only
-  (group, value) weights are shuffled.
+* Distinct counts of subtotals are sums of marks (``operators.distinct``): one
+  row of each (order, group) is marked where the rows lie by order, the marks are
+  summed at the finest level, and only those sums are copied per grouping set.
+* Medians (``operators.median``) come from weights per coarse bucket, again
+  summed upwards; only the values of the middle buckets are moved.
 * An order grain with several readers is written once to the shared
-  checkpoint folder and read back (S5, ``materialize``): X1 and Q3L.
+  checkpoint folder and read back (S5, ``materialize``): X1, Q2L and Q2O; Q3L
+  writes one row per seller and payment multiple.
 * Ties the reference leaves open get a stated, total tie-break.
 """
 
@@ -31,8 +32,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.scalars import WIDE, flag, mean, money_out, round2, segment_label, typed_null
+from ledgerline.operators.distinct import mark_firsts
+from ledgerline.operators.grouping import expand_sets
 from ledgerline.operators.joins import null_safe_join, semi_by_tuple
-from ledgerline.operators.median import UNITS, WEIGHT, exact_median, histogram, histogram_median
+from ledgerline.operators.median import bucket_weights, sets_median
 from ledgerline.operators.ranking import top_per_group
 from ledgerline.sources.io import materialize
 
@@ -61,6 +64,11 @@ def item_sellers(items: DataFrame, sellers: DataFrame) -> DataFrame:
     )
 
 
+# Marks of order-grain rows: their sums are distinct orders per (category, type),
+# per category and per type.
+PAIR_MARKS = ["_of_pair", "_of_category", "_of_type"]
+
+
 def item_categories(items: DataFrame, products: DataFrame) -> DataFrame:
     """Items per (order, category), counted map-side before the shuffle."""
     return (
@@ -79,43 +87,72 @@ def order_level(items: DataFrame, payments: DataFrame, products: DataFrame) -> D
     are reduced to the order grain before the join: the fan-out is never
     materialised and the result is exactly the same.
     """
+    return marked_order_level(items, payments, products).drop(*PAIR_MARKS)
+
+
+def marked_order_level(items: DataFrame, payments: DataFrame, products: DataFrame) -> DataFrame:
+    """``order_level`` with ``PAIR_MARKS``."""
     pay_sums = payments.groupBy("order_id", PAY).agg(F.sum("payment_value").alias("_pay"))
-    return item_categories(items, products).join(pay_sums, "order_id").select(
-        CAT, PAY, "order_id", (_c("_pay") * _c("_n_items")).alias("payment_value")
+    return _marked_pairs(item_categories(items, products), pay_sums).select(
+        CAT, PAY, "order_id", (_c("_pay") * _c("_n_items")).alias("payment_value"), *PAIR_MARKS
     )
 
 
+def _marked_pairs(categories: DataFrame, payments: DataFrame) -> DataFrame:
+    """Items per (order, category) joined with payments per order, with ``PAIR_MARKS``.
+
+    A payment that is the first of its order stands once beside every category
+    of the order, and a category that is the first of its order once beside the
+    first payment of every type; so the marks of either side, made before
+    the join, tell the distinct orders of each grain.
+    """
+    c = mark_firsts(categories, "order_id", [CAT], ["_first_category", "_each_category"]).drop("_each_category")
+    p = mark_firsts(payments, "order_id", [PAY], ["_first_payment", "_first_of_type"])
+    return c.join(p, "order_id").withColumns({
+        "_of_pair": _c("_first_of_type"), "_of_category": _c("_first_payment"), "_of_type": _c("_first_of_type") * _c("_first_category"),
+    })
+
+
+def pair_sets(finest: DataFrame, flags: dict[str, str], uq: str, min_total: float, min_orders: int) -> DataFrame:
+    """``_total`` and distinct orders per set of ``CAT_PAY_SETS`` within the
+    limits, from one row per (category, type) with ``_total`` and ``PAIR_MARKS``."""
+    sets = expand_sets(finest, CAT_PAY_SETS, [CAT, PAY], flags, ["_total", *PAIR_MARKS])
+    no_cat, no_pay = _c(flags[CAT]) == 1, _c(flags[PAY]) == 1
+    orders = F.when(no_cat, _c("_of_type")).when(no_pay, _c("_of_category")).otherwise(_c("_of_pair"))
+    agg = sets.groupBy(CAT, PAY, *flags.values()).agg(F.sum("_total").alias("_total"), F.sum(orders).alias(uq))
+    return agg.filter((_c("_total") > F.lit(min_total)) & (_c(uq) > F.lit(min_orders)))
+
+
+def _pair_sums(rows: DataFrame, total: Column) -> DataFrame:
+    return rows.groupBy(CAT, PAY).agg(F.sum(total).alias("_total"), *[F.sum(m).alias(m) for m in PAIR_MARKS])
+
+
 def weighted_payment_rows(items: DataFrame, payments: DataFrame, products: DataFrame) -> DataFrame:
     """Joined (item x payment) rows of the reference as weighted rows.
 
     One row per (order, category, payment) with ``_w`` = number of items of
     that category in the order: it stands for ``_w`` identical joined rows.
     """
-    return item_categories(items, products).withColumnRenamed("_n_items", "_w").join(
-        payments.select("order_id", PAY, "payment_value"), "order_id"
-    )
+    pays = payments.select("order_id", PAY, "payment_value")
+    return _marked_pairs(item_categories(items, products).withColumnRenamed("_n_items", "_w"), pays)
 
 
-def expand_sets(
-    df: DataFrame, sets: list[list[str]], keys: list[str], flag_names: dict[str, str], carry: list[str]
-) -> DataFrame:
-    """One copy of each row per grouping set, made inside its task.
+def merged_spread(parts: DataFrame, keys: list[str], total: str, n: str, avg: str, within: Column, others: list[Column]) -> DataFrame:
+    """Merge partial moments by the parallel-variance formula: per ``keys`` the
+    sums ``_s1`` of totals and ``_n`` of row counts and the sum of squared
+    deviations ``_m2``, beside ``others``.
 
-    Keys outside the set are NULL and the GROUPING() flags are columns, so
-    any aggregate grouped by keys + flags is the GROUPING SETS result. Unlike
-    Spark's Expand, the generator keeps the input partitioning: rows that
-    are hash-partitioned by order_id stay so, and COUNT(DISTINCT order_id)
-    needs no shuffle for its distinct phase.
+    A part has ``n`` values of mean ``avg`` and squared deviations ``within``.
+    All terms are squares or such sums, so the result is never negative and equal
+    values give exactly no spread. The window holds the parts of a group, which
+    the caller has reduced to a few.
     """
-    dtypes = dict(df.dtypes)
-    copies = F.array(*[
-        F.struct(
-            *[(_c(k) if k in group else typed_null(dtypes[k])).alias(k) for k in keys],
-            *[F.lit(0 if k in group else 1).alias(name) for k, name in flag_names.items()],
-        )
-        for group in sets
-    ])
-    return df.select(F.explode(copies).alias("_set"), *carry).select("_set.*", *carry)
+    group = Window.partitionBy(*keys)
+    centre = F.sum(_c(n) * _c(avg)).over(group) / F.nullif(F.sum(n).over(group), F.lit(0))
+    spread = within + _c(n) * F.pow(_c(avg) - _c("_centre"), F.lit(2.0))
+    return parts.withColumn("_centre", centre).groupBy(*keys).agg(
+        F.sum(n).alias("_n"), F.sum(total).alias("_s1"), F.sum(spread).alias("_m2"), *others
+    )
 
 
 def order_facts(items: DataFrame, products: DataFrame, label: str = LABEL_UNCATEGORIZED) -> DataFrame:
@@ -157,20 +194,23 @@ def _q1_out(agg: DataFrame, min_revenue: float) -> DataFrame:
 def seller_sales_rollup(sellers: DataFrame, items: DataFrame, min_revenue: float = 50000) -> DataFrame:
     """Q1L: revenue, distinct orders, order value and price SD per city,
     state subtotal and grand total (ROLLUP), groups above ``min_revenue``."""
-    flags = {STATE: "_no_state", CITY: "_no_city"}
-    keys = [STATE, CITY, *flags.values()]
-    # sum and SD reduce map-side to one row per group and task
-    moments = item_sellers(items, sellers).rollup(STATE, CITY).agg(
-        flag(STATE).alias("_no_state"), flag(CITY).alias("_no_city"), F.sum("price").alias("_total"), F.stddev_samp("price").alias("_sd")
+    per_item = item_sellers(items, sellers).groupBy(STATE, CITY).agg(
+        F.sum("price").alias("_s1"), F.count("price").alias("_n"), F.var_pop("price").alias("_v")
     )
-    # distinct orders from (seller, order) pairs, dealt by order once and
-    # expanded in their tasks
     pairs = items.select("seller_id", "order_id").distinct().join(sellers.select("seller_id", CITY, STATE), "seller_id")
-    pairs = pairs.select(STATE, CITY, "order_id").repartition("order_id")
-    orders = expand_sets(pairs, [[STATE, CITY], [STATE], []], [STATE, CITY], flags, ["order_id"]).groupBy(*keys).agg(
-        F.count_distinct("order_id").alias("uq_orders_count")
+    marks = ["_orders", "_orders_of_state", "_orders_of_city"]
+    counts = mark_firsts(pairs.select(STATE, CITY, "order_id"), "order_id", [STATE, CITY], marks).groupBy(STATE, CITY).agg(
+        *[F.sum(m).alias(m) for m in marks]
     )
-    return _q1_out(null_safe_join(moments, orders, keys), min_revenue)
+    finest = null_safe_join(per_item, counts, [STATE, CITY]).withColumn("_a", mean("_s1", "_n").cast("double"))
+    # from here on one row per city
+    flags = {STATE: "_no_state", CITY: "_no_city"}
+    keys = [STATE, CITY, *flags.values()]
+    sets = expand_sets(finest, [[STATE, CITY], [STATE], []], [STATE, CITY], flags, ["_s1", "_n", "_a", "_v", *marks])
+    uq = F.when(_c("_no_city") == 0, _c("_orders_of_city")).when(_c("_no_state") == 0, _c("_orders_of_state")).otherwise(_c("_orders"))
+    agg = merged_spread(sets.withColumn("_uq", uq), keys, "_s1", "_n", "_a", _c("_n") * _c("_v"), [F.sum("_uq").alias("uq_orders_count")])
+    sd = F.when(_c("_n") > F.lit(1), F.sqrt(_c("_m2") / (_c("_n") - F.lit(1))))
+    return _q1_out(agg.select(STATE, CITY, _c("_s1").alias("_total"), "uq_orders_count", sd.alias("_sd")), min_revenue)
 
 
 def seller_sales_rollup_by_order(sellers: DataFrame, items: DataFrame, min_revenue: float = 50000) -> DataFrame:
@@ -216,18 +256,14 @@ def category_payment_sets(
 ) -> DataFrame:
     """Q2L: total, distinct orders and median payment over the joined
     (item x payment) rows for (category, type), (category), (type)."""
-    rows = weighted_payment_rows(items, payments, products)
     flags = {CAT: "is_cat_aggaregated", PAY: "is_pay_aggregated"}
-    keys = [CAT, PAY, *flags.values()]
-    expanded = expand_sets(rows, CAT_PAY_SETS, [CAT, PAY], flags, ["order_id", "payment_value", "_w"])
-    totals = expanded.groupBy(*keys).agg(
-        F.sum(_c("payment_value") * _c("_w")).alias("_total"), F.count_distinct("order_id").alias("uq_orders_count")
-    ).filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders_count") > F.lit(min_orders)))
-    # weights per (category, type, value) give the histogram of every set
-    hist = histogram(rows, [CAT, PAY], "payment_value", "_w")
-    hist = expand_sets(hist, CAT_PAY_SETS, [CAT, PAY], flags, [UNITS, WEIGHT])
-    medians = histogram_median(hist, keys, 2, "_median")
-    agg = null_safe_join(totals, medians, keys, "left")
+    # written once (S5): read for the bucket weights, then for the middle buckets
+    rows = materialize(weighted_payment_rows(items, payments, products).drop("order_id"), "payment-rows")
+    others = [F.sum(_c("payment_value") * _c("_w")).alias("_total"), *[F.sum(m).alias(m) for m in PAIR_MARKS]]
+    buckets = materialize(bucket_weights(rows, [CAT, PAY], "payment_value", "_w", others), "payment-buckets")
+    agg = pair_sets(_pair_sums(buckets, _c("_total")), flags, "uq_orders_count", min_total, min_orders)
+    medians = sets_median(rows, buckets, CAT_PAY_SETS, [CAT, PAY], flags, "payment_value", "_w", "_median")
+    agg = null_safe_join(agg, medians, [CAT, PAY, *flags.values()], "left")
     out = agg.select(
         CAT, PAY, "is_cat_aggaregated", "is_pay_aggregated",
         money_out("_total").alias("total"),
@@ -249,15 +285,12 @@ def category_payment_sets_by_order(
     The median is computed in its own aggregate at the finest grain and
     joined NULL-safely (A17), so no subtotal group pays for a percentile.
     """
-    ol = order_level(items, payments, products)
     flags = {CAT: "grouping_category", PAY: "grouping_payment"}
-    sets = (
-        expand_sets(ol, CAT_PAY_SETS, [CAT, PAY], flags, ["order_id", "payment_value"])
-        .groupBy(CAT, PAY, *flags.values())
-        .agg(F.sum("payment_value").alias("_total"), F.count_distinct("order_id").alias("uq_orders"))
-        .filter((_c("_total") > F.lit(min_total)) & (_c("uq_orders") > F.lit(min_orders)))
-    )
-    med = exact_median(ol, [CAT, PAY], "payment_value", name="_median").select(
+    ol = materialize(marked_order_level(items, payments, products).drop("order_id"), "order-level")
+    others = [F.sum("payment_value").alias("_total"), *[F.sum(m).alias(m) for m in PAIR_MARKS]]
+    buckets = materialize(bucket_weights(ol, [CAT, PAY], "payment_value", None, others), "payment-buckets")
+    sets = pair_sets(_pair_sums(buckets, _c("_total")), flags, "uq_orders", min_total, min_orders)
+    med = sets_median(ol, buckets, None, [CAT, PAY], {}, "payment_value", None, "_median").select(
         CAT, PAY, F.lit(0).alias("grouping_category"), F.lit(0).alias("grouping_payment"), "_median"
     )
     out = null_safe_join(sets, med, [CAT, PAY, "grouping_category", "grouping_payment"], "left").select(
@@ -356,8 +389,12 @@ def category_payment_union(
 ) -> DataFrame:
     """Three unioned grains, each with its own HAVING (= Q2O without the
     median), all from one read of the order-level rows."""
-    ol = order_level(items, payments, products)
-    out = _grains(ol, CAT_PAY_SETS, min_total, min_orders)
+    flags = {CAT: "grouping_category", PAY: "grouping_payment"}
+    ol = marked_order_level(items, payments, products)
+    sets = pair_sets(_pair_sums(ol, _c("payment_value")), flags, "unique_orders", min_total, min_orders)
+    out = sets.select(
+        CAT, PAY, money_out("_total").alias("total_payment"), _c("unique_orders").cast("bigint").alias("unique_orders"), *flags.values()
+    )
     return _union_order(out)
 
 
@@ -377,8 +414,7 @@ def seller_price_dispersion(
 
     The reference joins payments only to multiply item rows (no payment
     column is used): an item counts once per payment of its order. Items are
-    reduced to (seller, order) rows once and written (S5); with m payments, n
-    prices, their mean and population variance v, such a row stands for
+    reduced to (seller, order) rows; with m payments, n prices, their mean and population variance v, such a row stands for
     k = m * n prices. Rows of one group and one k are aggregated natively
     (count, avg, var_pop of the means), and the few k of a group are merged by
     the parallel-variance formula. All terms are squares or variances, so the
@@ -393,29 +429,27 @@ def seller_price_dispersion(
         STATE, CITY, "seller_id", "order_id", k, (_c("_s1") * _c("_m")).alias("_total"),
         mean("_s1", "_n").cast("double").alias("_mean"), (_c("_m") * _c("_n") * _c("_v")).alias("_within"),
     )
-    rows = materialize(rows, "seller-orders")
-    flags = {CITY: "is_state_summary"}
-    keys = [STATE, CITY, "is_state_summary"]
-
-    def sets(df: DataFrame, *carry: str) -> DataFrame:
-        return expand_sets(df, REGION_SETS, [STATE, CITY], flags, list(carry))
-
-    parts = rows.groupBy(STATE, CITY, "_k").agg(
+    rows = mark_firsts(rows, "order_id", [STATE, CITY], ["_any", "_orders_of_state", "_orders_of_city"])
+    marks = ["_orders_of_state", "_orders_of_city"]
+    parts = rows.groupBy("seller_id", STATE, CITY, "_k").agg(
         (F.count("_mean") * _c("_k")).alias("_w"), F.avg("_mean").alias("_a"), F.var_pop("_mean").alias("_v"),
-        F.sum("_within").alias("_within"), F.sum("_total").alias("_total"),
+        F.sum("_within").alias("_within"), F.sum("_total").alias("_total"), *[F.sum(m).alias(m) for m in marks],
     )
-    # a group has as many rows here as different k
-    group = Window.partitionBy(*keys)
-    parts = sets(parts, "_w", "_a", "_v", "_within", "_total").withColumn(
-        "_mean", F.sum(_c("_w") * _c("_a")).over(group) / F.nullif(F.sum("_w").over(group), F.lit(0))
+    # sellers have one city each as a rule; marks hold for any
+    parts = materialize(mark_firsts(parts, "seller_id", [STATE, CITY], ["_any", "_sellers_of_state", "_sellers_of_city"]).drop("_any"), "seller-moments")
+    flags = {CITY: "is_state_summary"}
+    keys = [STATE, CITY, "is_state_summary"]
+    state = _c("is_state_summary") == 1
+    sets = expand_sets(
+        parts, REGION_SETS, [STATE, CITY], flags, ["_w", "_a", "_v", "_within", "_total", *marks, "_sellers_of_state", "_sellers_of_city"]
     )
-    spread = _c("_within") + _c("_w") * (_c("_v") + F.pow(_c("_a") - _c("_mean"), F.lit(2.0)))
-    moments = parts.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.sum("_total").alias("_s1"), F.sum(spread).alias("_m2"))
-    orders = sets(rows.select(STATE, CITY, "order_id"), "order_id").groupBy(*keys).agg(F.count_distinct("order_id").alias("orders_count"))
-    sellers_per = sets(rows.select(STATE, CITY, "seller_id").distinct(), "seller_id").groupBy(*keys).agg(
-        F.count_distinct("seller_id").alias("sellers_count")
+    centres = sets.groupBy(*keys).agg((F.sum(_c("_w") * _c("_a")) / F.nullif(F.sum("_w"), F.lit(0))).alias("_centre"))
+    spread = _c("_within") + _c("_w") * (_c("_v") + F.pow(_c("_a") - _c("_centre"), F.lit(2.0)))
+    agg = null_safe_join(sets, centres, keys).groupBy(*keys).agg(
+        F.sum("_w").alias("_n"), F.sum("_total").alias("_s1"), F.sum(spread).alias("_m2"),
+        F.sum(F.when(state, _c("_orders_of_state")).otherwise(_c("_orders_of_city"))).alias("orders_count"),
+        F.sum(F.when(state, _c("_sellers_of_state")).otherwise(_c("_sellers_of_city"))).alias("sellers_count"),
     )
-    agg = null_safe_join(null_safe_join(moments, orders, keys), sellers_per, keys)
     # one row has no sample variance
     variance = F.when(_c("_n") > F.lit(1), _c("_m2") / (_c("_n") - F.lit(1)))
     cv = F.sqrt(variance) / mean("_s1", "_n").cast("double") * F.lit(100)
@@ -476,37 +510,51 @@ def volatile_seller_regions(
 # Q4: customer lifetime value with the latest delivered order
 # ---------------------------------------------------------------------------
 
-def _customer_metrics(customers: DataFrame, orders: DataFrame, facts: DataFrame, min_orders: int) -> DataFrame:
-    """Per person: distinct orders, lifetime value, smallest customer_id.
+def _persons(
+    customers: DataFrame, orders: DataFrame, items: DataFrame, min_orders: int, delivered: str, first: list[Column]
+) -> DataFrame:
+    """Per person with more than ``min_orders`` orders: distinct orders,
+    lifetime value, smallest customer_id and, of the delivered orders, the one
+    that is first by ``first``, then newest (NULL first, as in the reference),
+    then of the smallest id.
 
     Items enter as per-order amounts (SUM is result-preserving), so the
-    customer x order x item join is never built at item grain.
+    customer x order x item join is never built at item grain. The latest
+    order is a minimum over structs of the same aggregate: partial per task, no
+    window and no second read of the orders.
     """
-    co = customers.select("customer_id", PERSON).join(orders.select("order_id", "customer_id"), "customer_id")
+    amounts = items.groupBy("order_id").agg(F.sum("price").alias("order_amount"))
+    co = customers.select("customer_id", PERSON).join(orders.select("order_id", "customer_id", "order_status", TS), "customer_id")
+    # zone-free subtraction: the newest has the smallest distance
+    age = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz") - _c(TS)
+    place = F.struct(
+        *[c.alias(f"_f{i}") for i, c in enumerate(first)], _c(TS).isNotNull().alias("_dated"), age.alias("_age"),
+        _c("order_id").alias("order_id"), _c(TS).alias(TS), _c("customer_id").alias("_of"), _c("order_amount").alias("order_amount"),
+    )
     return (
-        co.join(facts.select("order_id", "order_amount"), "order_id", "left")
+        co.join(amounts, "order_id", "left")
         .groupBy(PERSON)
         .agg(
             F.min("customer_id").alias("customer_id"),
             F.count_distinct("order_id").alias("total_orders_count"),
             F.coalesce(F.sum("order_amount"), F.lit(0)).alias("_ltv"),
+            F.min(F.when(_c("order_status") == F.lit(delivered), place)).alias("_latest"),
         )
         .filter(_c("total_orders_count") > F.lit(min_orders))
     )
 
 
-def order_amounts(items: DataFrame) -> DataFrame:
-    """Item amount per order (hash aggregation, partial per task)."""
-    return items.groupBy("order_id").agg(F.sum("price").alias("order_amount"))
-
-
-def _ltv_out(
-    metrics: DataFrame, latest: DataFrame, items: DataFrame, products: DataFrame, vip: float, high: float, label: str
-) -> DataFrame:
-    # amount and dearest category only for the one latest order per person
-    latest_items = items.join(latest.select("order_id"), "order_id", "left_semi")
-    lo = latest.join(order_facts(latest_items, products, label), "order_id", "left")
-    out = metrics.join(lo, PERSON, "left").select(
+def _ltv_out(persons: DataFrame, items: DataFrame, products: DataFrame, vip: float, high: float, label: str) -> DataFrame:
+    """The output for persons with their latest order (``_latest``, may be NULL);
+    the dearest category is looked up for those orders only."""
+    p = persons.select(PERSON, "total_orders_count", "_ltv", "_latest.order_id", f"_latest.{TS}", "_latest.order_amount")
+    # persons without a delivered order are dealt by their own id
+    p = p.withColumn("_deal", F.when(_c("order_id").isNull(), F.xxhash64(PERSON)).otherwise(F.xxhash64("order_id")))
+    it = items.select(_c("order_id").alias("_order"), F.xxhash64("order_id").alias("_hash"), "product_id", "price")
+    j = p.join(it, (_c("_deal") == _c("_hash")) & (_c("order_id") == _c("_order")), "left").join(products.select("product_id", CAT), "product_id", "left")
+    # the dearest item: NULL price first, then the highest price, then the smallest label
+    dearest = F.struct(_c("price").isNotNull(), -_c("price"), F.coalesce(_c(CAT), F.lit(label)).alias("label"))
+    out = j.groupBy(PERSON, "_deal", "order_id", "total_orders_count", "_ltv", TS, "order_amount").agg(F.min(dearest)["label"].alias("top_category")).select(
         PERSON,
         "total_orders_count",
         round2("_ltv").alias("lifetime_value"),
@@ -533,14 +581,7 @@ def customer_ltv_latest_order(
     segment and their latest delivered order over *all* their customer ids
     (id, date, amount, dearest item's category). Latest = newest purchase
     timestamp, NULL first as in the reference, then smallest order id."""
-    metrics = _customer_metrics(customers, orders, order_amounts(items), min_orders)
-    delivered_orders = (
-        customers.select("customer_id", PERSON)
-        .join(orders.filter(_c("order_status") == F.lit(delivered)).select("order_id", "customer_id", TS), "customer_id")
-        .join(metrics.select(PERSON), PERSON, "left_semi")
-    )
-    latest = top_per_group(delivered_orders, [PERSON], latest_first()).select(PERSON, "order_id", TS)
-    return _ltv_out(metrics, latest, items, products, vip, high, label)
+    return _ltv_out(_persons(customers, orders, items, min_orders, delivered, []), items, products, vip, high, label)
 
 
 def customer_ltv_first_id_order(
@@ -550,12 +591,9 @@ def customer_ltv_first_id_order(
 ) -> DataFrame:
     """Q4O: as Q4L, but the latest delivered order is searched only among
     the orders of the person's smallest customer_id."""
-    metrics = _customer_metrics(customers, orders, order_amounts(items), min_orders)
-    delivered_orders = orders.filter(_c("order_status") == F.lit(delivered)).select("order_id", "customer_id", TS).join(
-        metrics.select(PERSON, "customer_id"), "customer_id"
-    )
-    latest = top_per_group(delivered_orders, [PERSON], latest_first()).select(PERSON, "order_id", TS)
-    return _ltv_out(metrics, latest, items, products, vip, high, label)
+    persons = _persons(customers, orders, items, min_orders, delivered, [_c("customer_id")])
+    own = F.when(_c("_latest._of") == _c("customer_id"), _c("_latest"))
+    return _ltv_out(persons.withColumn("_latest", own), items, products, vip, high, label)
 
 
 # ---------------------------------------------------------------------------

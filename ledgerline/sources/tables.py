@@ -13,6 +13,7 @@ work grows with the data. Mapping (FIXTURES.md section B):
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,22 @@ class Tables:
     translation: DataFrame
 
 
+class LazyTables:
+    """The members of ``Tables``, each built when it is first asked for: an
+    analysis that reads three tables lists the files of three."""
+
+    def __init__(self, **builders: Callable[[], DataFrame]) -> None:
+        self._builders = builders
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            build = self.__dict__["_builders"][name]
+        except KeyError:
+            raise AttributeError(name) from None
+        self.__dict__[name] = build()
+        return self.__dict__[name]
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, t, True) for n, t in DRIVER_SCHEMAS[name]])
     return spark.read.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -216,30 +233,22 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def commerce_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def _lazy(spark: SparkSession, sf_dir: str, **own: Callable[[], DataFrame]) -> LazyTables:
+    builders = {
+        build.__name__: (lambda build=build: build(spark, sf_dir))
+        for build in (orders, order_items, payments, reviews, customers, sellers, products)
+    }
+    return LazyTables(**(builders | {"translation": lambda: translation(spark)} | own))
+
+
+def commerce_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
     """The analysis-ready tables (typed timestamps, NULL category): lazy plans
     over the files that are in the folder now, without hints."""
-    return Tables(
-        orders=orders(spark, sf_dir),
-        order_items=order_items(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        reviews=reviews(spark, sf_dir),
-        customers=customers(spark, sf_dir),
-        sellers=sellers(spark, sf_dir),
-        products=products(spark, sf_dir),
-        translation=translation(spark),
-    )
+    return _lazy(spark, sf_dir)
 
 
-def raw_tables(spark: SparkSession, sf_dir: str, defects: bool = False) -> Tables:
+def raw_tables(spark: SparkSession, sf_dir: str, defects: bool = False) -> LazyTables:
     """The raw layer: text timestamps, blank categories, duplicates kept."""
-    return Tables(
-        orders=raw_orders(spark, sf_dir, defects=defects),
-        order_items=order_items(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        reviews=reviews(spark, sf_dir),
-        customers=customers(spark, sf_dir),
-        sellers=sellers(spark, sf_dir),
-        products=products(spark, sf_dir, blank=True),
-        translation=translation(spark),
+    return _lazy(
+        spark, sf_dir, orders=lambda: raw_orders(spark, sf_dir, defects=defects), products=lambda: products(spark, sf_dir, blank=True)
     )
