@@ -1,5 +1,8 @@
 """Exact continuous median (PERCENTILE_CONT(0.5)), optionally weighted.
 
+Decimals and whole numbers have units; floats and doubles are mapped to 64-bit
+integers of the same order and found by their leading bits (``radix_median``).
+
 The rows are first reduced to a histogram: one row per (group, value) with the
 sum of weights. That is a partial aggregation spread over groups and values,
 so a hot group is reduced map-side and no task receives it whole. Everything
@@ -16,12 +19,16 @@ from pyspark.sql import types as T
 
 from ledgerline.operators.grouping import expand_sets
 from ledgerline.operators.joins import null_safe_join
+from ledgerline.sources.io import materialize
 
 # Fixed value: values are cut into coarse buckets of 2**BUCKET_BITS units of
 # the last decimal digit. A decimal(12,2) has at most 10**12 / 2**20 buckets
 # of at most 2**20 values, so neither of the two windows below grows with the rows.
 BUCKET_BITS = 20
 UNITS, WEIGHT = "_u", "_w"
+# Fixed value: bits that each round of the radix descent tells apart, so that
+# no group has more than 2**RADIX_BITS counts in a round.
+RADIX_BITS = 16
 
 
 def value_scale(df: DataFrame, value: str) -> int:
@@ -132,10 +139,75 @@ def sets_median(
     return _picked(null_safe_join(near, targets, [*groups, "_b"]), groups, value_scale(df, value), name)
 
 
+def ordered_bits(value: Column) -> Column:
+    """A double as a 64-bit integer of the same order: the bits of its size
+    (exponent, then mantissa), negative for negative numbers. So -0.0 and 0.0 are
+    one value, infinities are the outermost numbers and NaN lies above them, as
+    Spark and the reference order them."""
+    v = value.cast("double")
+    size = F.abs(v)
+    # a power of two at most twice off, put right by comparing; all steps are exact
+    guess = F.floor(F.log2(F.greatest(size, F.lit(2.0**-1022)))).cast("int")
+    exponent = F.when(F.pow(F.lit(2.0), F.least(guess, F.lit(1023))) > size, guess - 1).when(
+        (guess < 1023) & (F.pow(F.lit(2.0), F.least(guess + 1, F.lit(1023))) <= size), guess + 1
+    ).otherwise(F.least(guess, F.lit(1023)))
+    exponent = F.greatest(exponent, F.lit(-1022))
+    fraction = (size / F.pow(F.lit(2.0), exponent) - F.lit(1.0)) * F.lit(2.0**52)
+    normal = (exponent + F.lit(1023)).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")
+    subnormal = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
+    infinite = F.lit(2047 << 52).cast("bigint")
+    bits = F.when(F.isnan(v), infinite + F.lit(1)).when(size == F.lit(float("inf")), infinite).when(size < F.lit(2.0**-1022), subnormal).otherwise(normal)
+    return F.when((v < 0) & ~F.isnan(v), -bits).otherwise(bits)
+
+
+def radix_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median") -> DataFrame:
+    """Exact PERCENTILE_CONT(0.5) of a float or double ``value`` per group.
+
+    Every value is an integer of 64 ordered bits. A round counts the rows of
+    each group by the next 16 bits, of those rows whose bits so far hold a
+    middle rank, and keeps the one or two buckets that hold the ranks. Only such
+    counts are shuffled, at most 65,536 per group and round; a hot group is
+    counted map-side. The kept buckets, two rows per group, are written after
+    each round, so that their size tells Spark whether they may be broadcast.
+
+    The result is v[k1] where both middle values are equal, else
+    v[k1] + (v[k2] / 2 - v[k1] / 2) in double. NULL values are left out; -0.0
+    counts as 0.0; NaN is the greatest value, and a middle of infinities of both
+    signs is NaN. A group without values has no row; NULL keys form groups.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double") + F.lit(0.0)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, v.alias("_v"), ordered_bits(v).alias(UNITS), _weight(weight).alias(WEIGHT))
+    kept = None
+    for shift in range(64 - RADIX_BITS, -1, -RADIX_BITS):
+        here = rows.withColumn("_b", F.shiftright(UNITS, shift))
+        if kept is None:
+            counts = here.groupBy(*keys, "_b").agg(F.sum(WEIGHT).alias("_c"), F.max("_v").alias("_v"))
+            by, total = Window.partitionBy(*keys), F.sum("_c").over(Window.partitionBy(*keys))
+            ranked = counts.withColumns({"_k1": F.floor((total - 1) / 2), "_k2": F.floor(total / 2), "_from": F.lit(0).cast("bigint")})
+        else:
+            inside = null_safe_join(here.withColumn("_up", F.shiftright(UNITS, shift + RADIX_BITS)), kept, [*keys, "_up"])
+            ranked = inside.groupBy(*keys, "_up", "_from", "_k1", "_k2", "_b").agg(F.sum(WEIGHT).alias("_c"), F.max("_v").alias("_v"))
+            by = Window.partitionBy(*keys, "_up")
+        ranked = ranked.withColumn("_end", F.col("_from") + F.sum("_c").over(by.orderBy("_b").rowsBetween(*SO_FAR)))
+        ranked = ranked.withColumn("_start", F.col("_end") - F.col("_c")).filter(_holds("_k1") | _holds("_k2"))
+        kept = materialize(ranked.select(*keys, F.col("_b").alias("_up"), F.col("_start").alias("_from"), "_end", "_start", "_v", "_k1", "_k2"), "radix")
+        last, kept = kept, kept.select(*keys, "_up", "_from", "_k1", "_k2")
+    picked = last.groupBy(*keys).agg(F.max(F.when(_holds("_k1"), F.col("_v"))).alias("_v1"), F.max(F.when(_holds("_k2"), F.col("_v"))).alias("_v2"))
+    middle = F.col("_v1") + (F.col("_v2") / F.lit(2.0) - F.col("_v1") / F.lit(2.0))
+    return picked.select(*keys, F.when(F.col("_v1") == F.col("_v2"), F.col("_v1")).otherwise(middle).alias(name))
+
+
 def exact_median(
     df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, name: str = "median", bucket_bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Exact median of a decimal ``value`` per group, each row counted
-    ``weight`` times (default 1), in the value's own scale. Raises a TypeError
-    for a value that is not a decimal."""
+    """Exact median of ``value`` per group, each row counted ``weight``
+    times (default 1). Decimals give an exact decimal of one more place, whole
+    numbers one of one place, floats and doubles a double (``radix_median``).
+    Raises a TypeError for a value that is not a number."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return radix_median(df, keys, value, weight, name)
+    if isinstance(kind, T.IntegralType):
+        df = df.withColumn(value, F.col(value).cast("decimal(19,0)"))
     return histogram_median(histogram(df, keys, value, weight), keys, value_scale(df, value), name, bucket_bits)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.scalars import MONEY, flag, mean, money_out, round2, segment_label
 from ledgerline.operators import cleaning as cl
 from ledgerline.operators import integrity as ig
-from ledgerline.operators.joins import missing_references, orphans
+from ledgerline.operators.joins import lateral_top, missing_references, orphans, scalar_top
 from ledgerline.operators.median import exact_median
 from ledgerline.operators.ranking import keep_last, top_per_group
 from ledgerline.plans import analyses as an
@@ -242,6 +242,26 @@ def j6_lateral_top1(spark: SparkSession, d: str) -> DataFrame:
     return top.select("seller_id", CAT, money_out("category_revenue").alias("category_revenue"))
 
 
+def j6_lateral_api(spark: SparkSession, d: str) -> DataFrame:
+    """The best category of every seller, as a dependent join over the sellers."""
+    t = _t(spark, d)
+    # the correlation comes last: Spark's groupBy wants a plan that is resolved
+    revenue = an.category_revenue(t.order_items, t.products, "left").withColumnRenamed("seller_id", "_seller")
+    inner = revenue.where(F.col("_seller") == F.col("s.seller_id").outer()).select(CAT, "category_revenue")
+    top = lateral_top(t.sellers.select("seller_id", CITY).alias("s"), inner, an.top_category_order())
+    return top.select("seller_id", CITY, CAT, money_out("category_revenue").alias("category_revenue"))
+
+
+def j7_scalar_api(spark: SparkSession, d: str) -> DataFrame:
+    """The category of the dearest item of every order, as a scalar subquery."""
+    t = _t(spark, d)
+    items = t.order_items.select(F.col("order_id").alias("_order"), "product_id", "price").join(t.products, "product_id", "left")
+    label = F.coalesce(F.col(CAT), F.lit(an.LABEL_UNCATEGORIZED)).alias("_label")
+    inner = items.where(F.col("_order") == F.col("o.order_id").outer()).select("price", label)
+    dearest = scalar_top(inner, "_label", [F.col("price").desc_nulls_first(), F.col("_label").asc()])
+    return t.orders.alias("o").select("order_id", "customer_id", dearest.alias("top_category"))
+
+
 def p12_tuple_semi(spark: SparkSession, d: str) -> DataFrame:
     from ledgerline.plans.catalog import X_MIN_ORDERS, X_MIN_TOTAL
 
@@ -302,6 +322,13 @@ def a16_median(spark: SparkSession, d: str) -> DataFrame:
     return exact_median(j, [CAT], "price", name="_m").select(CAT, round2("_m").alias("median_price"))
 
 
+def a16_median_double(spark: SparkSession, d: str) -> DataFrame:
+    """Median of a net price in double precision, per category."""
+    t = _t(spark, d)
+    j = tb.net_prices(spark, d).join(t.products, "product_id")
+    return exact_median(j, [CAT], "net_price", name="median_net_price")
+
+
 def a17_median_finest(spark: SparkSession, d: str) -> DataFrame:
     t = _t(spark, d)
     return an.category_payment_sets_by_order(t.order_items, t.payments, t.products, min_total=-1, min_orders=-1)
@@ -411,10 +438,10 @@ BUILDERS = {
     **{f"d14_{name}": clean_report(name) for name in (
         "profile", "key_report", "reference_report", "missing_categories", "rejected_orders")},
     "j2_fanout": j2_fanout, "j3_join_preaggregated": j3_join_preaggregated, "j4_left": j4_left,
-    "j5_anti": j5_anti, "j6_lateral_top1": j6_lateral_top1, "p12_tuple_semi": p12_tuple_semi,
+    "j5_anti": j5_anti, "j6_lateral_top1": j6_lateral_top1, "j6_lateral_api": j6_lateral_api, "j7_scalar_api": j7_scalar_api, "p12_tuple_semi": p12_tuple_semi,
     "a2_multi_key": a2_multi_key, "a3_rollup": a3_rollup, "a4_grouping_sets": a4_grouping_sets,
     "a5_hierarchy_sets": a5_hierarchy_sets, "a10_two_distincts": a10_two_distincts,
-    "a13_stddev_variance_cv": a13_stddev_variance_cv, "a16_median": a16_median,
+    "a13_stddev_variance_cv": a13_stddev_variance_cv, "a16_median": a16_median, "a16_median_double": a16_median_double,
     "a17_median_finest": a17_median_finest, "a19_distinct": a19_distinct,
     "w1_row_number": w1_row_number, "w2_first_value": w2_first_value, "w3_partition_sum": w3_partition_sum,
     "w4_first_per_key": w4_first_per_key, "o5_top_by_sum": o5_top_by_sum, "u1_union_all": u1_union_all,

@@ -541,6 +541,18 @@ SELECT seller_id, product_category_name, CAST(SUM(price) AS DOUBLE) AS category_
 FROM t_items LEFT JOIN t_products USING (product_id)
 GROUP BY seller_id, product_category_name
 QUALIFY ROW_NUMBER() OVER (PARTITION BY seller_id ORDER BY SUM(price) DESC NULLS FIRST, product_category_name NULLS FIRST) = 1""")
+    q["j6_lateral_api"] = w("""
+SELECT s.seller_id, s.seller_city, best.product_category_name, CAST(best.revenue AS DOUBLE) AS category_revenue
+FROM t_sellers s LEFT JOIN LATERAL (
+  SELECT product_category_name, SUM(price) AS revenue
+  FROM t_items i LEFT JOIN t_products p USING (product_id) WHERE i.seller_id = s.seller_id
+  GROUP BY product_category_name ORDER BY revenue DESC NULLS FIRST, product_category_name NULLS FIRST LIMIT 1) best ON TRUE""")
+    q["j7_scalar_api"] = w("""
+SELECT o.order_id, o.customer_id, (
+  SELECT COALESCE(p.product_category_name, 'Uncategorized') AS label
+  FROM t_items i LEFT JOIN t_products p USING (product_id) WHERE i.order_id = o.order_id
+  ORDER BY i.price DESC NULLS FIRST, label LIMIT 1) AS top_category
+FROM t_orders o""")
     q["p12_tuple_semi"] = w(f"""
 SELECT product_category_name, payment_type, order_id, CAST(payment_value AS DOUBLE) AS payment_value
 FROM order_level
@@ -585,6 +597,11 @@ SELECT p.product_category_name,
        {median('i.cents')} AS median_price
 FROM t_items i JOIN t_products p ON i.product_id = p.product_id
 GROUP BY p.product_category_name""")
+    q["a16_median_double"] = w("""
+SELECT product_category_name, v[(len(v) - 1) // 2 + 1] + (v[len(v) // 2 + 1] / 2 - v[(len(v) - 1) // 2 + 1] / 2) AS median_net_price
+FROM (
+  SELECT p.product_category_name, list_sort(list(l_extendedprice * (1.0::DOUBLE - l_discount))) AS v
+  FROM lineitem JOIN t_products p ON l_partkey = p.product_id GROUP BY p.product_category_name) per""")
     q["a17_median_finest"] = q2_sets_by_order(-1, -1)
     q["a19_distinct"] = w("SELECT DISTINCT product_category_name FROM t_products")
 

@@ -133,6 +133,12 @@ def order_items_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def net_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """product_id and the price after discount, in double precision as stored."""
+    li = _read(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_partkey").alias("product_id"), (F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("net_price"))
+
+
 def customer_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer_id with its market segment (used to pick rows to act on)."""
     c = _read(spark, sf_dir, "customer")
