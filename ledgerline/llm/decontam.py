@@ -48,7 +48,8 @@ class TestSuffixes:
 
     __test__ = False
 
-    def __init__(self, rows: list[tuple[int, str]], window: int) -> None:
+    def __init__(self, rows: list[tuple[int | None, str]], window: int) -> None:
+        self.ids = [i for i, _ in rows]
         sep, value = letters(SEPARATORS)
         data, offs = utf8(pa.array([t for _, t in rows], pa.large_string()))
         hashes, at = word_hashes(data, offs, sep, value)
@@ -62,7 +63,7 @@ class TestSuffixes:
         head = np.repeat(at[:-1], size)
         self.start = place
         self.at = np.arange(len(ids)) - head
-        self.item = np.repeat(np.array([i for i, _ in rows], np.int64), size)
+        self.item = np.repeat(np.arange(len(rows)), size)
         own = np.repeat(size, size)
         self.need = np.minimum(own, window)
         # each window is searched through the suffix that starts it
@@ -138,6 +139,7 @@ class Shard:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, test: TestSuffixes, with_matches: bool) -> None:
         sep, value = letters(SEPARATORS)
+        self.ids = test.ids
         hashes, self.at = word_hashes(data, offs, sep, value)
         self.n_words = np.diff(self.at)
         none = np.zeros(0, np.int64)
@@ -207,10 +209,10 @@ class Shard:
         for i, mine in zip(names.tolist(), np.split(order, first[1:])):
             a = self.hit_at[mine] - self.at[i]
             spans[i] = merge(a, a + self.hit_size[mine])
-            items[i] = np.unique(self.hit_item[mine]).tolist()
+            items[i] = sorted({self.ids[k] for k in np.unique(self.hit_item[mine]).tolist()} - {None})
         item, item_at, at, size = self.matches
         for i, m in zip((np.searchsorted(self.at, at, "right") - 1).tolist(), zip(item.tolist(), item_at.tolist(), at.tolist(), size.tolist())):
-            matches[i].append({"item_id": m[0], "item_at": m[1], "doc_at": m[2] - int(self.at[i]), "length": m[3]})
+            matches[i].append({"item_id": self.ids[m[0]], "item_at": m[1], "doc_at": m[2] - int(self.at[i]), "length": m[3]})
         return spans, items, matches
 
 
@@ -259,9 +261,9 @@ def _pass(broadcast, width: int, text_at: int, names: list[str], p: Decontam, wi
     return run
 
 
-def _blocks(benchmark: DataFrame, p: Decontam, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in hashed blocks; items without id or text are left out."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).dropna()
+def _blocks(benchmark: DataFrame, p: Decontam, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark in hashed blocks; items without text are left out."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).dropna(subset="text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / p.block_bytes))
     for k in range(n):
@@ -279,7 +281,8 @@ def annotate(
       flat; items: ids of items with occurring windows; matches: where each
       test suffix has its longest verbatim match in the shard.
     * An item of fewer words than a window is one window; one without words,
-      or with NULL id or text, has none.  Items sharing an id are one item.
+      or with NULL text, has none.  Items sharing an id are one item; one
+      with NULL id has windows that hit words, but is not in ``items``.
     * NULL and empty texts have no words.  Rows are independent: repeated rows
       give repeated results.  No column of ``docs`` clashes with the results.
       An empty table, of documents or of items, gives rows without hits.

@@ -27,7 +27,7 @@ def brute(docs, items, window=13, share=20):
                 for at in range(len(w) - size + 1):
                     if w[at : at + size] == b[s : s + size]:
                         hit.update(range(at, at + size))
-                        ids.add(str(k))
+                        ids |= {str(k)} - {"None"}
         digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
         out[i] = (len(w), len(hit), len(ids), digest, bool(hit) and share * len(hit) >= len(w))
     return out
@@ -38,6 +38,7 @@ def corpus(seed):
     vocabulary = [f"w{k}" for k in range(40)]
     items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 12, 13, 14, 40])))) for k in range(1, 30)]
     items += [(50, None), (51, ""), (52, "?!"), (7, "shares an id with another item 7"), (53, items[0][1])]
+    items += [(None, "an item that has lost its id"), (None, items[4][1]), (None, None)]
     docs = []
     for k in range(60):
         text = rng.choices(vocabulary, k=rng.randrange(0, 120))
@@ -46,7 +47,7 @@ def corpus(seed):
             cut = rng.randrange(0, len(passage) + 1)
             text[rng.randrange(len(text) + 1) :] += passage[cut // 2 :]
         docs.append((k, " ".join(text).replace("w1 ", "W1, ")))
-    docs += [(100, None), (101, ""), (102, "..."), (103, docs[3][1])]
+    docs += [(104, "an item that has lost its id"), (105, "so an item that has lost its id"), (100, None), (101, ""), (102, "..."), (103, docs[3][1])]
     return docs, items
 
 
