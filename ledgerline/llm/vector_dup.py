@@ -94,8 +94,14 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Every vector times the power of two that brings its largest component
+    below 1: no product overflows or vanishes, and no digit changes."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])
+
+
 def _units(raw: np.ndarray) -> np.ndarray:
-    scaled = raw / np.abs(raw).max(axis=1, keepdims=True)
+    scaled = _scaled(raw)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
@@ -121,7 +127,7 @@ def _cells(p: VectorDup, depth: int, tables: int):
 
 
 def _side(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    raw = np.array([np.frombuffer(x["raw"]) for x in rows])
+    raw = _scaled(np.array([np.frombuffer(x["raw"]) for x in rows]))
     return np.array([x["rep"] for x in rows]), np.array([x["copies"] for x in rows]), raw, np.array([x["cells"] for x in rows])
 
 
@@ -180,7 +186,8 @@ def near_vectors(
 
     * Vectors that are NULL, empty, all zero, or hold NULL, NaN or infinite
       components, and vectors without label or id, link with nothing.
-    * Vectors of different length do not meet.
+    * Vectors of different length do not meet; their scale doesn't matter, from
+      the smallest to the largest finite doubles.
     * Rows repeating a vec_id are counted as vectors of their own, but are one
       node of the components.  Extra columns are ignored; empty in, empty out.
     """

@@ -77,6 +77,16 @@ def test_unusable_vectors_and_repeats(spark):
     assert twice == [(8, 1, 8, True)] * 2
 
 
+def test_doubles_of_any_scale(spark):
+    rows = [
+        (1, [1e200, 2e200], "a"), (2, [1e200, 2.01e200], "a"), (3, [1e-200, 2e-200], "a"), (4, [1e-200, 2.01e-200], "a"), (5, [1e200, -2e200], "a"),
+        (6, [5e-324, 1e-323], "a"), (7, [1.7e308, 1.7e308], "b"), (8, [1.6e308, 1.7e308], "b"), (9, [-1.7e308, 1.7e308], "b"),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vd.near_vectors(df).collect())
+    assert got == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 0, 5), (6, 4, 1), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
+
+
 def test_calibrated_count():
     """A pair at the threshold reaches least_count but for a share of ``miss``."""
     p = vd.VectorDup()
