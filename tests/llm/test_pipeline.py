@@ -3,6 +3,10 @@ what its predecessor kept."""
 
 import json
 import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from ledgerline.llm import secrets
@@ -54,3 +58,25 @@ def test_run_gives_the_last_stage(spark):
     assert {"doc_id", "text", "topic", "n_tokens", "weight", "probability"} <= set(out.columns)
     first = sorted(json.dumps(r.asDict(), default=str, sort_keys=True) for r in out.collect())
     assert first and first == sorted(json.dumps(r.asDict(), default=str, sort_keys=True) for r in cp.run(spark, SF001).collect())
+
+
+NAMES = "topic string, n_tokens int, weight double, Probability double, copies string, mark int, kept int, language string, host string, row int, spans int, n_hit int"
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_with_clashing_names_and_odd_rows(spark, name, stage):
+    """Columns named like a stage's own, NULLs, empty, repeated and long rows, and no rows."""
+    few = read_table(spark, SF001, "documents").limit(40)
+    extra = [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in NAMES.split(", ")]
+    odd = [(-1, None, None, None, None), (-2, "", "en", "src1", 0), (-2, "", "en", "src1", 0), (None, "one text without an id, in plain English words", "en", None, None), (-3, "word " * 30_000, "en", "src2", 5)]
+    rows = few.union(spark.createDataFrame(odd, few.schema)).union(few.limit(3))
+    docs = cut(rows.select("*", *extra), "clashing")
+    out = cut(stage(spark, docs, SF001), name)
+    assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert (len(out.columns) > len(docs.columns)) == (name == "mixing")
+    before = Counter(r.doc_id for r in docs.collect())
+    after = Counter(r.doc_id for r in out.collect())
+    assert after and all(after[k] <= before[k] for k in after)
+    if name == "secret_masking":
+        assert after == before
+    assert stage(spark, docs.limit(0), SF001).collect() == []
