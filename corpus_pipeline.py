@@ -9,8 +9,9 @@ more than the current stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, read_table
+from ledgerline.llm.common import cut, fresh, read_table
 from ledgerline.llm.decontam import decontaminate
 from ledgerline.llm.langid import drop_undetermined
 from ledgerline.llm.mixing import mix
@@ -42,8 +43,10 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the target shares of sources, languages and topics
     (operator 3); adds topic, n_tokens, weight, probability and copies, the
-    times a document is to be read."""
-    return mix(docs).filter("selected").select("row.*", "topic", "n_tokens", "weight", "probability", "copies")
+    times a document is to be read. A name that a document has as a column gets
+    underscores until it is new."""
+    added = ("topic", "n_tokens", "weight", "probability", "copies")
+    return mix(docs).filter("selected").select("row.*", *[F.col(c).alias(n) for c, n in zip(added, fresh(docs, *added))])
 
 
 STAGES = [
