@@ -12,8 +12,8 @@ pre-tokens of every span are encoded by merging, lowest rank first.
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,6 +40,7 @@ NEWER = (
 NO_CLASS = "\u0378"
 #: Characters behind a match that can decide it (an apostrophe takes up to two letters).
 LOOKAHEAD = 3
+GAP = re.compile(r"(?<=\S)(?= )")
 #: Pre-tokens up to this many bytes are merged by rescanning, longer ones by a heap.
 SHORT = 64
 
@@ -53,20 +54,27 @@ class Ranks:
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.find = regex.compile(pattern).findall
         self.iterate = regex.compile(pattern).finditer
-        self.newer = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+        self.newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER) + "]")
+        self.whole_words = r" ?\p{L}+|" in pattern
         self.known: dict[str, bytes] = {}
-        width = max(self.rank.values()) + 1
-        size = np.zeros(width, np.int64)
+        self.width = max(self.rank.values()) + 1
+        self.size = np.zeros(self.width, np.int64)
         for token, rank in self.rank.items():
-            size[rank] = len(token)
-        self.end = np.cumsum(size)
-        self.size = size
-        self.valid = np.zeros(width, bool)
-        self.valid[list(self.rank.values())] = True
-        letters = np.zeros(int(size.sum()), np.uint8)
+            self.size[rank] = len(token)
+        self.end = np.cumsum(self.size)
+        self.letters = np.zeros(int(self.size.sum()), np.uint8)
         for token, rank in self.rank.items():
-            letters[self.end[rank] - len(token) : self.end[rank]] = np.frombuffer(token, np.uint8)
-        self.letters = letters
+            self.letters[self.end[rank] - len(token) : self.end[rank]] = np.frombuffer(token, np.uint8)
+        self.of_byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        # every token as every pair of tokens that gives it
+        joined = [
+            (x * self.width + y, rank)
+            for token, rank in self.rank.items()
+            for i in range(1, len(token))
+            if (x := self.rank.get(token[:i])) is not None and (y := self.rank.get(token[i:])) is not None
+        ]
+        found = np.array(sorted(joined), np.int64).reshape(-1, 2)
+        self.pairs, self.joined = found[:, 0].copy(), found[:, 1].copy()
 
     def classed(self, text: str) -> str:
         """The text as the pattern is to see it, every character in its place."""
@@ -77,29 +85,73 @@ class Ranks:
         seen = self.classed(text)
         return self.find(text) if seen == text else [text[m.start() : m.end()] for m in self.iterate(seen)]
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ranks of one pre-token: the whole of it, or its bytes merged pair
-        by pair, the lowest rank first and of equal ones the leftmost."""
-        rank = self.rank
-        whole = rank.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(piece) > SHORT:
-            return self._merge_long(piece)
-        none = len(rank) + 1
-        cuts = list(range(len(piece) + 1))
-        pairs = [rank.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
-        while pairs:
-            low = min(pairs)
-            if low == none:
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of two tokens joined, ``width`` where they give none."""
+        key = left.astype(np.int64) * self.width + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.joined[at], self.width)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of every pre-token: the whole of it where it is a token, else its
+        bytes merged pair by pair, the lowest rank first and of equal ones the
+        leftmost.  Pieces of like length are merged together, one pair of each at a time."""
+        out: list[bytes] = [b""] * len(pieces)
+        longer = []
+        for k, piece in enumerate(pieces):
+            whole = self.rank.get(piece)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(piece) > SHORT:
+                out[k] = np.array(self._merge_long(piece), "<i4").tobytes()
+            else:
+                longer.append(k)
+        longer.sort(key=lambda k: len(pieces[k]))
+        size = np.array([len(pieces[k]) for k in longer], np.int64)
+        for low, high in ((1, 8), (8, 12), (12, 20), (20, SHORT)):
+            a, b = np.searchsorted(size, [low, high], "right").tolist()
+            for x in range(a, b, 4096):
+                mine = longer[x : min(b, x + 4096)]
+                ids, left = self._merge_short([pieces[k] for k in mine], size[x : x + len(mine)])
+                raw, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(left)).tolist()
+                for k, i, j in zip(mine, [0, *ends], ends):
+                    out[k] = raw[i:j]
+        return out
+
+    def _merge_short(self, pieces: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, width = len(pieces), int(size[-1])
+        at = np.arange(width)
+        inside = at < size[:, None]
+        symbol = np.full((n, width), self.width, np.int32)
+        symbol[inside] = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        # the rank of every symbol joined with the next; nothing follows the last
+        rank = np.full((n, width), self.width, np.int32)
+        pair = inside[:, 1:]
+        rank[:, :-1][pair] = self._join(symbol[:, :-1][pair], symbol[:, 1:][pair])
+        live, left = np.arange(n), size.copy()
+        while len(live):
+            s, r = symbol[live], rank[live]
+            i = r.argmin(1)
+            low = r[np.arange(len(live)), i]
+            go = low < self.width
+            live, s, r, i, low = live[go], s[go], r[go], i[go], low[go]
+            if not len(live):
                 break
-            i = pairs.index(low)
-            del cuts[i + 1], pairs[i]
-            if i < len(pairs):
-                pairs[i] = rank.get(piece[cuts[i] : cuts[i + 2]], none)
-            if i:
-                pairs[i - 1] = rank.get(piece[cuts[i - 1] : cuts[i + 1]], none)
-        return [rank[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+            row = np.arange(len(live))
+            # what stands behind the pair moves up by one
+            behind = at[:-1] > i[:, None]
+            s[:, :-1] = np.where(behind, s[:, 1:], s[:, :-1])
+            r[:, :-1] = np.where(behind, r[:, 1:], r[:, :-1])
+            s[row, i] = low
+            left[live] -= 1
+            ends = left[live]
+            s[row, ends] = self.width
+            r[row, ends - 1] = self.width
+            for first in (i, i - 1):
+                ok = np.flatnonzero((first >= 0) & (first + 1 < ends))
+                f = first[ok]
+                r[ok, f] = self._join(s[ok, f], s[ok, f + 1])
+            symbol[live], rank[live] = s, r
+        return symbol[at < left[:, None]], left
 
     def _merge_long(self, piece: bytes) -> list[int]:
         rank, n = self.rank, len(piece)
@@ -127,18 +179,30 @@ class Ranks:
             i = after[i]
         return out
 
-    def encode(self, pieces: list[str], most_known: int) -> bytes:
-        """Ids of the pre-tokens, 32 bits each with the lowest byte first."""
+    def encode(self, texts: list[str], most_known: int) -> list[bytes]:
+        """Ids of every text, 32 bits each with the lowest byte first.
+
+        In front of a space behind something else than white space there is
+        always a boundary, so the text falls into words there, and the ids of
+        words seen before are known.
+        """
         known = self.known
         if len(known) > most_known:
             known.clear()
-        for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.merge(piece.encode()), "<i4").tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        words = [GAP.split(t) for t in texts]
+        new = list(set().union(*words).difference(known))
+        split = self.split if self.newer.search("".join(new)) else self.find
+        # a space and letters are one pre-token of the usual patterns
+        pieces = [[w] if self.whole_words and w[1:].isalpha() and (w[0] == " " or w[0].isalpha()) else split(w) for w in new]
+        distinct = list(set().union(*pieces))
+        ids = dict(zip(distinct, self.merge([p.encode() for p in distinct])))
+        for w, ps in zip(new, pieces):
+            known[w] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The raw bytes of the ids, one after the other."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.valid[ids].all()):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or not self.size[ids].all()):
             raise ValueError("an id that the vocabulary doesn't have")
         size = self.size[ids]
         shift = self.end[ids] - np.cumsum(size)
@@ -161,8 +225,7 @@ def _encode_short(path: str, pattern: str, most_known: int, slice_bytes: int):
         for batch in batches:
             _, offs = utf8(batch.column(1))
             for a, b in slices(offs, slice_bytes):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                parts = [r.encode(r.split(t), most_known) if t else b"" for t in texts]
+                parts = r.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()], most_known)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(parts)], ["doc_id", "ids"])
 
     return run
@@ -195,7 +258,8 @@ def _boundaries(path: str, pattern: str, chunk: int, overlap: int):
             head, tail = [], []
             for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
                 ends = [m.end() for m in r.iterate(r.classed(text))]
-                sure = [e for e in ends if e <= len(text) - LOOKAHEAD]
+                # what stands before a place behind white space can depend on what follows it
+                sure = [e for e in ends if e <= len(text) - LOOKAHEAD and not text[e - 1].isspace()]
                 head.append([at + e for e in sure if e <= overlap])
                 tail.append([at + e for e in sure if e >= chunk])
             columns = [batch.column(c) for c in batch.schema.names] + [pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))]
@@ -216,14 +280,9 @@ def _encode_span(path: str, pattern: str, most_known: int):
         for at, text in zip(rows["at"].to_pylist(), rows["text"].to_pylist()):
             parts.append(text[have - at :])
             have = at + len(text)
-        text = "".join(parts)
-        pieces = []
-        for m in r.iterate(r.classed(text), first - start):
-            if to is not None and start + m.start() >= to:
-                break
-            pieces.append(text[m.start() : m.end()])
-        ids = r.encode(pieces, most_known)
-        return pa.table({"doc": rows["doc"][:1], "doc_id": rows["doc_id"][:1], "span": rows["span"][:1], "ids": _lists([ids])})
+        text = "".join(parts)[first - start : None if to is None else to - start]
+        ids = r.encode([text], most_known)
+        return pa.table({"doc": rows["doc"][:1], "doc_id": rows["doc_id"][:1], "span": rows["span"][:1], "ids": _lists(ids)})
 
     return run
 
@@ -242,7 +301,7 @@ def spans(chunks: DataFrame) -> DataFrame:
 
 def encode(
     docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 15, overlap: int = 1 << 9,
-    most_known: int = 500_000, slice_bytes: int = 1 << 20,
+    most_known: int = 300_000, slice_bytes: int = 1 << 20,
 ) -> DataFrame:
     """doc_id and ids (array of int) per row, by the rank file at ``path``, which
     every worker can read; every match of ``pattern`` is encoded separately,
@@ -272,42 +331,34 @@ def encode(
     return short.union(whole.select("doc_id", F.flatten("parts.ids")))
 
 
-def _decode(path: str, pattern: str):
+def _decode(path: str, pattern: str, slice_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(path, pattern)
         for batch in batches:
-            ids, out = batch.column(1), []
-            flat, offs = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            offs = offs - offs[0]
-            for a, b in zip(offs, offs[1:]):
-                out.append(r.decode(flat[a:b]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+            offsets = batch.column(1).offsets.to_numpy()
+            for a, b in slices(offsets, slice_ids):
+                ids = batch.column(1).slice(a, b - a)
+                flat, offs = ids.flatten().to_numpy(zero_copy_only=False), offsets[a : b + 1] - offsets[a]
+                parts = [flat[x:y] for x, y in zip(offs, offs[1:])]
+                packed = pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())
+                decoded = pa.array([r.decode(p) for p in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, packed, decoded], ["doc_id", "ids", "packed", "decoded"])
 
     return run
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids and decoded (binary): the raw bytes of the ids joined.
+def decode(encoded: DataFrame, path: str, pattern: str, slice_ids: int = 1 << 18) -> DataFrame:
+    """doc_id, ids, packed (the ids as 32-bit integers, lowest byte first) and
+    decoded (the raw bytes of the ids, one after the other).
 
     NULL ids decode to nothing; an id outside the vocabulary raises.
     """
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(_decode(path, pattern), "doc_id long, ids array<int>, decoded binary")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(1)
-        flat, offs = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-        offs = offs - offs[0]
-        sums = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offs, offs[1:])]
-        decoded = [hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offs).astype(np.int64)), pa.array(sums, pa.string()), pa.array(decoded, pa.string())],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    return rows.mapInArrow(_decode(path, pattern, slice_ids), "doc_id long, ids array<int>, packed binary, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
     """The contract's columns from ids and decoded bytes."""
-    return decoded.mapInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
