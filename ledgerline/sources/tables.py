@@ -69,12 +69,14 @@ class Tables:
     translation: DataFrame
 
 
-class LazyTables:
-    """The members of ``Tables``, each built when it is first asked for: an
-    analysis that reads three tables lists the files of three."""
-
-    def __init__(self, **builders: Callable[[], DataFrame]) -> None:
-        self._builders = builders
+class LazyTables(Tables):
+    """``Tables`` whose members are built when first asked for: an analysis that
+    reads three tables lists the files of three. Members may be given as
+    DataFrames too, so ``dataclasses.replace`` works as for ``Tables``."""
+
+    def __init__(self, **members: Callable[[], DataFrame] | DataFrame) -> None:
+        self.__dict__["_builders"] = {name: m for name, m in members.items() if not isinstance(m, DataFrame)}
+        self.__dict__.update({name: m for name, m in members.items() if isinstance(m, DataFrame)})
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
