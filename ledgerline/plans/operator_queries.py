@@ -7,6 +7,9 @@ the results compare value for value with the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,10 @@ from ledgerline.plans import analyses as an
 from ledgerline.plans.analyses import CAT, CITY, PAY, PERSON, STATE, TS
 from ledgerline.plans.cleanup import CleanResult, quality_profile, run_cleanup
 from ledgerline.sources import tables as tb
+from ledgerline.session import scratch_path
 from ledgerline.sources.io import materialize
+from ledgerline.sources.lookup import lookup, write_lookup_layout
+from ledgerline.sources.ordered import read_page, with_positions, write_in_order
 from ledgerline.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TEXT_TIMESTAMPS
 
 Tables = tb.Tables
@@ -32,6 +38,11 @@ RENAMED_SEGMENT = "BUILDING"          # d9: customers that get a new id
 RENAME_OFFSET = 1_000_000_000         # d9: new id = old id + offset
 DELETED_TRANSLATIONS = ("Brand#1", "Brand#2")  # d8: translations removed
 NEW_TRANSLATION_PREFIX = "brand_no_"  # d12: English name of inserted rows
+# s8: what is looked up in the laid-out items, column by column
+LOOKUP_CUSTOMERS, LOOKUP_PRODUCTS, LOOKUP_SELLERS = (1, 7, 42), (3, 55, 101), (2, 9)
+LOOKUP_FROM, LOOKUP_BEFORE = "1995-03-01", "1995-04-01"
+LOOKUP_CATEGORY = "Brand#11"
+PAGE_FIRST, PAGE_LAST, PAGE_BLOCK = 1_001, 2_500, 1_000  # s9: a page and the rows of a folder
 # d5, d14: the columns that stand for the load time of the fixture's tables
 LOAD_ORDER = {
     "customers": ["customer_unique_id"],
@@ -427,7 +438,51 @@ def s3_values(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("product_category_name_english").agg(F.count(F.lit(1)).alias("n_products"))
 
 
+# ---------------------------------------------------------------------------
+# Sinks: lookup layout (S8), total order
+# ---------------------------------------------------------------------------
+
+LOOKUP_COLUMNS = ["customer_id", TS, "product_id", "seller_id", CAT]
+
+
+def _laid_out_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items with customer, timestamp and category, laid out for lookups by any
+    of the five columns that the reference has indexes on."""
+    t = _t(spark, d)
+    wide = (
+        t.order_items.join(t.orders.select("order_id", "customer_id", TS), "order_id")
+        .join(t.products.select("product_id", CAT), "product_id", "left")
+        .select("order_id", "order_item_id", *LOOKUP_COLUMNS, "price")
+    )
+    path = scratch_path(spark, f"lookup-{uuid.uuid4().hex}")
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_lookup_layout(materialize(wide, "lookup-rows"), path, LOOKUP_COLUMNS, n_files)
+    return spark.read.parquet(path)
+
+
+def looked_up(column: str, **wanted) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: _items_out(lookup(_laid_out_items(spark, d), column, **wanted))
+
+
+def s9_positions(spark: SparkSession, d: str) -> DataFrame:
+    items = _t(spark, d).order_items
+    return _items_out(with_positions(items, [F.col("price").desc_nulls_first(), F.col("order_id"), F.col("order_item_id")]))
+
+
+def s9_page(spark: SparkSession, d: str) -> DataFrame:
+    items = _t(spark, d).order_items
+    path = scratch_path(spark, f"page-{uuid.uuid4().hex}")
+    write_in_order(items, path, [F.col("price").desc_nulls_first(), F.col("order_id"), F.col("order_item_id")], PAGE_BLOCK)
+    return _items_out(read_page(spark.read.parquet(path), PAGE_FIRST, PAGE_LAST, PAGE_BLOCK))
+
+
 BUILDERS = {
+    "s8_lookup_customer": looked_up("customer_id", values=LOOKUP_CUSTOMERS),
+    "s8_lookup_timestamp": looked_up(TS, low=LOOKUP_FROM, before=LOOKUP_BEFORE),
+    "s8_lookup_product": looked_up("product_id", values=LOOKUP_PRODUCTS),
+    "s8_lookup_seller": looked_up("seller_id", values=LOOKUP_SELLERS),
+    "s8_lookup_category": looked_up(CAT, values=[LOOKUP_CATEGORY]),
+    "s9_positions": s9_positions, "s9_page": s9_page,
     "d1_text_to_ts": d1_text_to_ts, "d1_quarantine": d1_quarantine,
     "d5_dedupe_items": d5_dedupe_items, "d5_dedupe_reviews": d5_dedupe_reviews,
     "d10_blank_to_null": d10_blank_to_null, "d12_insert_absent": d12_insert_absent, "d13_profile": d13_profile,

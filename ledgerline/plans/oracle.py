@@ -671,6 +671,24 @@ GROUP BY c.customer_unique_id""")
 SELECT t.product_category_name_english, COUNT(*) AS n_products
 FROM t_products p LEFT JOIN t_translation t ON p.product_category_name = t.product_category_name
 GROUP BY t.product_category_name_english""")
+
+    wide = """
+SELECT i.order_id, i.order_item_id, o.customer_id, o.order_purchase_timestamp, i.product_id, i.seller_id,
+       p.product_category_name, CAST(i.price AS DOUBLE) AS price
+FROM t_items i JOIN t_orders o USING (order_id) LEFT JOIN t_products p ON p.product_id = i.product_id
+WHERE """
+    q["s8_lookup_customer"] = w(f"{wide} o.customer_id IN {oq.LOOKUP_CUSTOMERS}")
+    q["s8_lookup_timestamp"] = w(
+        f"{wide} o.order_purchase_timestamp >= DATE '{oq.LOOKUP_FROM}' AND o.order_purchase_timestamp < DATE '{oq.LOOKUP_BEFORE}'")
+    q["s8_lookup_product"] = w(f"{wide} i.product_id IN {oq.LOOKUP_PRODUCTS}")
+    q["s8_lookup_seller"] = w(f"{wide} i.seller_id IN {oq.LOOKUP_SELLERS}")
+    q["s8_lookup_category"] = w(f"{wide} p.product_category_name = '{oq.LOOKUP_CATEGORY}'")
+    placed = """
+SELECT order_id, order_item_id, product_id, seller_id, CAST(price AS DOUBLE) AS price,
+       ROW_NUMBER() OVER (ORDER BY price DESC NULLS FIRST, order_id, order_item_id) AS position
+FROM t_items"""
+    q["s9_positions"] = w(placed)
+    q["s9_page"] = w(f"{placed} QUALIFY position BETWEEN {oq.PAGE_FIRST} AND {oq.PAGE_LAST}")
     return q
 
 
