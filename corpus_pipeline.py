@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, fresh, read_table
 from ledgerline.llm.decontam import decontaminate
-from ledgerline.llm.langid import drop_undetermined
+from ledgerline.llm.langid import LangId, drop_undetermined
 from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dup import drop_near_duplicates
 from ledgerline.llm.secrets import mask_secrets
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of undetermined language go (operator 5)."""
-    return drop_undetermined(docs)
+    """Documents of undetermined language go (operator 5); texts that no model fits
+    stay if they alone declare their language."""
+    return drop_undetermined(docs, LangId(trust_rare=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

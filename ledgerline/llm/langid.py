@@ -42,10 +42,13 @@ NO_LANGUAGE = (UND, "mis", "mul", "zxx")
 @dataclass(frozen=True)
 class LangId:
     """``languages``: None for all that ``least_rows`` rows declare.  A text doesn't
-    speak for itself, so a language declared once has nothing to be compared with."""
+    speak for itself, so a language declared once has nothing to be compared with.
+    ``trust_rare``: a text of such a language that no model fits keeps the language
+    it is declared in; without it, it is undetermined."""
 
     languages: tuple[str, ...] | None = None
     least_rows: int = 2
+    trust_rare: bool = False
     #: Languages whose counts a task holds before it hands them on (2 MB each).
     held: int = 32
     temper: float = 0.2
@@ -133,7 +136,8 @@ def declared_languages(docs: DataFrame, declared_col: str | None, least_rows: in
 
 
 def evidence(docs: DataFrame, p: LangId, id_col: str, text_col: str, declared_col: str | None, host_col: str | None, url_col: str | None) -> DataFrame:
-    """doc_id, mark, declared, host, domain, suffix, text.  mark tells apart the texts of one id."""
+    """doc_id, mark, declared, host, domain, suffix, rare, text.  mark tells apart the
+    texts of one id; rare is a declared language that has no model."""
     none = F.lit(None).cast("string")
     url = F.col(url_col).cast("string") if url_col else none
     host = F.lower(F.col(host_col).cast("string") if host_col else F.regexp_extract(url, "^[A-Za-z]+://([^/:?#]+)", 1))
@@ -147,6 +151,7 @@ def evidence(docs: DataFrame, p: LangId, id_col: str, text_col: str, declared_co
         host.alias("host"),
         F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
         F.nullif(F.regexp_extract(host, r"\.([^.0-9][^.]*)$", 1), F.lit("")).alias("suffix"),
+        F.when(~declared.isin(*p.languages, *NO_LANGUAGE), declared).alias("rare"),
         text.alias("text"),
     )
 
@@ -245,7 +250,7 @@ def _score(broadcast, p: LangId):
                         pa.array(list(like), pa.list_(pa.float64())),
                         pa.array(list(post), pa.list_(pa.float64())),
                     ],
-                    ["doc_id", "mark", "declared", "host", "domain", "suffix", "n_letters", "like", "post"],
+                    ["doc_id", "mark", "declared", "host", "domain", "suffix", "rare", "n_letters", "like", "post"],
                 )
 
     return run
@@ -273,7 +278,9 @@ def identify(
     """One row per document: doc_id, mark, declared, language, confidence, accepted.
 
     language is ``und`` and accepted false where the text has no letters, the
-    best class is ``und``, or its posterior is below ``least_confidence``.
+    best class is ``und``, or its posterior is below ``least_confidence``.  With
+    ``trust_rare`` such a text with letters is accepted as the language it is declared
+    in, confidence 0, if no model stands for that language for want of rows.
 
     * Without ``languages`` they are those declared in the table (``declared_languages``).
     * NULL or empty text is undetermined.  A NULL or unknown declared language,
@@ -284,12 +291,13 @@ def identify(
       empty table gives an empty result.
     """
     spark = docs.sparkSession
+    trust_rare = p.trust_rare and p.languages is None  # languages that the caller leaves out are not wanted
     if p.languages is None:
         p = replace(p, languages=declared_languages(docs, declared_col, p.least_rows))
     rows = evidence(docs, p, id_col, text_col, declared_col, host_col, url_col)
     model = spark.sparkContext.broadcast(text_model(rows, p))  # classes x codes floats
     scored = rows.mapInArrow(
-        _score(model, p), "doc_id long, mark long, declared string, host string, domain string, suffix string, n_letters long, like array<double>, post array<double>"
+        _score(model, p), "doc_id long, mark long, declared string, host string, domain string, suffix string, rare string, n_letters long, like array<double>, post array<double>"
     )
     scored = cut(scored, "scored")
     n = len(p.classes)
@@ -318,11 +326,14 @@ def identify(
     all_ = all_.withColumn("fused", evidence_sum).withColumn("top", F.array_max("fused"))
     best = F.element_at(F.array(*map(F.lit, p.classes)), F.array_position("fused", F.col("top")).cast("int"))
     confidence = 1 / F.aggregate(F.transform("fused", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
-    sure = (F.col("n_letters") > 0) & (confidence >= p.least_confidence)
-    return (
-        all_.withColumns({"language": F.when(sure, best).otherwise(UND), "confidence": F.when(F.col("n_letters") > 0, confidence).otherwise(0.0)})
-        .select("doc_id", "mark", "declared", "language", "confidence", (F.col("language") != UND).alias("accepted"))
-    )
+    letters = F.col("n_letters") > 0
+    language = F.when(letters & (confidence >= p.least_confidence), best).otherwise(UND)
+    confidence = F.when(letters, confidence).otherwise(0.0)
+    if trust_rare:
+        on_trust = letters & F.col("rare").isNotNull() & (language == UND)
+        language, confidence = F.when(on_trust, F.col("rare")).otherwise(language), F.when(on_trust, 0.0).otherwise(confidence)
+    found = all_.select("doc_id", "mark", "declared", language.alias("language"), confidence.alias("confidence"))
+    return found.withColumn("accepted", F.col("language") != UND)
 
 
 def identify_pages(pages: DataFrame, p: LangId = LangId(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -117,6 +117,18 @@ def test_languages_can_be_given_and_need_two_rows(spark):
     assert sorted(langid.identify(df.coalesce(1), langid.LangId(held=1)).collect()) == sorted(langid.identify(df).collect())
 
 
+def test_a_language_declared_once_is_trusted_where_no_model_fits(spark):
+    rare = [(9000, "один два три " * 40, "ru", None, "ru", ""), (9001, "123 456", "el", None, "und", ""), (9002, "б" * 300, "und", None, "und", ""), (9003, "б" * 300, None, None, "und", "")]
+    df = spark.createDataFrame([*rows_of(7, 60), *rare], SCHEMA)
+    of = lambda p: {r.doc_id: (r.language, r.accepted) for r in langid.identify(df, p).filter("doc_id >= 9000").collect()}
+    und = ("und", False)
+    trusting = langid.LangId(trust_rare=True)
+    assert of(trusting) == {9000: ("ru", True), 9001: und, 9002: und, 9003: und}
+    assert of(langid.LangId()) == dict.fromkeys(range(9000, 9004), und)
+    assert of(langid.LangId(languages=("en", "de", "fr", "es"), trust_rare=True)) == dict.fromkeys(range(9000, 9004), und)
+    assert 9000 in {r.doc_id for r in langid.drop_undetermined(df, trusting).collect()}
+
+
 def test_pages_use_markup_and_address(spark):
     """Texts without telling letters follow the markup and the suffix, whatever its length."""
     rng, rows = random.Random(11), []
