@@ -27,6 +27,7 @@ from ledgerline.session import scratch_path
 from ledgerline.sources.io import materialize
 from ledgerline.sources.lookup import lookup, write_lookup_layout
 from ledgerline.sources.ordered import read_page, with_positions, write_in_order
+from ledgerline.sources.rejects import CsvLoad, load_csv
 from ledgerline.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TEXT_TIMESTAMPS
 
 Tables = tb.Tables
@@ -438,6 +439,31 @@ def s3_values(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("product_category_name_english").agg(F.count(F.lit(1)).alias("n_products"))
 
 
+# ---------------------------------------------------------------------------
+# Sources: raw dumps with broken lines
+# ---------------------------------------------------------------------------
+
+def _loaded_dump(spark: SparkSession, d: str) -> CsvLoad:
+    """The orders written as a CSV dump with broken lines, and loaded."""
+    path = scratch_path(spark, f"order-dump-{uuid.uuid4().hex}")
+    tb.order_dump(spark, d).write.text(path)
+    return load_csv(spark, path, "orders", header=False)
+
+
+def s1_load(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded_dump(spark, d).rows
+
+
+def s1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Which file and place a line has depends on the number of tasks that wrote
+    the dump, so the query returns the rest."""
+    return _loaded_dump(spark, d).rejects.select("line", "problem", "column_name")
+
+
+def s1_reject_report(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded_dump(spark, d).report.agg(F.sum("n_records").alias("n_records"), F.sum("n_rejected").alias("n_rejected"))
+
+
 # ---------------------------------------------------------------------------
 # Sinks: lookup layout (S8), total order
 # ---------------------------------------------------------------------------
@@ -477,6 +503,7 @@ def s9_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 BUILDERS = {
+    "s1_load": s1_load, "s1_rejects": s1_rejects, "s1_reject_report": s1_reject_report,
     "s8_lookup_customer": looked_up("customer_id", values=LOOKUP_CUSTOMERS),
     "s8_lookup_timestamp": looked_up(TS, low=LOOKUP_FROM, before=LOOKUP_BEFORE),
     "s8_lookup_product": looked_up("product_id", values=LOOKUP_PRODUCTS),

@@ -683,6 +683,22 @@ WHERE """
     q["s8_lookup_product"] = w(f"{wide} i.product_id IN {oq.LOOKUP_PRODUCTS}")
     q["s8_lookup_seller"] = w(f"{wide} i.seller_id IN {oq.LOOKUP_SELLERS}")
     q["s8_lookup_category"] = w(f"{wide} p.product_category_name = '{oq.LOOKUP_CATEGORY}'")
+    every = {rule: f"order_id % {n} = {rest}" for rule, (n, rest) in (
+        ("short", tb.SHORT_LINE), ("long", tb.LONG_LINE), ("text", tb.TEXT_CUSTOMER))}
+    dump = f"""
+FROM (SELECT order_id, customer_id, order_status, strftime(order_purchase_timestamp, '%Y-%m-%d %H:%M:%S') AS order_purchase_timestamp,
+             strftime(order_approved_at, '%Y-%m-%d %H:%M:%S') AS order_approved_at,
+             CASE WHEN {every['short']} THEN 'short' WHEN {every['long']} THEN 'long' WHEN {every['text']} THEN 'text' ELSE 'fits' END AS kind
+      FROM t_orders)"""
+    q["s1_load"] = w(f"SELECT * EXCLUDE (kind) {dump} WHERE kind = 'fits'")
+    q["s1_rejects"] = w(f"""
+SELECT order_id || ',' || CASE kind WHEN 'text' THEN '{tb.TEXT_CUSTOMER_PREFIX}' ELSE '' END || customer_id || ',' || order_status
+       || ',"' || order_purchase_timestamp || '"' || CASE kind WHEN 'short' THEN '' ELSE ',' || COALESCE(order_approved_at, '') END
+       || CASE kind WHEN 'long' THEN '{tb.LONG_LINE_END}' ELSE '' END AS line,
+       CASE kind WHEN 'text' THEN 'value' ELSE 'field_count' END AS problem,
+       CASE kind WHEN 'text' THEN 'customer_id' END AS column_name
+{dump} WHERE kind <> 'fits'""")
+    q["s1_reject_report"] = w(f"SELECT COUNT(*) AS n_records, COUNT(*) FILTER (kind <> 'fits') AS n_rejected {dump}")
     placed = """
 SELECT order_id, order_item_id, product_id, seller_id, CAST(price AS DOUBLE) AS price,
        ROW_NUMBER() OVER (ORDER BY price DESC NULLS FIRST, order_id, order_item_id) AS position

@@ -16,7 +16,7 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,10 @@ TEXT_TS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # Raw-text defects injected for the quarantine check.
 BAD_TEXT_EVERY, BAD_TEXT = 997, "not a date"
 EMPTY_TEXT_EVERY = 991
+# Broken lines of the order dump, by order id: (every, rest). The first that
+# applies: the last field is missing, a field too many, a customer id that is text.
+SHORT_LINE, LONG_LINE, TEXT_CUSTOMER = (499, 0), (503, 1), (509, 2)
+TEXT_CUSTOMER_PREFIX, LONG_LINE_END = "C-", ",?"
 
 
 # Declared schemas of the driver's parquet files: reading with a schema
@@ -199,6 +203,25 @@ def raw_orders(spark: SparkSession, sf_dir: str, defects: bool = False) -> DataF
     )
 
 
+def order_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw orders as lines of a CSV dump without a header, some of them broken."""
+    o = raw_orders(spark, sf_dir)
+
+    def breaks(rule: tuple[int, int]) -> Column:
+        return F.col("order_id") % F.lit(rule[0]) == F.lit(rule[1])
+
+    short, long = breaks(SHORT_LINE), breaks(LONG_LINE) & ~breaks(SHORT_LINE)
+    text = breaks(TEXT_CUSTOMER) & ~breaks(SHORT_LINE) & ~breaks(LONG_LINE)
+    quoted = F.concat(F.lit('"'), F.col("order_purchase_timestamp"), F.lit('"'))
+    return o.select(F.concat(
+        F.col("order_id").cast("string"), F.lit(","),
+        F.when(text, F.lit(TEXT_CUSTOMER_PREFIX)).otherwise(F.lit("")), F.col("customer_id").cast("string"), F.lit(","),
+        F.col("order_status"), F.lit(","), quoted,
+        F.when(short, F.lit("")).otherwise(F.concat(F.lit(","), F.coalesce("order_approved_at", F.lit("")))),
+        F.when(long, F.lit(LONG_LINE_END)).otherwise(F.lit("")),
+    ).alias("line"))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer")
     return c.select(
