@@ -19,6 +19,7 @@ from ledgerline.operators import integrity as ig
 from ledgerline.operators.joins import lateral_top, missing_references, orphans, scalar_top
 from ledgerline.operators.median import exact_median
 from ledgerline.operators.ranking import keep_last, top_per_group
+from ledgerline.operators.reference_graph import Change, apply_change
 from ledgerline.plans import analyses as an
 from ledgerline.plans.analyses import CAT, CITY, PAY, PERSON, STATE, TS
 from ledgerline.plans.cleanup import CleanResult, quality_profile, run_cleanup
@@ -38,6 +39,17 @@ RESTRICTED_SEGMENT = "AUTOMOBILE"     # d7: customers asked to be removed
 RENAMED_SEGMENT = "BUILDING"          # d9: customers that get a new id
 RENAME_OFFSET = 1_000_000_000         # d9: new id = old id + offset
 DELETED_TRANSLATIONS = ("Brand#1", "Brand#2")  # d8: translations removed
+DELETED_CATEGORY = "Brand#3"          # d6_d9: products removed, their items follow
+GRAPH_COLUMNS = {                     # d6_d9: what is shown of each table
+    "customers": ["customer_id", None, None, None],
+    "orders": ["order_id", "customer_id", None, None],
+    "order_items": ["order_id", "order_item_id", "product_id", "seller_id"],
+    "payments": ["order_id", "payment_sequential", None, None],
+    "reviews": ["review_id", "order_id", None, None],
+    "sellers": ["seller_id", None, None, None],
+    "products": ["product_id", "product_category_name", None, None],
+    "translation": ["product_category_name", None, None, None],
+}
 NEW_TRANSLATION_PREFIX = "brand_no_"  # d12: English name of inserted rows
 # s8: what is looked up in the laid-out items, column by column
 LOOKUP_CUSTOMERS, LOOKUP_PRODUCTS, LOOKUP_SELLERS = (1, 7, 42), (3, 55, 101), (2, 9)
@@ -183,6 +195,43 @@ def d9_rename(spark: SparkSession, d: str) -> DataFrame:
     return ig.rename_references(t.orders, "customer_id", mapping)
 
 
+def _graph_change(spark: SparkSession, d: str, references: list[tuple[str, str, str, str, str]]) -> Change:
+    """Customers of a segment, a category of products and translations are
+    deleted, and the customers of another segment renamed, in one step."""
+    t = _t(spark, d)
+    segments = tb.customer_segments(spark, d)
+    renamed = segments.filter(F.col("segment") == F.lit(RENAMED_SEGMENT)).select(
+        F.col("customer_id").alias("old_key"), (F.col("customer_id") + F.lit(RENAME_OFFSET)).alias("new_key"))
+    return apply_change(
+        {name: getattr(t, name) for name in PRIMARY_KEYS}, references,
+        deleted={
+            "customers": segments.filter(F.col("segment") == F.lit(RESTRICTED_SEGMENT)).select("customer_id"),
+            "products": t.products.filter(F.col(CAT) == F.lit(DELETED_CATEGORY)).select(CAT),
+            "translation": t.translation.filter(F.col(CAT).isin(*DELETED_TRANSLATIONS)).select(CAT),
+        },
+        renamed={"customers": ("customer_id", renamed)},
+    )
+
+
+def d6_d9_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What stays of every table: its key and its references as text. The
+    customers' deletion is carried on to their orders and what belongs to them."""
+    cascading = [(c, fk, p, pk, "cascade" if action == "restrict" else action) for c, fk, p, pk, action in FOREIGN_KEYS]
+    after = _graph_change(spark, d, cascading).tables
+    return ig.union_all([
+        after[name].select(F.lit(name).alias("table_name"), *[
+            (F.col(c).cast("string") if c else F.lit(None).cast("string")).alias(f"value_{i}") for i, c in enumerate(columns, 1)
+        ])
+        for name, columns in GRAPH_COLUMNS.items()
+    ])
+
+
+def d6_d9_refused(spark: SparkSession, d: str) -> DataFrame:
+    """The same change with the references as declared: customers with orders
+    can't be deleted, so nothing is."""
+    return _graph_change(spark, d, FOREIGN_KEYS).blockers
+
+
 def cleanup(spark: SparkSession, d: str) -> CleanResult:
     """D14 over the raw layer with defects: bad rows rejected, the last copy of
     each key kept, missing translations added, orphans cascaded."""
@@ -515,6 +564,7 @@ BUILDERS = {
     "d10_blank_to_null": d10_blank_to_null, "d12_insert_absent": d12_insert_absent, "d13_profile": d13_profile,
     "d2_pk_single": d2_pk_single, "d3_pk_composite": d3_pk_composite, "d4_fk_orphans": d4_fk_orphans,
     "d6_cascade": d6_cascade, "d7_restrict": d7_restrict, "d8_set_null": d8_set_null, "d9_rename": d9_rename,
+    "d6_d9_delete": d6_d9_delete, "d6_d9_refused": d6_d9_refused,
     "d11_missing_reference": d11_missing_reference,
     **{f"d14_clean_{name}": clean_table(name) for name in PRIMARY_KEYS},
     **{f"d14_{name}": clean_report(name) for name in (

@@ -507,6 +507,30 @@ SELECT p.product_id,
                                              WHERE product_category_name IN ({deleted}))
             THEN NULL ELSE p.product_category_name END AS product_category_name
 FROM t_products p""")
+    gone_orders = f"SELECT o.order_id FROM t_orders o JOIN t_segments s USING (customer_id) WHERE s.segment = '{oq.RESTRICTED_SEGMENT}'"
+    gone_products = f"SELECT product_id FROM t_products WHERE product_category_name = '{oq.DELETED_CATEGORY}'"
+    seg = {name: f"{{}} IN (SELECT customer_id FROM t_segments WHERE segment = '{value}')" for name, value in (
+        ("gone", oq.RESTRICTED_SEGMENT), ("renamed", oq.RENAMED_SEGMENT))}
+    new_id = f"CASE WHEN {seg['renamed'].format('customer_id')} THEN customer_id + {oq.RENAME_OFFSET} ELSE customer_id END"
+    of_orders = f"order_id IS NULL OR order_id NOT IN ({gone_orders})"
+    left = {
+        "customers": ([new_id], "t_customers", f"NOT {seg['gone'].format('customer_id')}"),
+        "orders": (["order_id", new_id], "t_orders", f"customer_id IS NULL OR NOT {seg['gone'].format('customer_id')}"),
+        "order_items": (["order_id", "order_item_id", "product_id", "seller_id"], "t_items",
+                        f"({of_orders}) AND (product_id IS NULL OR product_id NOT IN ({gone_products}))"),
+        "payments": (["order_id", "payment_sequential"], "t_payments", of_orders),
+        "reviews": (["review_id", "order_id"], "t_reviews", of_orders),
+        "sellers": (["seller_id"], "t_sellers", "TRUE"),
+        "products": (["product_id", f"CASE WHEN product_category_name NOT IN ({deleted}) THEN product_category_name END"], "t_products",
+                     f"product_category_name IS DISTINCT FROM '{oq.DELETED_CATEGORY}'"),
+        "translation": (["product_category_name"], "t_translation", f"product_category_name NOT IN ({deleted})"),
+    }
+    q["d6_d9_delete"] = w("\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, " + ", ".join(f"CAST({c} AS VARCHAR) AS value_{i}" for i, c in enumerate([*cols, *["NULL"] * (4 - len(cols))], 1))
+        + f" FROM {source} WHERE {stays}" for name, (cols, source, stays) in left.items()))
+    q["d6_d9_refused"] = w(f"""
+SELECT 'orders.customer_id -> customers.customer_id' AS reference, CAST(customer_id AS VARCHAR) AS key_value, COUNT(*) AS blocking_rows
+FROM t_orders WHERE {seg['gone'].format('customer_id')} GROUP BY customer_id""")
     q["d9_rename"] = w(f"""
 SELECT o.order_id, COALESCE(m.new_key, o.customer_id) AS customer_id, o.order_status,
        o.order_purchase_timestamp, o.order_approved_at
