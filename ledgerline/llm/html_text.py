@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -149,11 +150,13 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
     pieces: list[tuple[str, bool]] = []
     stack = [root]
     articles = drops = 0
+    opened: Counter[str] = Counter()    # elements of a tag that are open: tags that close none cost no search
 
     def close(to: int) -> None:
         nonlocal articles, drops
         while len(stack) > to:
             node = stack.pop()
+            opened[node.tag] -= 1
             if node.tag in BLOCK:
                 pieces.append(("", True))
             node.end = len(pieces)
@@ -177,24 +180,22 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
             continue
         tag = tag.lower()
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in ENDS_P:
             closing, walls = {"p"}, BLOCK - {"p"}
         else:
             closing, walls = (), ()
         for closing, walls in [(closing, walls), IMPLIED.get(tag, ((), ()))]:
-            if closing:
+            if any(opened[t] for t in closing):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in closing:
                         close(k)
                         break
                     if stack[k].tag in walls:
                         break
-        if tag == "body" and any(n.tag == "head" for n in stack):
+        if tag == "body" and opened["head"]:
             close(next(k for k, n in enumerate(stack) if n.tag == "head"))
         if tag in BLOCK:
             pieces.append(("", True))
@@ -212,6 +213,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
             stack[-1].children.append(node)
         articles += tag in ("article", "main")
         drops += node.dropped
+        opened[tag] += 1
         stack.append(node)
     text(html[at:])
     close(0)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+#: Pieces of more bytes are merged one by one, as a round over a ragged array
+#: costs the length of everything in it.
+LONG_PIECE = 512
+
+
 class Merger:
     """Merge ranks of a byte-level BPE vocabulary file."""
 
@@ -51,6 +57,8 @@ class Merger:
         order = np.argsort(keys)
         self.keys, self.rank = keys[order], order
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.pairs = [(vocab[a], vocab[b]) for a, b in pairs]
+        self.rank_of = {pair: rank for rank, pair in enumerate(self.pairs)}
         self.specials = [t["content"] for t in spec["added_tokens"] if t["special"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.find = regex.compile(SPLIT).findall
@@ -59,6 +67,54 @@ class Merger:
     def count(self, pieces: list[str]) -> np.ndarray:
         """Symbols left of each non-empty piece."""
         raw = [p.encode() for p in pieces]
+        long = np.array([len(r) > LONG_PIECE for r in raw])
+        left = np.empty(len(raw), np.int64)
+        left[long] = [self.count_long(r) for r in raw if len(r) > LONG_PIECE]
+        if not long.all():
+            left[~long] = self.count_together([r for r in raw if len(r) <= LONG_PIECE])
+        return left
+
+    def count_long(self, raw: bytes) -> int:
+        """Symbols left of one long piece: the same rounds, with the places of its
+        pairs kept by rank, so that a round costs its merges and not the whole
+        array.  Places that an earlier merge changed are passed over."""
+        n = left = len(raw)
+        symbols = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[int, list[int]] = {}
+
+        def wait(place: int, pair: tuple[int, int]) -> None:
+            rank = self.rank_of.get(pair)
+            if rank is None:
+                return
+            if rank in places:
+                places[rank].append(place)
+            else:
+                places[rank] = [place]
+                heappush(ranks, rank)
+
+        ranks: list[int] = []
+        for place, pair in enumerate(zip(symbols, symbols[1:])):
+            wait(place, pair)
+        while ranks:
+            rank = heappop(ranks)
+            (a, b), merged = self.pairs[rank], int(self.merged[rank])
+            for i in sorted(places.pop(rank)):
+                j = after[i]
+                if j == n or symbols[i] != a or symbols[j] != b:
+                    continue
+                symbols[i], symbols[j] = merged, -1
+                left -= 1
+                k = after[i] = after[j]
+                if k < n:
+                    before[k] = i
+                    wait(i, (merged, symbols[k]))
+                if before[i] >= 0:
+                    wait(before[i], (symbols[before[i]], merged))
+        return left
+
+    def count_together(self, raw: list[bytes]) -> np.ndarray:
+        """Symbols left of each piece, all merged in one ragged array."""
         size = np.array([len(r) for r in raw], np.int64)
         left = size.copy()
         symbols = self.of_byte[np.frombuffer(b"".join(raw), np.uint8)]

@@ -1,6 +1,7 @@
 """Operator 7: main text of hand-made and generated pages."""
 
 import random
+import time
 
 from ledgerline.llm import html_text
 
@@ -74,3 +75,16 @@ def test_class_names_with_other_words():
     assert html_text.main_text(f"<body><article><p>{s}</p>{links}</article></body>") == s
     # teasers in a sidebar are no article of the page, however it is named
     assert html_text.main_text(f"<body><article><p>{s}</p><p>{s}</p></article><div class=sidebar><article><p>{s}</p></article></div></body>") == f"{s}\n{s}"
+
+
+def test_many_tags_that_close_nothing_cost_no_search():
+    s = SENTENCES.strip()
+
+    def seconds(n):
+        html = f"<body><div>{'<span>' * n}{'</b>' * n}<p>{s}</p></div></body>"
+        started = time.process_time()
+        assert html_text.main_text(html) == s
+        return time.process_time() - started
+
+    seconds(100)
+    assert seconds(20_000) < 40 * max(seconds(2_000), 0.01)

@@ -1,6 +1,7 @@
 """Operator 9 against the library that the vocabulary file is for."""
 
 import random
+import time
 
 import pytest
 
@@ -46,3 +47,16 @@ def test_overlapping_pairs_merge_from_the_left():
     m = tokens.merger(PATH)
     for n in range(1, 40):
         assert m.count(["a" * n])[0] == want(["a" * n])[0]
+
+
+def test_long_unbroken_runs_match_the_library_and_take_seconds():
+    rng = random.Random(3)
+    m = tokens.merger(PATH)
+    runs = ["".join(rng.choices(letters, k=n)) for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "aé日") for n in (171, 511, 512, 513, 514, 5000)]
+    runs += [" " * 3000, "a" * 4097, "=" * 2000, "the" * 3000]
+    assert m.count(runs).tolist() == want(runs)
+    assert m.count(["".join(runs[:3])]).tolist() == [m.count_long("".join(runs[:3]).encode())]
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    started = time.process_time()
+    assert m.count([long])[0] == want([long])[0]
+    assert time.process_time() - started < 10
