@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -143,6 +143,9 @@ def dropped(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, in
     return drop, main, NAMED if NAMED in doubts else max(doubts)
 
 
+SHORT_STACK = 64
+
+
 def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
     """(root, pieces): pieces are (text, False) and block borders ("", True) in
     page order; a node owns the pieces from begin to end."""
@@ -150,7 +153,7 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
     pieces: list[tuple[str, bool]] = []
     stack = [root]
     articles = drops = 0
-    opened: Counter[str] = Counter()    # elements of a tag that are open: tags that close none cost no search
+    opened: dict[str, int] = defaultdict(int)    # elements of a tag that are open: tags that close none cost no search
 
     def close(to: int) -> None:
         nonlocal articles, drops
@@ -188,7 +191,8 @@ def parse(html: str) -> tuple[Node, list[tuple[str, bool]]]:
         else:
             closing, walls = (), ()
         for closing, walls in [(closing, walls), IMPLIED.get(tag, ((), ()))]:
-            if any(opened[t] for t in closing):
+            # a short stack is searched faster than asked about
+            if closing and (len(stack) < SHORT_STACK or any(opened[t] for t in closing)):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in closing:
                         close(k)
